@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import sharding
+from skein.llm import packing, sharding
 
-_MODULES = [sharding]
+_MODULES = [packing, sharding]
 
 
 def queries() -> dict:
