@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import packing, sharding
+from skein.llm import packing, sharding, substring
 
-_MODULES = [packing, sharding]
+_MODULES = [packing, sharding, substring]
 
 
 def queries() -> dict:
