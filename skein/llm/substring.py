@@ -177,17 +177,16 @@ def repeats(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     p = docs.mapInArrow(first_pass, f"doc_id {kind}, th long, n_words long, sha string, r1 long, r2 long, names array<long>")
-    p = scratch.keep(p)
-    many = p.where("doc_id is not null").groupBy("r1", "r2", "n_words").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-    copies = (
-        p.select("doc_id", "th", "r1", "r2", "n_words").join(many, ["r1", "r2", "n_words"]).where("doc_id > a").select("doc_id", "th").distinct()
-    )
-    copies = scratch.keep(copies.withColumn("copy", F.lit(True)))
-    own = p.where("doc_id is not null and size(names) > 0").select("doc_id", "th", "names")
-    own = own.join(copies, ["doc_id", "th"], "left_anti")
-    names = scratch.keep(own.select("doc_id", "th", F.explode("names").alias("name")).distinct())
-    shared = names.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("name")
-    wanted = names.join(shared, "name").groupBy("doc_id", "th").agg(F.collect_list("name").alias("names"))  # one document's
+    p = scratch.keep(p.withColumn("uid", F.monotonically_increasing_id()))
+    known = p.where("doc_id is not null")
+    whole = ["r1", "r2", "n_words"]
+    many = known.groupBy(whole).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
+    copies = scratch.keep(known.select("uid", "doc_id", *whole).join(many, whole).where("doc_id > a").select("uid"))
+    own = known.where("size(names) > 0").select("uid", "names").join(copies, "uid", "left_anti")
+    names = own.select("uid", F.explode("names").alias("name"))  # a name once a row
+    shared = names.groupBy("name").count().where("count > 1").select("name")
+    wanted = names.join(shared, "name").groupBy("uid").agg(F.collect_list("name").alias("names"))  # one document's
+    wanted = wanted.join(p.select("uid", "doc_id", "th"), "uid").drop("uid").dropDuplicates(["doc_id", "th"])
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +208,6 @@ def repeats(
 
     w = docs.join(wanted, ["doc_id", "th"]).mapInArrow(second_pass, f"doc_id {kind}, th long, pos int, h1 long, h2 long")
     w = scratch.keep(w)
-    scratch.drop(names)
     again = w.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
     hit = w.join(again, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("at"))
 
@@ -227,7 +225,8 @@ def repeats(
             yield pd.DataFrame(out, columns=["doc_id", "th", "cut", "cut_sha"])
 
     cut = docs.join(hit, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).mapInPandas(third_pass, f"doc_id {kind}, th long, cut long, cut_sha string")
-    out = p.select("doc_id", "th", "n_words", "sha").join(cut, ["doc_id", "th"], "left").join(copies, ["doc_id", "th"], "left")
+    out = p.select("uid", "doc_id", "th", "n_words", "sha").join(cut, ["doc_id", "th"], "left")
+    out = out.join(copies.withColumn("copy", F.lit(True)), "uid", "left")
     whole = F.col("copy") & (F.col("n_words") >= window)
     return out.select(
         "doc_id",
