@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import packing, sharding, substring
+from skein.llm import packing, sharding, substring, toxicity
 
-_MODULES = [packing, sharding, substring]
+_MODULES = [packing, sharding, substring, toxicity]
 
 
 def queries() -> dict:
