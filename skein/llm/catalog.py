@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import packing, quality, sharding, substring, toxicity
+from skein.llm import licenses, packing, quality, sharding, substring, toxicity
 
-_MODULES = [packing, quality, sharding, substring, toxicity]
+_MODULES = [licenses, packing, quality, sharding, substring, toxicity]
 
 
 def queries() -> dict:
