@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import Scratch, documents, small_batches
-from skein.llm.tokens import encoder, slices
+from skein.llm.tokens import encoder
+from skein.llm.wordhash import buffers, text_slices
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -63,6 +65,7 @@ def pack(
     dims: int = 3,
     bits: int = 20,
     seed: int = 7,
+    slice_bytes: int = 4_000_000,
 ) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens, in the order of the Hilbert key.
 
@@ -79,29 +82,26 @@ def pack(
     spark = scratch.spark
     small_batches(spark)
 
-    def tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        width = np.uint16 if len(enc.ends) <= 65536 and (end or 0) < 65536 else np.uint32
         for b in batches:
-            texts = b["text"].tolist()
-            for i, j in slices(texts):
-                part = texts[i:j]
-                ids = list(enc.encode(part))
+            _, offsets = buffers(b["text"])
+            for i, j in text_slices(offsets, slice_bytes):
+                part = b.slice(i, j - i)
+                ids = list(enc.encode(part["text"]))
                 keys = curve_keys(ids, buckets, dims, bits, seed)
                 if end is not None:
                     ids = [np.append(x, np.uint32(end)) for x in ids]
-                width = np.uint16 if len(enc.ends) <= 65536 and (end or 0) < 65536 else np.uint32
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b["doc_id"].iloc[i:j].to_numpy(),
-                        "key": keys,
-                        "n": [len(x) for x in ids],
-                        "width": width().itemsize,
-                        "ids": [x.astype(width).tobytes() for x in ids],
-                    }
+                n = [len(x) for x in ids]
+                raw = pa.array([x.astype(width).tobytes() for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], pa.array(keys), pa.array(n, pa.int64()), pa.array([width().itemsize] * len(n), pa.int32()), raw],
+                    names=["doc_id", "key", "n", "width", "ids"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    t = docs.select("doc_id", "text").mapInPandas(tokenised, f"doc_id {kind}, key long, n long, width int, ids binary")
+    t = docs.select("doc_id", "text").mapInArrow(tokenised, f"doc_id {kind}, key long, n long, width int, ids binary")
     t = scratch.keep(t.withColumn("uid", F.monotonically_increasing_id()))
 
     def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

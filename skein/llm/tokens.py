@@ -8,6 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from skein.llm.wordhash import Words, split
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -19,8 +22,50 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+class _Table:
+    """Places of words by their 64-bit hashes: open addressing over arrays, many at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.n, self.mask = 0, np.uint64((1 << bits) - 1)
+        self.keys, self.places = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        slot = (h & self.mask).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == h, self.places[slot], -1)
+        left = np.flatnonzero((held != h) & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(self.mask)
+            held = self.keys[slot[left]]
+            same = held == h[left]
+            out[left[same]] = self.places[slot[left[same]]]
+            left = left[~same & (held != 0)]
+        return out
+
+    def add(self, h: np.ndarray, places: np.ndarray) -> None:
+        """Hashes not in the table, each once."""
+        self.n += len(h)
+        if self.n * 2 > len(self.keys):
+            full = self.keys != 0
+            old, at = self.keys[full], self.places[full]
+            self.__init__(int(self.n * 4).bit_length())
+            self.n = 0
+            self.add(np.r_[old, h], np.r_[at, places])
+            return
+        slot = (h & self.mask).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.places[slot[put]] = h[put], places[put]
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = (slot[left] + 1) & int(self.mask)
+
+
 class WordEncoder:
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.plain, self.most = Tokenizer.from_file(path), most
@@ -30,88 +75,85 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.n, self.start, self.length = 0, np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
-
-    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.start)
-        self.at.update(zip(words, range(first, first + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths.astype(np.int32)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-
-    def _learn(self, missing: list[bytes]) -> None:
-        """Words of letters are encoded many at a time, each ending with its end-of-word id; others one by one."""
-        simple, other = [], []
-        for w in missing:
-            (simple if w.decode().isalpha() else other).append(w)
+        self.at = _Table()
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _places(self, w: Words) -> np.ndarray:
+        """Places of words; those not seen before are learnt."""
+        h = np.maximum(w.hashes, np.uint64(1))
+        out = self.at.find(h)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, one = np.unique(h[missing], return_index=True)
+            data = w.data.tobytes()
+            self._learn(new, [data[w.start[k] : w.stop[k]].lower() for k in missing[one]])
+            out[missing] = self.at.find(h[missing])
+        return out
+
+    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        """Words of letters are encoded many at a time, each ending with its end-of-word id; a word and the stop
+        behind it come from their parts; others are encoded one by one."""
+        simple, other, parts = [], [], []
+        for k, w in enumerate(new):
+            if w[-1:] in (b".", b",") and w[:-1].isalpha():
+                parts.append(k)
+            else:
+                (simple if w.decode().isalpha() else other).append(k)
+        if parts:
+            text = b" ".join([new[k][:-1] + b" " + new[k][-1:] for k in parts])
+            both = self._places(split(pa.array([text.decode()])))
+            known = self.at.find(hashes)
+            if (known >= 0).any():  # a stem that is itself among the new words
+                rest = np.flatnonzero(known < 0)
+                return self._learn(hashes[rest], [new[k] for k in rest])
+        first, length, found = len(self.start), np.zeros(len(new), np.int64), []
+        order: list[int] = []
         for i in range(0, len(simple), 2000):
             part = simple[i : i + 2000]
-            ids = np.array(self.plain.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.plain.encode(b" ".join([new[k] for k in part]).decode(), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
-                self._add(part, ids, np.diff(np.r_[0, stops]))
+                length[part] = np.diff(np.r_[0, stops])
+                found.append(ids)
+                order += part
             else:
-                other.extend(part)
+                other += part
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
-            got = [e.ids for e in self.plain.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self._add(part, np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got], np.int64))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+            got = [e.ids for e in self.plain.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False)]
+            length[part] = [len(g) for g in got]
+            found.append(np.array([x for g in got for x in g], np.uint32))
+            order += part
+        if parts:
+            ids, n = self._gather(both)
+            length[parts] = n.reshape(-1, 2).sum(1)
+            found.append(ids)
+            order += parts
+        start = np.zeros(len(new), np.int64)
+        start[order] = len(self.ids) + np.cumsum(length[order]) - length[order]
+        self.ids = np.concatenate([self.ids, *found])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.at.add(hashes, first + np.arange(len(new)))
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in order, and how many each has."""
+        n = self.length[places]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[places] - (ends - n), n) + np.arange(total)], n
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null: none."""
-        if len(self.at) > self.most:
+        if len(self.start) > self.most:
             self.clear()
-        chunks: list[list[bytes] | None] = []
-        missing: dict[bytes, None] = {}
-        tails: list[tuple[bytes, bytes, bytes]] = []
-        at = self.at
-        for text in texts:
-            raw = (text or "").encode()
-            if b"<|" in raw:  # may hold a special token, whose letters' case counts
-                chunks.append(None)
-                continue
-            words = raw.lower().split()
-            chunks.append(words)
-            for w in words:
-                if w not in at and w not in missing:
-                    stem, tail = w[:-1], w[-1:]
-                    if tail in (b".", b",") and stem.isalpha() and tail:
-                        tails.append((w, stem, tail))
-                        missing[stem] = missing[tail] = None
-                        at[w] = -1
-                    else:
-                        missing[w] = None
-        if missing:
-            self._learn([w for w in missing if w not in at])
-        if tails:
-            pieces = [p for _, stem, tail in tails for p in (self._of(stem), self._of(tail))]
-            lengths = np.array([len(p) for p in pieces], np.int64).reshape(-1, 2).sum(1)
-            self._add([w for w, _, _ in tails], np.concatenate(pieces), lengths)
-        for text, words in zip(texts, chunks, strict=True):
-            if words is None:
-                yield np.array(self.plain.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-            n = self.length[k].astype(np.int64)
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self.ids[np.repeat(self.start[k] - (ends - n), n) + np.arange(total)]
-
-    def _of(self, word: bytes) -> np.ndarray:
-        k = self.at[word]
-        return self.ids[self.start[k] : self.start[k] + self.length[k]]
-
-
-def slices(texts: list[str | None], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about ``most`` characters each, or one longer text."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and size + n > most:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
+        # A text with a special token keeps its letters' case.
+        special = {i: t for i, t in enumerate(texts.to_pylist()) if t and "<|" in t}
+        if special:
+            texts = pa.array(["" if i in special else t for i, t in enumerate(texts.to_pylist())], pa.string())
+        w = split(texts, lower=True)
+        places = self._places(w)
+        for i in range(len(texts)):
+            if i in special:
+                yield np.array(self.plain.encode(special[i], add_special_tokens=False).ids, np.uint32)
+            else:
+                yield self._gather(places[w.first[i] : w.first[i + 1]])[0]
