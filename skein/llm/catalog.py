@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, licenses, packing, quality, sharding, substring, toxicity
+from skein.llm import chat, licenses, neardup, packing, quality, sharding, substring, toxicity
 
-_MODULES = [chat, licenses, packing, quality, sharding, substring, toxicity]
+_MODULES = [chat, licenses, neardup, packing, quality, sharding, substring, toxicity]
 
 
 def queries() -> dict:

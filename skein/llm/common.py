@@ -73,15 +73,17 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first, so that the join deals both sides anew and can split a hub's rows.
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.keep(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        scratch.drop(low)
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
         new = scratch.keep(small.distinct())
         now = new.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
-        scratch.drop(e, large)
+        scratch.drop(e, large, low)
         e = new
         if now == before:
             break
