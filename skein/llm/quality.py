@@ -61,8 +61,9 @@ def repeated_words(ws: Column, n: Column, size: int = 8) -> Column:
     return F.when(n < size, F.lit(0).cast("long")).otherwise(some)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text."""
+def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counts of every whole text; with ``carry``, the whole row as ``_row``."""
+    row = [F.struct(*docs.columns).alias("_row")] if carry else []
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     ws = words(F.col("text"))
@@ -70,6 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *row,
         *[
             bind(ws, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w, F.size(w)).alias("n_repeat_words"))).alias("_w"),
             F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
@@ -79,6 +81,7 @@ def measured(docs: DataFrame) -> DataFrame:
     ).select(
         "doc_id", "lang", "source", F.col("_w.n_words").alias("n_words"), "word_chars", "n_symbols",
         F.col("_l.dup").alias("n_dup_lines"), F.col("_w.n_repeat_words").alias("n_repeat_words"), F.col("_l.n").alias("_n_lines"),
+        *["_row"] * carry,
     )
 
 
@@ -148,6 +151,11 @@ def quality(scratch: Scratch, docs: DataFrame, spread: float = 6.0, least: int =
     return judged(scratch.keep(measured(docs)), spread, least)
 
 
+def keep_good(scratch: Scratch, docs: DataFrame, spread: float = 6.0, least: int = 30) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return judged(scratch.keep(measured(docs, carry=True)), spread, least).where("kept").select("_row.*")
+
+
 def op2_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts for all documents."""
     out = quality(Scratch(spark), documents(spark, sf_dir))

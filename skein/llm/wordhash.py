@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: All of ASCII but letters and digits.
+_MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MULTIPLIERS = np.zeros(0, np.uint64)
 
 
@@ -58,10 +60,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower`` lowers A-Z before hashing."""
+def split(texts: pa.Array, lower: bool = False, marks: bool = False) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text; ``lower`` lowers A-Z before hashing; with ``marks``, ASCII marks
+    and control characters separate words too."""
     data, offsets = buffers(texts)
-    inside = ~_SPACE[data]
+    inside = ~(_MARKS if marks else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True  # a text's first byte never continues the word before
     begin = inside & (edge[:-1] | ~np.r_[False, inside[:-1]])
