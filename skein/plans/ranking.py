@@ -1 +1,68 @@
-"""To come."""
+"""Queries of text ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.functions import text as fn
+from skein.operators import ranking as op
+from skein.plans.registry import Tables, query
+
+_TERMS = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+_T = {k: _TERMS.format(c=k) for k in ("source", "lang", "text")}
+
+
+@query(
+    f"""with d as (select doc_id, source, {_T["source"]}[:256] as a, {_T["lang"]}[:256] as b, {_T["text"].replace("lower(text)", "lower(substr(text, 1, 4096))")}[:256] as c from
+(select * from documents where lang = 'en' order by doc_id limit 1000)), n as (select count(*) as n, avg(len(a)) as la, avg(len(b)) as lb, avg(len(c)) as lc from d),
+q as (select unnest(['src7', 'thin', 'with', 'tion', 'hand'])  as term), q2 as (select term from q where term <> 'with'),
+f as (select d.doc_id, d.source, q2.term, len(list_filter(a, lambda x: x = q2.term)) as fa, len(list_filter(b, lambda x: x = q2.term)) as fb, len(list_filter(c, lambda x: x = q2.term)) as fc,
+len(a) as na, len(b) as nb, len(c) as nc from d, q2), df as (select term, count(*) as df from f where fa + fb + fc > 0 group by 1),
+w as (select f.doc_id, f.source, f.term, 8 * fa / (0.25 + 0.75 * na / la) + 4 * fb / (0.25 + 0.75 * nb / lb) + fc / (0.25 + 0.75 * nc / lc) as w, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from f join df using (term), n)
+select doc_id, round(sum(idf * w * 2.2 / (w + 1.2)), 6) as score from w where w > 0 group by doc_id, source order by sum(idf * w * 2.2 / (w + 1.2)) desc, source, doc_id limit 50"""
+)
+def bm25f(t: Tables) -> DataFrame:
+    d = t.documents.where("lang = 'en'").select("doc_id", F.col("source").alias("name"), "lang", "text")
+    d = d.select("doc_id", "name", F.col("lang").alias("short"), F.expr("substr(text, 1, 4096)").alias("body"))
+    out = op.bm25f(d, "doc_id", "name", ["name", "short", "body"], "src7 thin with tion hand")
+    return out.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_single(t: Tables) -> DataFrame:
+    d = t.part.select("p_partkey", F.col("p_name").alias("name"))
+    return op.bm25f(d, "p_partkey", "name", ["name"], "blue metal part", weights=[1.0]).select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query()
+def char_ngram(t: Tables) -> DataFrame:
+    d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
+    return op.char_ngrams(d, "p_partkey", "name", ["name", "short", "body"], "polished brass").select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@query()
+def weighted_lexical(t: Tables) -> DataFrame:
+    d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
+    return op.weighted_lexical(d, "p_partkey", "name", "short", "body", "part 12 brand steel").select("p_partkey", "score")
+
+
+@query()
+def rank_fusion(t: Tables) -> DataFrame:
+    d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
+    return op.rank_fusion(d, "p_partkey", "name", "short", "body", "part 12; brand steel and part 7")
+
+
+@query("""with p as (select p_partkey, p_name, lower(p_name) as n from part), a as (select *, instr(n, 'p') as i1 from p), b as (select *, i1 + instr(substr(n, i1 + 1), 'r') as i2 from a where i1 > 0),
+c as (select *, i2 + instr(substr(n, i2 + 1), '1') as i3 from b where i2 > i1)
+select p_partkey, (greatest(i3 - i1 + 1 - 3, 0) - case when i1 = 1 then 100 else 0 end)::int as score from c where i3 > i2 order by score, p_partkey limit 50""")
+def fuzzy(t: Tables) -> DataFrame:
+    d = t.part.select("p_partkey", fn.fuzzy(F.col("p_name"), "pr1").alias("m")).where("m is not null and m.score is not null")
+    return d.select("p_partkey", "m.score").orderBy("score", "p_partkey").limit(50)
+
+
+@query()
+def mixed_rank(t: Tables) -> DataFrame:
+    parts = t.part.select(F.lit(0).alias("kind"), F.col("p_name").alias("name"), F.array("p_brand").alias("terms"))
+    nations = t.nation.select(F.lit(1).alias("kind"), F.col("n_name").alias("name"), F.array(F.lit("country")).alias("terms"))
+    return op.mixed_rank(parts.unionByName(nations), "nt")
