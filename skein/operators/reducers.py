@@ -85,14 +85,14 @@ def map_job(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                yield plain(work(b)).assign(status="completed", error=None)
+                yield plain(work(b).assign(status="completed", error=None))
             except Exception:
                 for i in range(len(b)):
                     one = b.iloc[i : i + 1]
                     try:
-                        yield plain(work(one)).assign(status="completed", error=None)
+                        yield plain(work(one).assign(status="completed", error=None))
                     except Exception as e:
-                        yield one.assign(status="failed", error=str(e)).reindex(columns=names)
+                        yield plain(one.assign(status="failed", error=str(e)).reindex(columns=names))
 
     def plain(b: pd.DataFrame) -> pd.DataFrame:
         return b.astype({c: object for c in b.columns if pd.api.types.is_string_dtype(b[c])})

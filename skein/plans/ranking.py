@@ -32,32 +32,32 @@ def bm25f(t: Tables) -> DataFrame:
 @query()
 def bm25_single(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"))
-    return op.bm25f(d, "p_partkey", "name", ["name"], "blue metal part", weights=[1.0]).select("p_partkey", F.round("score", 6).alias("score"))
+    return op.bm25f(d, "p_partkey", "name", ["name"], "blue metal bolt", weights=[1.0]).select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query()
 def char_ngram(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
-    return op.char_ngrams(d, "p_partkey", "name", ["name", "short", "body"], "polished brass").select("p_partkey", F.round("score", 6).alias("score"))
+    return op.char_ngrams(d, "p_partkey", "name", ["name", "short", "body"], "blue economy widget").select("p_partkey", F.round("score", 6).alias("score"))
 
 
 @query()
 def weighted_lexical(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
-    return op.weighted_lexical(d, "p_partkey", "name", "short", "body", "part 12 brand steel").select("p_partkey", "score")
+    return op.weighted_lexical(d, "p_partkey", "name", "short", "body", "small gear brand 4 economy").select("p_partkey", "score")
 
 
 @query()
 def rank_fusion(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
-    return op.rank_fusion(d, "p_partkey", "name", "short", "body", "part 12; brand steel and part 7")
+    return op.rank_fusion(d, "p_partkey", "name", "short", "body", "small gear; brand 4 economy and red bolt")
 
 
-@query("""with p as (select p_partkey, p_name, lower(p_name) as n from part), a as (select *, instr(n, 'p') as i1 from p), b as (select *, i1 + instr(substr(n, i1 + 1), 'r') as i2 from a where i1 > 0),
-c as (select *, i2 + instr(substr(n, i2 + 1), '1') as i3 from b where i2 > i1)
+@query("""with p as (select p_partkey, p_name, lower(p_name) as n from part), a as (select *, instr(n, 'r') as i1 from p), b as (select *, i1 + instr(substr(n, i1 + 1), 'd') as i2 from a where i1 > 0),
+c as (select *, i2 + instr(substr(n, i2 + 1), 'g') as i3 from b where i2 > i1)
 select p_partkey, (greatest(i3 - i1 + 1 - 3, 0) - case when i1 = 1 then 100 else 0 end)::int as score from c where i3 > i2 order by score, p_partkey limit 50""")
 def fuzzy(t: Tables) -> DataFrame:
-    d = t.part.select("p_partkey", fn.fuzzy(F.col("p_name"), "pr1").alias("m")).where("m is not null and m.score is not null")
+    d = t.part.select("p_partkey", fn.fuzzy(F.col("p_name"), "rdg").alias("m")).where("m is not null and m.score is not null")
     return d.select("p_partkey", "m.score").orderBy("score", "p_partkey").limit(50)
 
 
