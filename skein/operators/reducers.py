@@ -95,7 +95,8 @@ def map_job(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema:
                         yield plain(one.assign(status="failed", error=str(e)).reindex(columns=names))
 
     def plain(b: pd.DataFrame) -> pd.DataFrame:
-        return b.astype({c: object for c in b.columns if pd.api.types.is_string_dtype(b[c])})
+        text = [c for c in b.columns if not pd.api.types.is_numeric_dtype(b[c])]
+        return b.assign(**{c: pd.Series([None if pd.isna(x) else x for x in b[c]], b.index, object) for c in text})
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")] + ["status", "error"]
     return df.repartition(min(max(slots, 1), 64)).mapInPandas(run, f"{schema}, status string, error string")
