@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def fold(df: DataFrame, key: list[str], seq: str, first: dict[str, Column], last: dict[str, Column], most: dict[str, Column]) -> DataFrame:
@@ -82,24 +85,28 @@ def not_imported(df: DataFrame, ledger: DataFrame, content: Column) -> DataFrame
 def map_job(df: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, slots: int = 16) -> DataFrame:
     """``work`` over batches of rows in ``slots`` tasks; a row whose work raises is ``failed`` with the error, others go on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    full = f"{schema}, status string, error string"
+    arrow = to_arrow_schema(T.StructType.fromDDL(full))
+
+    def done(rows: pd.DataFrame, status: str, error: str | None) -> list[dict]:
+        return [{k: None if v is None or v != v else v for k, v in r.items()} | {"status": status, "error": error} for r in rows.to_dict("records")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.to_pandas()
             try:
-                yield plain(work(b).assign(status="completed", error=None))
+                rows = done(work(b), "completed", None)
             except Exception:
+                rows = []
                 for i in range(len(b)):
                     one = b.iloc[i : i + 1]
                     try:
-                        yield plain(work(one).assign(status="completed", error=None))
+                        rows += done(work(one), "completed", None)
                     except Exception as e:
-                        yield plain(one.assign(status="failed", error=str(e)).reindex(columns=names))
-
-    def plain(b: pd.DataFrame) -> pd.DataFrame:
-        text = [c for c in b.columns if not pd.api.types.is_numeric_dtype(b[c])]
-        return b.assign(**{c: pd.Series([None if pd.isna(x) else x for x in b[c]], b.index, object) for c in text})
+                        rows += done(one, "failed", str(e))
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    names = [c.strip().split(" ")[0] for c in schema.split(",")] + ["status", "error"]
-    return df.repartition(min(max(slots, 1), 64)).mapInPandas(run, f"{schema}, status string, error string")
+    return df.repartition(min(max(slots, 1), 64)).mapInArrow(run, full)
 
 
 def snapshot_match(old: DataFrame, new: DataFrame, key: str, seq: str, content: str) -> DataFrame:
