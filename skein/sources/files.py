@@ -45,8 +45,10 @@ def read_csv_job(spark: SparkSession, path: str) -> DataFrame:
     bad = "_ragged"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(bad, T.StringType())])
     rows = whole.option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(schema).csv(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id()).cache()
-    first = rows.where(F.col(bad).isNotNull()).agg(F.min("_at")).first()[0]
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    held = rows.cache()  # Spark refuses to ask for ragged rows alone of a file
+    first = held.where(F.col(bad).isNotNull()).agg(F.min("_at")).first()[0]
+    held.unpersist()
     if first is not None:
         raise ValueError(f"csv row {first + 2} has a wrong number of fields")
     filled = F.greatest(*[F.length(F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names], F.lit(0)) > 0
