@@ -40,7 +40,7 @@ class Bags:
         np.add.at(covered, w.start, 1)
         np.add.at(covered, w.stop, -1)
         self.chars[inner] = _LOWER[w.data[np.cumsum(covered[:-1]).astype(bool)]]
-        self.left = np.repeat(ends + 1, size) - np.arange(n)  # characters of the word from here on
+        self.left = (np.repeat(ends + 1, size) - np.arange(n)).astype(np.int32)  # characters of the word from here on
 
     def buckets(self, at: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each n: buckets of the n-grams at the given places (all by default), and which are within a word."""
@@ -97,6 +97,14 @@ class Model:
         return best, a, b, text
 
 
+def _sums(to: np.ndarray, value: np.ndarray, of: np.ndarray, n: int, step: int = 1_000_000) -> np.ndarray:
+    """Sum of value[of] at each place of ``to``, a part at a time."""
+    out = np.zeros(n)
+    for i in range(0, len(to), step):
+        out += np.bincount(to[i : i + step], value[of[i : i + step]], n)
+    return out
+
+
 def train(
     texts: list[str], toxic: np.ndarray, bits: int = 17, dim: int = 8, width: int = 6, rounds: int = 10, steps: int = 12, rate: float = 0.15, decay: float = 2e-4, seed: int = 3
 ) -> Model:
@@ -105,37 +113,40 @@ def train(
     The first round uses the whole text as one stretch, as nothing is known yet of where its toxic words are.
     """
     rng = np.random.default_rng(seed)
-    bags = Bags(pa.array(texts, pa.string()), bits)
+    _, offsets = buffers(pa.array(texts, pa.string()))
+    parts = [(i, Bags(pa.array(texts[i:j], pa.string()), bits)) for i, j in text_slices(offsets, 400_000)]
     emb = rng.uniform(-1, 1, (1 << bits, dim)).astype(np.float32) / dim
     soft = rng.standard_normal((2, dim)).astype(np.float32)
     y = toxic.astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     bias = 0.0
     square, square_soft, square_bias = np.full((1 << bits, 1), 1e-6, np.float32), np.full((2, dim), 1e-6, np.float32), 1e-6
-    size = np.r_[bags.start, len(bags.chars)]
     model = Model(bits, width, emb @ (soft[1] - soft[0]), bias)
     for r in range(rounds):
-        if r == 0:
-            a, b = bags.first[:-1].copy(), bags.first[1:].copy()
-        else:
-            _, a, b, _ = model.logits(bags)
-            a, b = np.maximum(a, 0), np.maximum(b, 0)
-        low, high = size[a], size[b]
-        of = np.repeat(np.arange(len(y)), high - low)
-        at = np.arange(len(of)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
         ids, own = [], []
-        for bucket, ok in bags.buckets(at):
-            ids.append(bucket[ok].astype(np.int64))
-            own.append(of[ok])
+        for i, bags in parts:
+            if r == 0:
+                a, b = bags.first[:-1], bags.first[1:]
+            else:
+                _, a, b, _ = model.logits(bags)
+                a, b = np.maximum(a, 0), np.maximum(b, 0)
+            size = np.r_[bags.start, len(bags.chars)]
+            low, high = size[a], size[b]
+            n = high - low
+            of = np.repeat(np.arange(i, i + len(a), dtype=np.int32), n)
+            at = np.arange(len(of)) + np.repeat(low - (np.cumsum(n) - n), n)
+            for bucket, ok in bags.buckets(at):
+                ids.append(bucket[ok].astype(np.int32))
+                own.append(of[ok])
         ids, own = np.concatenate(ids), np.concatenate(own)
-        count = np.maximum(np.bincount(own, minlength=len(y)), 1)
+        count = np.maximum(_sums(own, np.ones(len(y)), own, len(y)), 1)
         for _ in range(steps):
             diff = soft[1] - soft[0]
             value = emb @ diff
-            z = np.bincount(own, value[ids], len(y)) / count + bias
+            z = _sums(own, value, ids, len(y)) / count + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             g = (p - y) * weight / len(y)
-            per = np.bincount(ids, (g / count)[own], 1 << bits)  # each bucket's share; its gradient is this times diff
+            per = _sums(ids, g / count, own, 1 << bits)  # each bucket's share; its gradient is this times diff
             grad_soft = (per[:, None] * emb).sum(0)
             touched = np.flatnonzero(per)
             grad = per[touched, None] * diff + decay * emb[touched] / len(y)
@@ -152,7 +163,8 @@ def train(
 
 def calibrate(model: Model, texts: list[str], toxic: np.ndarray, share: float, cut: float) -> float:
     """The shift of logits that puts the best F1, at the given share of toxic texts, on the score ``cut``."""
-    z, *_ = model.logits(Bags(pa.array(texts, pa.string()), model.bits))
+    _, offsets = buffers(pa.array(texts, pa.string()))
+    z = np.concatenate([model.logits(Bags(pa.array(texts[i:j], pa.string()), model.bits))[0] for i, j in text_slices(offsets, 400_000)])
     y = toxic.astype(bool)
     if not y.any() or y.all():
         return 0.0
@@ -165,7 +177,7 @@ def calibrate(model: Model, texts: list[str], toxic: np.ndarray, share: float, c
     return float(np.log(cut / (1 - cut)) - (best.min() + best.max()) / 2)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 1500, longest: int = 12_000, cut: float = 0.3) -> Model | None:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 1200, longest: int = 3000, cut: float = 0.3) -> Model | None:
     """Fit on a bounded sample: at most ``most`` toxic and as many other labelled texts of up to ``longest`` bytes, by a
     hash of their ids. Rows whose crc32(doc_id) mod 4 is 2 are never read. None if either class is missing."""
     known = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
