@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """Write and read again; ``parts``: in at most so many files."""
         self.n += 1
+        df = df if parts is None else df.coalesce(parts)
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -55,11 +58,30 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def likely(df: DataFrame, h: str, wanted: DataFrame, bits: int = 22) -> DataFrame:
+    """Rows of ``df`` whose hash ``h`` may be among those of ``wanted``, kept back before a shuffle; a join must follow.
+
+    The wanted hashes are marks in a bitmap of 2**bits bits. It has at most 2**bits / 64 rows however many
+    hashes there are, so it can be broadcast; where it fills up, more rows pass.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << bits))
+    word = lambda c: F.shiftright(place(c), 6).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
+    marks = wanted.select(word(F.col(h)).alias("_word"), bit(F.col(h)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    out = df.withColumn("_word", word(F.col(h))).join(F.broadcast(marks), "_word")
+    return out.where(F.col("_bits").bitwiseAND(bit(F.col(h))) != 0).drop("_word", "_bits")
+
+
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v): one row (id, component) per id that has an edge; the
     component is its smallest id.
@@ -70,19 +92,22 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> Dat
     e = scratch.keep(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    before = None
+    total = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
+    before = total(e)
+    cores = scratch.spark.sparkContext.defaultParallelism
     for _ in range(most_rounds):
+        parts = max(cores, before[0] // 100_000 + 1)  # few links: few files
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join deals both sides anew and can split a hub's rows.
-        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.keep(large.where("u <> v").distinct())
+        large = scratch.keep(large.where("u <> v"), parts)
         scratch.drop(low)
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).where("u <> v")
-        new = scratch.keep(small.distinct())
-        now = new.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0))).first()
+        new = scratch.keep(small.distinct(), parts)
+        now = total(new)
         scratch.drop(e, large, low)
         e = new
         if now == before:
