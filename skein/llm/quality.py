@@ -7,17 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, documents, words
+from skein.llm.common import Scratch, bind, documents, words
 
 #: Measures that are judged, and the least upper limit each may get (in thousandths, or hundredths for word length).
 MEASURES = {"word_length": 1500, "symbols": 50, "dup_lines": 600, "repeats": 300}
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once a row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def window_hashes(ws: Column, size: int) -> Column:
     """A hash of the ``size`` (a power of two) words from each word on; the last ``size`` - 1 words begin none."""
     h, step = F.transform(ws, lambda w: F.xxhash64(w)), 1
@@ -163,3 +158,25 @@ def op2_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_adaptive": op2_adaptive}
+ORACLES = {
+    "op2_adaptive": r"""
+with w as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, k, md5(array_to_string(ws[k:k + 7], ' ')) as s from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as k from w where len(ws) >= 8)),
+twice as (select doc_id, s from win group by 1, 2 having count(*) > 1),
+rep as (select doc_id, count(distinct p) as n from (select win.doc_id, unnest(range(k, k + 8)) as p from win join twice using (doc_id, s)) group by 1),
+b as (select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
+  coalesce(rep.n, 0)::bigint as n_repeat_words from w left join rep on rep.doc_id = w.doc_id),
+c as (select *, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b),
+m as (select *, least(word_chars * 100 // greatest(n_words, 1), 100000) as m1, n_symbols * 1000 // greatest(word_chars, 1) as m2,
+  n_dup_lines * 1000 // greatest(len(ls), 1) as m3, n_repeat_words * 1000 // greatest(n_words, 1) as m4 from c),
+v as (select doc_id, lang, source, unnest([1, 2, 3, 4]) as k, unnest([m1, m2, m3, m4]) as bin from m),
+g as (select 0 as lv, lang, source, k, bin from v union all select 1, lang, null, k, bin from v union all select 2, null, null, k, bin from v),
+r as (select *, row_number() over (partition by lv, lang, source, k order by bin) as upto, count(*) over (partition by lv, lang, source, k) as total from g),
+q as (select lv, lang, source, k, min(bin) filter (where upto * 4 >= total) as q1, min(bin) filter (where upto * 4 >= total * 3) as q3 from r where total >= 30 group by 1, 2, 3, 4),
+t as (select lv, lang, source, k, greatest(q3 + floor((q3 - q1) * 6.0), [1500, 50, 600, 300][k]) as top from q),
+j as (select v.doc_id, bool_and(v.bin <= coalesce(a.top, l.top, o.top, [1500, 50, 600, 300][v.k])) as fine from v
+  left join t a on a.lv = 0 and a.lang is not distinct from v.lang and a.source is not distinct from v.source and a.k = v.k
+  left join t l on l.lv = 1 and l.lang is not distinct from v.lang and l.k = v.k left join t o on o.lv = 2 and o.k = v.k group by 1)
+select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from m join j on j.doc_id = m.doc_id"""
+}
