@@ -48,5 +48,6 @@ from skein.plans import (  # noqa: E402  these register themselves
     ranking,  # noqa: F401
     reducers,  # noqa: F401
     scans,  # noqa: F401
+    sources_of_code,  # noqa: F401
     texts,  # noqa: F401
 )
