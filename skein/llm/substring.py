@@ -242,3 +242,14 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_recompression": op10_recompression}
+ORACLES = {
+    "op10_recompression": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, k, md5(array_to_string(ws[k:k + 49], ' ')) as s from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as k from w where len(ws) >= 50)),
+first as (select s, min(doc_id) as m from win group by s),
+gone as (select distinct doc_id, unnest(range(k, k + 50)) as p from win join first using (s) where m < doc_id),
+kept as (select e.doc_id, count(*) as n, string_agg(e.ws[e.p], ' ' order by e.p) as t
+  from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as p from w) e left join gone g on g.doc_id = e.doc_id and g.p = e.p where g.p is null group by 1)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join kept on kept.doc_id = w.doc_id"""
+}
