@@ -38,11 +38,13 @@ def paths(scratch: Scratch, nodes: DataFrame, top: int = 1, most_rounds: int = 4
             raise ValueError("a reply is its own ancestor")
         jumps.append(cur)
         above = cur.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("gain").alias("g2"), F.col("hops").alias("h2"))
-        cur = cur.join(above, ["conv", "up"], "left").select(
+        # Only what has not reached its root is joined, so short conversations cost no more beside long ones.
+        resolved = cur.where("up is null")
+        cur = cur.where("up is not null").join(above, ["conv", "up"], "left").select(
             "conv", "node", (F.col("gain") + F.coalesce("g2", F.lit(0.0))).alias("gain"), F.col("up2").alias("up"),
             (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"),
         )
-        cur = scratch.keep(cur)
+        cur = scratch.keep(cur.unionByName(resolved))
         if cur.where(f"hops > {2 ** len(jumps)} or hops < 1").limit(1).count():
             raise ValueError("a reply is its own ancestor")
     leaves = cur.join(linked.select("conv", F.col("parent").alias("node")).distinct(), ["conv", "node"], "left_anti")

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents
+from skein.llm.common import Scratch, documents
 
 #: What separates words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -203,7 +203,7 @@ def places(norm: Column, regex: str | Column) -> Column:
     return whole["out"]
 
 
-def scan(docs: DataFrame, rules: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
+def scan(scratch: Scratch, docs: DataFrame, rules: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A text is opened to the rules whose keyword is among its words. A detection that lies within another goes; of equal ones
@@ -214,14 +214,16 @@ def scan(docs: DataFrame, rules: list[tuple[int, str, str, str]] | None = None)
     rules = rule_rows() if rules is None else rules
     spark = docs.sparkSession
     keywords = sorted({k for _, k, _, _ in rules})
-    gate = "(?i)(?:" + "|".join(keywords) + ")"
+    # Only where a word begins are the keywords tried.
+    gate = rf"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:{'|'.join(keywords)})(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
     text = F.coalesce("text", F.lit(""))
     # Only texts with a keyword somewhere are lowered and split; the others need their words counted.
     base = docs.select("doc_id", F.xxhash64("text").alias("_th"), text.alias("text"))
     n_words = F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
     opened = F.col("text").rlike(gate)
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(F.col("text")), GAP, " ")), F.lit(" "))
-    rows = base.select("doc_id", "_th", n_words.alias("n_words"), F.when(opened, norm).alias("norm"))
+    # Written once, as labels and counts both need it.
+    rows = scratch.keep(base.select("doc_id", "_th", n_words.alias("n_words"), F.when(opened, norm).alias("norm")))
     struct = [places(F.col("norm"), p)["start"].alias(label) for p, label in BASE.items()]
     rows = rows.withColumn("_b", F.when(F.col("norm").rlike("(?<= )(?:" + "|".join(BASE) + ")(?= )"), F.struct(*struct)))
     starts = F.flatten(F.array(*[F.col(f"_b.{label}") for label in BASE.values()]))
@@ -256,7 +258,7 @@ def scan(docs: DataFrame, rules: list[tuple[int, str, str, str]] | None = None)
 
 def op6_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every whole text."""
-    return scan(documents(spark, sf_dir))
+    return scan(Scratch(spark), documents(spark, sf_dir))
 
 
 QUERIES = {"op6_signatures": op6_signatures}

@@ -65,7 +65,7 @@ def pack(
     dims: int = 3,
     bits: int = 20,
     seed: int = 7,
-    slice_bytes: int = 4_000_000,
+    slice_bytes: int = 500_000,
 ) -> DataFrame:
     """Pieces of all documents in sequences of ``length`` tokens, in the order of the Hilbert key.
 

@@ -65,7 +65,7 @@ class _Table:
 
 
 class WordEncoder:
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.plain, self.most = Tokenizer.from_file(path), most
