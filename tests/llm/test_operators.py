@@ -253,6 +253,35 @@ def test_crowded_buckets_of_lines(spark):
     assert sum(1 for v in got.values() if v == 0) == min(groups, normal)
 
 
+def edit_distance(a, b):
+    """Between two sequences, row by row."""
+    a, b = np.array(list(a)), np.array(list(b))
+    p, at = np.arange(len(b) + 1), np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        q = np.minimum(np.r_[i, p[:-1] + (b != x)], np.r_[i, p[1:] + 1])
+        p = np.minimum.accumulate(q - at) + at
+    return int(p[-1])
+
+
+def test_lines_alike_by_words_are_found(spark):
+    """Recall against edit similarity counted in words alone: of each line one variant, with a fifth of its words changed at most."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts = []
+    for k in range(240):
+        a = [word() for _ in range(int(rng.integers(5, 70)))]
+        b, free = list(a), max(1, int(len(a) * rng.uniform(0.02, 0.2)))
+        for at in rng.choice(len(a), free, replace=False):
+            b[at] = word()
+        texts += [" ".join(a), " ".join(b)]
+    alike = [edit_distance(texts[i].split(), texts[i + 1].split()) <= 0.2 * len(texts[i].split()) for i in range(0, len(texts), 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r._lines.n_removed for r in lines.dedup_lines(Scratch(spark), df, radius=None).collect()}
+    found = [got[i + 1] == 1 for i in range(0, len(texts), 2)]
+    assert all(got[i] == 0 for i in range(0, len(texts), 2)) and sum(alike) > 200
+    assert sum(f and a for f, a in zip(found, alike, strict=True)) >= 0.95 * sum(alike)
+
+
 def test_quality_counts(spark, docs, texts, empty):
     got = {r.doc_id: r for r in quality.quality(Scratch(spark), docs).collect()}
     for i, t, *_ in texts:
