@@ -282,6 +282,25 @@ def test_lines_alike_by_words_are_found(spark):
     assert sum(f and a for f, a in zip(found, alike, strict=True)) >= 0.95 * sum(alike)
 
 
+def test_lines_alike_by_characters_are_found(spark):
+    """Short lines with a typo in a word, and longer ones with typos in more than a fifth of their words."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    texts = []
+    for n, typos in [(3, 1), (4, 1), (4, 2), (6, 2), (8, 2), (12, 3), (24, 6), (40, 10), (200, 50)] * 8:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for at in rng.choice(n, typos, replace=False):
+            b[at] = b[at][:3] + "z" + b[at][4:]
+        texts += [" ".join(a), " ".join(b)]
+    texts += ["ab cd ef", "ab cd gh"]  # 2 of 8 characters
+    assert all(edit_distance(a, b) <= 0.2 * len(a) for a, b in zip(texts[:-2:2], texts[1:-2:2], strict=True))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r._lines.n_removed for r in lines.dedup_lines(Scratch(spark), df, radius=None).collect()}
+    assert sum(got[i + 1] for i in range(0, len(texts) - 2, 2)) >= 0.95 * (len(texts) // 2 - 1)
+    assert all(got[i] == 0 for i in range(0, len(texts), 2)) and got[len(texts) - 1] == 0
+
+
 def test_quality_counts(spark, docs, texts, empty):
     got = {r.doc_id: r for r in quality.quality(Scratch(spark), docs).collect()}
     for i, t, *_ in texts:
