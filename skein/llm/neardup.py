@@ -134,9 +134,10 @@ def near_duplicates(
     that one, and ``first`` marks one row a component even where rows repeat. Links found are exact; a link at the
     limit is missed with a chance below 1e-3 for ten trees, and below 1e-7 in nodes that need not branch.
 
-    No group larger than ``small`` is compared in one task. A node still larger after ``depth`` levels, or a larger group
-    to confirm, is dealt into blocks that share a few rows; those whose rows are then not yet in one component
-    meet the rows of the other components of their group in later blocks.
+    Nodes branch until they hold ``small`` rows, or for ``depth`` levels, as each level more loses links; of a node still
+    larger then, every two blocks are compared, which grows with the square of its rows. A larger group to confirm is dealt into blocks that share a
+    few rows; those whose rows are then not yet in one component meet the rows of the other components of their group in
+    later blocks.
     """
     spark = scratch.spark
     small_batches(spark)
@@ -192,11 +193,12 @@ def near_duplicates(
         done = rows.join(found.where(F.col("n") <= small).select("node"), "node").select("node", "uid")
         large = rows.join(found.where(F.col("n") > small), "node")
         if level == depth:
-            blocks = F.ceil(F.col("n") / (small - 20)).cast("int")
-            shared = F.pmod(F.xxhash64("uid", "node"), F.col("n")) < 16
-            own = F.array(F.pmod(F.xxhash64("uid", F.col("node"), F.lit(5)), blocks).cast("int"))
-            large = large.select("uid", "node", F.explode(F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("b"))
-            done = done.unionByName(large.select(F.xxhash64("node", "b").alias("node"), "uid"))
+            # Every two blocks of a node meet, in a node of their own: no pair of the node's rows is left out.
+            half = small // 2
+            large = large.withColumn("k", F.ceil(F.col("n") / half).cast("int"))
+            own = F.pmod(F.xxhash64("uid", F.col("node"), F.lit(5)), F.col("k")).cast("int")
+            large = large.withColumn("own", own).select("uid", "node", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b")).where("own <> b")
+            done = done.unionByName(large.select(F.xxhash64("node", F.least("own", "b"), F.greatest("own", "b")).alias("node"), "uid"))
         ready = done if ready is None else ready.unionByName(done)
         if level == depth or found.where(F.col("n") > small).isEmpty():
             break

@@ -202,6 +202,20 @@ def test_large_groups_of_near_copies_in_blocks(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_pairs_of_near_copies_around_a_hot_passage(spark):
+    """Many separate pairs whose texts all share a passage, so that nodes stay large."""
+    rng = np.random.default_rng(7)
+    passage = [f"p{i}" for i in range(100)]
+    texts = []
+    for k in range(300):
+        own = [f"o{k}_{i}" for i in range(30)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + [f"x{k}"])]
+    order = rng.permutation(len(texts))
+    df = spark.createDataFrame([(int(i), texts[i]) for i in order], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(Scratch(spark), df, small=40).collect()}
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
 def test_line_dedup(spark, docs, texts, empty):
     out = lines.dedup_lines(Scratch(spark), docs)
     assert out.columns == [*docs.columns, "_lines"]
