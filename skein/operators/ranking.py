@@ -37,12 +37,12 @@ def top(df: DataFrame, key: str, name: str, n: int = MOST_RESULTS) -> DataFrame:
     return df.orderBy(F.desc("score"), name, key).limit(n)
 
 
-def bm25f(docs: DataFrame, key: str, name: str, fields: list[str], query: str, weights: list[float] | None = None, k1: float = 1.2, b: float = 0.75, most: int | None = MOST_DOCS) -> DataFrame:
+def bm25f(docs: DataFrame, key: str, name: str, fields: list[str], query: str, weights: list[float] | None = None, k1: float = 1.2, b: float = 0.75, most: int | None = MOST_DOCS, most_terms: int | None = MOST_DOC_TERMS) -> DataFrame:
     """The best documents with their scores. Only counts of the query's terms leave a document: one row a document, never one
-    a word, and the corpus figures are one small row joined back."""
+    a word, and the corpus figures are one small row joined back. ``most`` and ``most_terms`` None: whole tables, whole texts."""
     weights = weights or [8.0, 4.0, 1.0]
     q = query_terms(query)
-    d = candidates(docs, key, most).select(key, name, *[F.slice(terms(F.coalesce(f, F.lit(""))), 1, MOST_DOC_TERMS).alias(f"_t{i}") for i, f in enumerate(fields)])
+    d = candidates(docs, key, most).select(key, name, *[(ts if most_terms is None else F.slice(ts, 1, most_terms)).alias(f"_t{i}") for i, ts in enumerate(terms(F.coalesce(f, F.lit(""))) for f in fields)])
     counts = [F.size(F.expr(f"filter(_t{i}, x -> x = '{w}')")).alias(f"_f{i}_{j}") for i in range(len(fields)) for j, w in enumerate(q)]
     d = d.select(key, name, *[F.size(f"_t{i}").alias(f"_n{i}") for i in range(len(fields))], *counts)
     has = [reduce(lambda x, y: x + y, [F.col(f"_f{i}_{j}") for i in range(len(fields))]) > 0 for j in range(len(q))]
@@ -59,12 +59,13 @@ def bm25f(docs: DataFrame, key: str, name: str, fields: list[str], query: str, w
     return top(d.select(key, name, score.alias("score")).where("score > 0"), key, name)
 
 
-def grams(text: Column, low: int = 2, high: int = 5, most: int = 512) -> Column:
+def grams(text: Column, low: int = 2, high: int = 5, most: int | None = 512) -> Column:
     """Distinct character n-grams of the terms of a text, in order."""
-    return F.slice(F.array_distinct(F.flatten(F.transform(terms(text), lambda w: F.flatten(F.transform(
+    found = F.array_distinct(F.flatten(F.transform(terms(text), lambda w: F.flatten(F.transform(
         F.sequence(F.lit(low), F.lit(high)),
         lambda n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, n)), lambda g: F.length(g) == n),
-    ))))), 1, most)
+    )))))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def query_grams(words: list[str], low: int = 2, high: int = 5, most: int = 512) -> list[str]:
@@ -78,7 +79,7 @@ def char_ngrams(docs: DataFrame, key: str, name: str, fields: list[str], query:
     q = query_grams(query_terms(query))
     d = candidates(docs, key, most)
     wanted = F.array(*map(F.lit, q))
-    held = [F.array_intersect(grams(F.coalesce(f, F.lit(""))), wanted) for f in fields]
+    held = [F.array_intersect(grams(F.coalesce(f, F.lit("")), most=None if most is None else 512), wanted) for f in fields]
     each = F.flatten(F.array(*[_weighted(h, w) for h, w in zip(held, weights, strict=True)]))
     hits = d.select(key, name, F.explode(each).alias("h")).groupBy(key, name, "h.g").agg(F.sum("h.w").alias("w"))
     total = d.agg(F.count("*").alias("_docs"))
@@ -127,11 +128,11 @@ def query_views(query: str, most: int = 8) -> list[str]:
     return views
 
 
-def rank_fusion(docs: DataFrame, key: str, name: str, short: str, body: str, query: str) -> DataFrame:
+def rank_fusion(docs: DataFrame, key: str, name: str, short: str, body: str, query: str, most: int | None = MOST_DOCS) -> DataFrame:
     """Documents by their best rank in any view of the query, then in the whole query, the number of views, and the first view."""
     ranked = []
     for i, view in enumerate(query_views(query)):
-        r = weighted_lexical(docs, key, name, short, body, view)
+        r = weighted_lexical(docs, key, name, short, body, view, most)
         w = Window.orderBy(F.desc("score"), name, key)  # at most 50 rows
         ranked.append(r.select(key, F.row_number().over(w).alias("rank"), F.lit(i).alias("view")))
     both = reduce(DataFrame.unionByName, ranked)

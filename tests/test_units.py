@@ -194,3 +194,16 @@ def test_snapshot_reuses_each_item_once(spark):
     old = spark.createDataFrame([Row(k=1, s=1, c="a"), Row(k=1, s=2, c="a")])
     new = spark.createDataFrame([Row(k=1, s=10, c="a"), Row(k=1, s=11, c="a"), Row(k=1, s=12, c="a")])
     assert sorted((r.s, r.old_seq) for r in reducers.snapshot_match(old, new, "k", "s", "c").collect() if r.old_seq) == [(10, 1), (11, 2)]
+
+
+def test_rankings_read_whole_tables(spark, tmp_path):
+    """The best rows have keys after the first 1,000; in one text the words stand after 4,096 characters and 256 terms."""
+    from skein.plans import registry
+
+    best = 1500
+    parts = [(i, "blue metal bolt small gear red" if i == best else f"plain{i} thing", "Brand#4", "ECONOMY widget") for i in range(1, 1601)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    texts = [(i, "filler " * 700 + "thin tion hand" if i == best else "other words", "de", "src1") for i in range(1, 1601)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("bm25_single", "char_ngram", "weighted_lexical", "rank_fusion", "bm25f_whole"):
+        assert registry.QUERIES[name](spark, str(tmp_path)).first()[0] == best, name
