@@ -167,14 +167,35 @@ RULES = {
     "see-license": ("license", [r"see (?:the )?(?:file )?license(?: txt| md| file)? for (?:details|more information)", r"see the accompanying license file"]),
     "terms-of-service": ("terms", [r"subject to (?:our|the) terms of (?:service|use)"]),
 }
+#: Keywords of the regexes that match without their family's keyword: every match holds one of them as a word.
+OWN_KEYWORDS = {
+    r"agpl(?: v)? ?3(?: 0)?(?: only| or later)?": ["agpl", "agpl3"],
+    r"agplv3": ["agplv3"],
+    r"gnu gpl": ["gpl"],
+    r"gplv[123]": ["gplv1", "gplv2", "gplv3"],
+    r"lgplv[23]": ["lgplv2", "lgplv3"],
+    r"freebsd licen[sc]e": ["freebsd"],
+    r"zero clause bsd": ["bsd"],
+    r"free public licen[sc]e 1 0 0": ["public"],
+    r"berkeley software distribution": ["berkeley"],
+    r"redistributions of source code must retain the above copyright": ["redistributions"],
+    r"mplv2": ["mplv2"],
+    r"creativecommons org licenses by": ["creativecommons"],
+    r"psf licen[sc]e": ["psf"],
+    r"ms pl": ["pl"],
+    r"ms rl": ["rl"],
+    r"odc by": ["odc"],
+    r"beer ?ware licen[sc]e": ["beer", "beerware"],
+    r"(?:may not|must not|shall not) be used (?:for|to) train(?:ing)?": ["train", "training"],
+}
 #: Signatures that grant or withhold rights by name count fully; notices in passing count less.
 WEAK = {"copyright", "warranty", "permission", "see-license", "terms-of-service", "all-rights-reserved", "licensed-as"}
 
 
 def rule_rows() -> list[tuple[int, str, str, str]]:
-    """(priority, keyword, regex, label), the most specific first."""
-    rows = [(keyword, r.replace("#", _V), re.sub(r"-(?:long|short|text)$", "", label)) for label, (keyword, rs) in RULES.items() for r in rs]
-    return [(i, *r) for i, r in enumerate(rows)]
+    """(priority, keyword, regex, label), the most specific first; a regex with several keywords has a row for each."""
+    rows = [(keyword, r, re.sub(r"-(?:long|short|text)$", "", label)) for label, (keyword, rs) in RULES.items() for r in rs]
+    return [(i, k, r.replace("#", _V), label) for i, (keyword, r, label) in enumerate(rows) for k in OWN_KEYWORDS.get(r, [keyword])]
 
 
 def lowered(text: Column) -> Column:
@@ -206,7 +227,7 @@ def places(norm: Column, regex: str | Column) -> Column:
 def scan(scratch: Scratch, docs: DataFrame, rules: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A text is opened to the rules whose keyword is among its words. A detection that lies within another goes; of equal ones
+    A text is opened to the rules whose keyword, which every match of theirs holds, is among its words. A detection that lies within another goes; of equal ones
     the rule of higher priority stays. The score is 1 for a strong label of the base, 0.9 for other named
     licenses, 0.5 for notices, else 0. Null and empty texts have no words; repeated rows get equal results; other columns
     are ignored; an empty table gives an empty result.

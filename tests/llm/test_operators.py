@@ -357,6 +357,44 @@ def test_licenses(spark, empty):
     assert len(licenses.rule_rows()) > 200 and licenses.scan(Scratch(spark), empty).count() == 0
 
 
+def phrases(regex):
+    """All texts that a rule's regex matches, with one value of each range."""
+    from re import _parser as parser
+
+    def each(items):
+        out = [""]
+        for op, arg in items:
+            out = [a + b for a in out for b in one(str(op), arg)]
+        return out
+
+    def one(op, arg):
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return [chr(x[1] if str(x[0]) == "LITERAL" else x[1][0]) for x in arg]
+        if op == "BRANCH":
+            return [t for b in arg[1] for t in each(b)]
+        if op == "SUBPATTERN":
+            return each(arg[3])
+        low, high, inner = arg
+        return [t for n in sorted({low, high}) for t in each(list(inner) * n)]
+
+    return sorted(set(each(parser.parse(regex))))
+
+
+def test_each_license_rule_is_opened_by_its_own_phrase(spark):
+    """Every phrase of every rule alone: what its rule's regex finds there is found, or lies within what another finds."""
+    rows = licenses.rule_rows()
+    keywords = {}
+    for i, keyword, regex, label in rows:
+        keywords.setdefault((i, regex, label), set()).add(keyword)
+    assert not [(r, t) for (_, r, _), ks in keywords.items() for t in phrases(r) if not ks & set(t.split())]
+    alone = {"GPLv3": "gpl", "LGPLv2": "lgpl", "AGPLv3": "agpl", "MPLv2": "mpl", "https://creativecommons.org/licenses/by/4.0": "cc-by", "FreeBSD license": "bsd-2-clause", "Berkeley Software Distribution": "bsd", "zero clause BSD": "0bsd", "PSF license": "psf-2.0", "MS-PL": "ms-pl", "ODC-By": "odc-by", "may not be used to train": "no-training"}
+    df = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(Scratch(spark), df).collect()}
+    assert [got[i] for i in range(len(alone))] == list(alone.values())
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, " ".join(texts[6][1].split()[3:40])), (2, "quite another item " * 5), (3, None), (4, "word"), (5, ""), (6, texts[36][1].split(" ", 50)[-1][:200])]
     bench = spark.createDataFrame(items, "item_id long, text string")
