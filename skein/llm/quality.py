@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import Scratch, bind, documents, words
 
-#: Measures that are judged, and the least upper limit each may get (in thousandths, or hundredths for word length).
-MEASURES = {"word_length": 1500, "symbols": 50, "dup_lines": 600, "repeats": 300}
+#: Measures that are judged: the quantile (in thousandths) from which its upper limit starts, the one its spread is taken
+#: to, how many spreads the limit lies above, and whether a lower limit mirrors it. Texts without symbols are the rule, but
+#: repeats are rare even in good sources, so their limits start far up.
+MEASURES = {"word_length": (750, 250, 4, True), "symbols": (750, 250, 6, False), "dup_lines": (980, 500, 2, False), "repeats": (980, 500, 2, False)}
+#: The last bin of word length (hundredths) holds all that is longer, so a sketch has at most some 8,000 bins.
+LONGEST = 5000
 
 
 def window_hashes(ws: Column, size: int) -> Column:
@@ -83,7 +87,7 @@ def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
 def rates() -> dict[str, Column]:
     """Whole-number measures; each is a bin of the sketch."""
     return {
-        "word_length": F.expr("least(word_chars * 100 div greatest(n_words, 1), 100000)"),
+        "word_length": F.expr(f"least(word_chars * 100 div greatest(n_words, 1), {LONGEST})"),
         "symbols": F.expr("n_symbols * 1000 div greatest(word_chars, 1)"),
         "dup_lines": F.expr("n_dup_lines * 1000 div greatest(_n_lines, 1)"),
         "repeats": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
@@ -92,63 +96,76 @@ def rates() -> dict[str, Column]:
 
 def sketch(rows: DataFrame) -> DataFrame:
     """Counts by language, source, measure and bin. Two sketches merge by adding the counts of equal bins, so the
-    sketch of a language is the sum of those of its sources; quantiles are exact to a bin."""
+    sketch of a language is the sum of those of its sources; quantiles are exact to a bin, and the number of bins is bounded."""
     values = [F.struct(F.lit(k).alias("measure"), v.cast("long").alias("bin")) for k, v in rates().items()]
     return rows.select("lang", "source", F.explode(F.array(*values)).alias("v")).groupBy("lang", "source", "v.measure", "v.bin").agg(
         F.count("*").alias("n")
     )
 
 
-def limits(bins: DataFrame, keys: list[str], spread: float, least: int) -> DataFrame:
-    """Upper limits per group and measure: the third quartile plus ``spread`` times the distance to the first.
-    Groups of fewer than ``least`` rows have none."""
+def limits(bins: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Limits (``_low``, ``_top``: maps by measure) of each group of at least ``least`` rows, from the quantiles of its sketch."""
     by = ", ".join([*keys, "measure"])
     ranked = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     ranked = ranked.selectExpr("*", f"sum(n) over (partition by {by} order by bin) as upto", f"sum(n) over (partition by {by}) as total")
-    q = ranked.where(f"total >= {least}").groupBy(*keys, "measure").agg(
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"),
-    )
-    floor = F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v))])
-    top = F.greatest(F.col("q3") + F.floor((F.col("q3") - F.col("q1")) * spread), floor[F.col("measure")].cast("long"))
-    return q.select(*keys, "measure", top.alias("top")).groupBy(*keys).pivot("measure", list(MEASURES)).agg(F.first("top"))
+    groups = []
+    for m, (start, to, spread, lower) in MEASURES.items():
+        at = lambda p: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * p, F.col("bin")))
+        q = ranked.where(f"total >= {least} and measure = '{m}'").groupBy(*keys, "measure").agg(
+            at(start).alias("a"), at(to).alias("b"), at(1000 - start).alias("c"), at(1000 - to).alias("d")
+        )
+        top = F.col("a") + spread * F.greatest(F.col("a") - F.col("b"), F.lit(1))
+        low = F.col("c") - spread * F.greatest(F.col("d") - F.col("c"), F.lit(1)) if lower else F.lit(0)
+        groups.append(q.select(*keys, "measure", top.cast("long").alias("top"), low.cast("long").alias("low")))
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g)
+    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("measure", c)))  # noqa: E731  four entries
+    return out.groupBy(*keys).agg(as_map("low").alias("_low"), as_map("top").alias("_top"))
+
+
+def group_limits(scratch: Scratch, rows: DataFrame, least: int) -> DataFrame:
+    """Limits of every language and source of ``rows``: its own, or those of its language, or those of the whole table."""
+    bins = scratch.keep(sketch(rows))
+    out = bins.select("lang", "source").distinct()
+    for n, keys in enumerate((["lang", "source"], ["lang"], [])):
+        # Also where no group has rows enough, a row of nulls must be found: hence left joins.
+        some = limits(bins, keys, least).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_low").alias(f"_low{n}"), F.col("_top").alias(f"_top{n}"))
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        out = out.join(some, on, "left").drop(*[f"_k_{k}" for k in keys])
+    pick = lambda c: F.coalesce(*[F.col(f"_{c}{n}") for n in range(3)]).alias(f"_{c}")
+    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), pick("low"), pick("top"))
 
 
-def judged(rows: DataFrame, spread: float = 6.0, least: int = 30) -> DataFrame:
+def judged(scratch: Scratch, rows: DataFrame, least: int = 100) -> DataFrame:
     """``measured`` rows with ``base_failed`` and ``kept``.
 
-    A text fails if one of its measures is above the limit of its language and source; if these have fewer
-    than ``least`` rows, of its language; else of the whole table. Limits never fall below MEASURES, so tight groups keep
-    their ordinary texts. Null languages and sources are groups like others; null texts have no words and fail;
-    repeated rows are judged alike; an empty table gives an empty result.
+    A text fails if one of its measures is beyond a limit of its language and source; if these have fewer
+    than ``least`` rows, of its language; else of the whole table, and if that is smaller too, only the base rule counts.
+    All limits come from quantiles of the rows; the least spread is one bin. Null languages and sources are groups like
+    others; null texts have no words and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
-    bins = sketch(rows)
+    # Read from a table, the limits have a known size: Spark broadcasts them only if they are small.
+    top = scratch.keep(group_limits(scratch, rows, least))
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     out = rows.withColumn("base_failed", base)
-    # Limits are a few numbers for each language and source.
-    for n, keys in enumerate((["lang", "source"], ["lang"], [])):
-        top = limits(bins, keys, spread, least).select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(m).alias(f"_{n}_{m}") for m in MEASURES]
-        )
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        out = out.join(F.broadcast(top), on, "left")
-        out = out.drop(*[f"_k_{k}" for k in keys])
+    out = out.join(top, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
     for m, v in rates().items():
-        fine = fine & (v <= F.coalesce(*[F.col(f"_{n}_{m}") for n in range(3)], F.lit(MEASURES[m])))
-    return out.withColumn("kept", ~base & fine).drop(*[f"_{n}_{m}" for n in range(3) for m in MEASURES])
+        fine = fine & F.coalesce(v.between(F.col("_low")[m], F.col("_top")[m]), F.lit(True))
+    return out.withColumn("kept", ~base & fine).drop("_lang", "_source", "_low", "_top")
 
 
-def quality(scratch: Scratch, docs: DataFrame, spread: float = 6.0, least: int = 30) -> DataFrame:
+def quality(scratch: Scratch, docs: DataFrame, least: int = 100) -> DataFrame:
     """Counts, ``base_failed`` and ``kept`` of each row of ``docs`` (doc_id, text, lang, source); other columns are ignored."""
-    return judged(scratch.keep(measured(docs)), spread, least)
+    return judged(scratch, scratch.keep(measured(docs)), least)
 
 
-def keep_good(scratch: Scratch, docs: DataFrame, spread: float = 6.0, least: int = 30) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    return judged(scratch.keep(measured(docs, carry=True)), spread, least).where("kept").select("_row.*")
+def keep_good(scratch: Scratch, docs: DataFrame, least: int = 100) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names."""
+    return judged(scratch, scratch.keep(measured(docs, carry=True)), least).where("kept").select("_row.*")
 
 
 def op2_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +185,16 @@ b as (select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_s
   len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls,
   coalesce(rep.n, 0)::bigint as n_repeat_words from w left join rep on rep.doc_id = w.doc_id),
 c as (select *, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b),
-m as (select *, least(word_chars * 100 // greatest(n_words, 1), 100000) as m1, n_symbols * 1000 // greatest(word_chars, 1) as m2,
+m as (select *, least(word_chars * 100 // greatest(n_words, 1), 5000) as m1, n_symbols * 1000 // greatest(word_chars, 1) as m2,
   n_dup_lines * 1000 // greatest(len(ls), 1) as m3, n_repeat_words * 1000 // greatest(n_words, 1) as m4 from c),
 v as (select doc_id, lang, source, unnest([1, 2, 3, 4]) as k, unnest([m1, m2, m3, m4]) as bin from m),
 g as (select 0 as lv, lang, source, k, bin from v union all select 1, lang, null, k, bin from v union all select 2, null, null, k, bin from v),
 r as (select *, row_number() over (partition by lv, lang, source, k order by bin) as upto, count(*) over (partition by lv, lang, source, k) as total from g),
-q as (select lv, lang, source, k, min(bin) filter (where upto * 4 >= total) as q1, min(bin) filter (where upto * 4 >= total * 3) as q3 from r where total >= 30 group by 1, 2, 3, 4),
-t as (select lv, lang, source, k, greatest(q3 + floor((q3 - q1) * 6.0), [1500, 50, 600, 300][k]) as top from q),
-j as (select v.doc_id, bool_and(v.bin <= coalesce(a.top, l.top, o.top, [1500, 50, 600, 300][v.k])) as fine from v
+p as (select *, [750, 750, 980, 980][k] as qs, [250, 250, 500, 500][k] as qt, [4, 6, 2, 2][k] as f from r where total >= 100),
+q as (select lv, lang, source, k, f, min(bin) filter (where upto * 1000 >= total * qs) as a, min(bin) filter (where upto * 1000 >= total * qt) as b,
+  min(bin) filter (where upto * 1000 >= total * (1000 - qs)) as c, min(bin) filter (where upto * 1000 >= total * (1000 - qt)) as d from p group by 1, 2, 3, 4, 5),
+t as (select lv, lang, source, k, a + f * greatest(a - b, 1) as top, case when k = 1 then c - f * greatest(d - c, 1) else 0 end as low from q),
+j as (select v.doc_id, bool_and(coalesce(v.bin between coalesce(a.low, l.low, o.low) and coalesce(a.top, l.top, o.top), true)) as fine from v
   left join t a on a.lv = 0 and a.lang is not distinct from v.lang and a.source is not distinct from v.source and a.k = v.k
   left join t l on l.lv = 1 and l.lang is not distinct from v.lang and l.k = v.k left join t o on o.lv = 2 and o.k = v.k group by 1)
 select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from m join j on j.doc_id = m.doc_id"""
