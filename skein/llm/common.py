@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,10 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own in local mode (tests);
+    a cluster raises a ValueError, as its executors would not see each other's files."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-checkpoint-")
         sc.setCheckpointDir(where)
     return where
@@ -45,10 +49,22 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._skein_path)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t._skein_path)
+
+    def clear(self) -> None:
+        """Delete all tables; what was made of them must have been written."""
+        self._delete(self.root)
+
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose DataFrames are gone; else they stay until the driver happens
+        to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -68,18 +84,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def _marks(wanted: DataFrame, h: str, bits: int) -> DataFrame:
+    """Hashes as marks in a bitmap of 2**bits bits. It has at most 2**bits / 64 rows however many hashes there
+    are, so it can be broadcast."""
+    marks = wanted.select(_word(F.col(h), bits).alias("_word"), _bit(F.col(h)).alias("_bit"))
+    return F.broadcast(marks.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def _word(h: Column, bits: int) -> Column:
+    return F.shiftright(F.pmod(h, F.lit(1 << bits)), 6).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+
+
 def likely(df: DataFrame, h: str, wanted: DataFrame, bits: int = 22) -> DataFrame:
     """Rows of ``df`` whose hash ``h`` may be among those of ``wanted``, kept back before a shuffle; a join must follow.
+    Where the bitmap fills up, more rows pass."""
+    out = df.withColumn("_word", _word(F.col(h), bits)).join(_marks(wanted, h, bits), "_word")
+    return out.where(F.col("_bits").bitwiseAND(_bit(F.col(h))) != 0).drop("_word", "_bits")
 
-    The wanted hashes are marks in a bitmap of 2**bits bits. It has at most 2**bits / 64 rows however many
-    hashes there are, so it can be broadcast; where it fills up, more rows pass.
-    """
-    place = lambda c: F.pmod(c, F.lit(1 << bits))
-    word = lambda c: F.shiftright(place(c), 6).cast("int")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))
-    marks = wanted.select(word(F.col(h)).alias("_word"), bit(F.col(h)).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    out = df.withColumn("_word", word(F.col(h))).join(F.broadcast(marks), "_word")
-    return out.where(F.col("_bits").bitwiseAND(bit(F.col(h))) != 0).drop("_word", "_bits")
+
+def parted(df: DataFrame, h: str, wanted: DataFrame, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose hash ``h`` may be among those of ``wanted``, and those that need no join."""
+    out = df.withColumn("_word", _word(F.col(h), bits)).join(_marks(wanted, h, bits), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(_bit(F.col(h))) != 0, F.lit(False))
+    return tuple(out.where(c).drop("_word", "_bits") for c in (hit, ~hit))
 
 
 def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
