@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, components, documents, likely, small_batches
+from skein.llm.common import Scratch, components, documents, likely, parted, small_batches
 from skein.llm.wordhash import buffers, mix, spans, split, text_slices
 
 
@@ -170,8 +170,9 @@ def near_duplicates(
     # Of each class of equal sets, the row with the smallest doc_id stands for it.
     classes = a.where("n > 0").groupBy(*same).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("rep"))
     classes = scratch.keep(classes)
-    reps = a.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "th", "tok")
-    reps = scratch.keep(reps)
+    reps = scratch.keep(a.join(classes.select(F.col("rep").alias("uid")), "uid").select("uid", "doc_id", "th", "tok"))
+    a, with_tokens = scratch.keep(a.drop("tok")), a
+    scratch.drop(with_tokens)
 
     def children(df: DataFrame, seed) -> DataFrame:
         """The children of each row's node: one chosen token, and in 18 of 100 nodes a second one."""
@@ -181,7 +182,7 @@ def near_duplicates(
         return df.select("uid", F.explode(F.when(two & (pick[0] != pick[1]), F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
     rows = children(reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))), F.xxhash64(F.lit(977), F.col("tree")))
-    ready = None
+    ready, used = None, []
     for level in range(1, depth + 1):
         rows = scratch.keep(rows)
         # Nodes of the same rows, as most are in the several trees, are one.
@@ -190,6 +191,7 @@ def near_duplicates(
         )
         found = found.where("low <> high")
         found = scratch.keep(found.groupBy("n", "low", "high", "all").agg(F.min("node").alias("node")).select("node", "n"))
+        used += [rows, found]
         done = rows.join(found.where(F.col("n") <= small).select("node"), "node").select("node", "uid")
         large = rows.join(found.where(F.col("n") > small), "node")
         if level == depth:
@@ -226,10 +228,14 @@ def near_duplicates(
 
     near = ready.join(reps.select("uid", "tok"), "uid").repartition("node").sortWithinPartitions("node")
     near = scratch.keep(near.mapInArrow(compare, "u long, v long").distinct())
+    ids = scratch.keep(reps.select("uid", "doc_id", "th"))
+    scratch.drop(reps, *used)
+    del rows, found, ready, done, large, used
+    scratch.free()
     groups = scratch.keep(components(scratch, near).select(F.col("id").alias("uid"), F.col("component").alias("grp")))
     sizes = scratch.keep(groups.groupBy("grp").agg(F.count("*").alias("n")))
 
-    large_groups = sizes.where(F.col("n") > small).select("grp", F.lit(True).alias("large"))  # few: each has over ``small`` rows
+    large_groups = scratch.keep(sizes.where(F.col("n") > small).select("grp", F.lit(True).alias("large")))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links within each task's rows on their full sets: each row with the smallest it reaches there."""
@@ -253,13 +259,13 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, g)], names=["u", "v", "grp"])
 
     def confirmed(tasks: DataFrame) -> DataFrame:
-        wanted = tasks.join(reps.select("uid", "doc_id", "th"), "uid")
+        wanted = tasks.join(ids, "uid")
         one = likely(docs, "th", wanted)
         one = one.groupBy("doc_id", "th").agg(F.first("text").alias("text")) if repeated else one
         texts = one.join(wanted, one.doc_id.eqNullSafe(wanted.doc_id) & one.th.eqNullSafe(wanted.th)).select("task", "grp", "uid", "text")
         out = texts.repartition("task").sortWithinPartitions("task", "uid").mapInArrow(confirm, "u long, v long, grp long")
         out = scratch.keep(out)
-        return out.join(F.broadcast(large_groups), "grp", "left").select("u", "v", F.col("large").isNotNull().alias("large"))
+        return out.join(large_groups, "grp", "left").select("u", "v", F.col("large").isNotNull().alias("large"))
 
     of = groups.join(sizes, "grp")
     blocks = F.ceil(F.col("n") / (small - 20)).cast("int")
@@ -278,12 +284,12 @@ def near_duplicates(
         have = big.join(comp_big.select(F.col("id").alias("uid"), "component"), "uid", "left")
         have = scratch.keep(have.withColumn("component", F.coalesce("component", "uid")))
         most = have.groupBy("grp", "component").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
-        have = scratch.keep(have.join(F.broadcast(most), "grp"))  # a row for each group larger than ``small``
+        have = scratch.keep(have.join(scratch.keep(most), "grp"))
         rest = have.where("component <> main")
         if not rest.isEmpty():
             half = small // 2
             left = rest.groupBy("grp").agg(F.ceil(F.count("*") / half).cast("int").alias("rb"))
-            have = have.join(F.broadcast(left), "grp").withColumn("bb", F.ceil(F.col("n") / half).cast("int"))
+            have = have.join(scratch.keep(left), "grp").withColumn("bb", F.ceil(F.col("n") / half).cast("int"))
             mine = F.pmod(F.xxhash64("uid", F.lit(7)), F.col("bb")).cast("int")
             ours = F.pmod(F.xxhash64("uid", F.lit(9)), F.col("rb")).cast("int")
             others = have.select("uid", "grp", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"))
@@ -305,14 +311,19 @@ def near_duplicates(
 
 
 def one_of_each(scratch: Scratch, docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stand first in their component, with all their columns; of repeated rows one."""
-    found = near_duplicates(scratch, docs, **settings).where("first").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
-    out = docs.withColumn("_h", F.xxhash64("text"))
-    repeated = not out.groupBy("doc_id", "_h").count().where("count > 1").isEmpty()
-    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_h").eqNullSafe(F.col("_t")))
-    if repeated:
-        out = out.withColumn("_r", F.expr("row_number() over (partition by _d, _t order by _h)")).where("_r = 1")
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that stand first in their component, with all their columns, whatever their names; of repeated rows one."""
+    found = near_duplicates(scratch, docs, **settings).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    odd = found.agg(F.max("first").alias("first"), F.count("*").alias("n")).where("n > 1 or not first")
+    odd = scratch.keep(odd.withColumn("h", F.xxhash64("d", "t")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    # Only what may go, or stands twice, is shuffled.
+    maybe, others = parted(rows.withColumn("h", F.xxhash64("d", "t")), "h", odd)
+    o = odd.select(F.col("d").alias("od"), F.col("t").alias("ot"), "first", "n")
+    maybe = maybe.join(o, F.col("d").eqNullSafe(F.col("od")) & (F.col("t") == F.col("ot")), "left").where("first is null or first")
+    if not odd.where("n > 1 and first").isEmpty():
+        twice = maybe.where("n > 1").withColumn("k", F.expr("row_number() over (partition by d, t order by h)")).where("k = 1")
+        maybe = maybe.where("n is null or n = 1").unionByName(twice.drop("k"))
+    return others.select("row.*").unionByName(maybe.select("row.*"))
 
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
