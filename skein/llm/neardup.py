@@ -122,7 +122,7 @@ def near_duplicates(
     size: int = 5,
     tokens: int = 128,
     trees: int = 10,
-    depth: int = 3,
+    depth: int = 8,
     small: int = 400,
     slice_bytes: int = 2_000_000,
 ) -> DataFrame:
@@ -134,10 +134,10 @@ def near_duplicates(
     that one, and ``first`` marks one row a component even where rows repeat. Links found are exact; a link at the
     limit is missed with a chance below 1e-3 for ten trees, and below 1e-7 in nodes that need not branch.
 
-    Nodes branch until they hold ``small`` rows, or for ``depth`` levels, as each level more loses links; of a node still
-    larger then, every two blocks are compared, which grows with the square of its rows. A larger group to confirm is dealt into blocks that share a
-    few rows; those whose rows are then not yet in one component meet the rows of the other components of their group in
-    later blocks.
+    Nodes branch until they hold ``small`` rows, or for ``depth`` levels: rows that share half their tokens hardly stay
+    together so long, near copies do. A node still larger then, and a larger group to confirm, is dealt into blocks that
+    share a few rows, so its work grows with its rows; those whose rows are then not yet in one component with most of the node or
+    group meet all its other rows in later blocks.
     """
     spark = scratch.spark
     small_batches(spark)
@@ -181,8 +181,35 @@ def near_duplicates(
         two = F.pmod(F.xxhash64(seed, F.lit(2)), F.lit(100)) < 18
         return df.select("uid", F.explode(F.when(two & (pick[0] != pick[1]), F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
+    def dealt(of: DataFrame) -> DataFrame:
+        """Rows (uid, grp, n) of groups as (uid, grp, task): larger ones in blocks that share a few rows."""
+        blocks = F.ceil(F.col("n") / (small - 20)).cast("int")
+        shared = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("n")) < 16
+        own = F.array(F.pmod(F.xxhash64("uid", F.lit(5)), blocks).cast("int"))
+        block = F.when(F.col("n") <= small, F.array(F.lit(0))).when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(own)
+        return of.select("uid", "grp", F.explode(block).alias("b")).select("uid", "grp", F.xxhash64("grp", "b").alias("task"))
+
+    def still_apart(of: DataFrame, comp: DataFrame) -> DataFrame | None:
+        """For groups of rows (uid, grp, n) larger than ``small``: tasks (uid, task) in which the rows outside a group's largest
+        component meet all others of the group; None if there are none."""
+        have = of.join(comp.select(F.col("id").alias("uid"), "component"), "uid", "left")
+        have = scratch.keep(have.withColumn("component", F.coalesce("component", "uid")))
+        most = have.groupBy("grp", "component").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
+        have = scratch.keep(have.join(scratch.keep(most), "grp"))
+        rest = have.where("component <> main")
+        if rest.isEmpty():
+            return None
+        half = small // 2
+        left = scratch.keep(rest.groupBy("grp").agg(F.ceil(F.count("*") / half).cast("int").alias("rb")))
+        have = have.join(left, "grp").withColumn("bb", F.ceil(F.col("n") / half).cast("int"))
+        mine = F.pmod(F.xxhash64("uid", F.lit(7)), F.col("bb")).cast("int")
+        ours = F.pmod(F.xxhash64("uid", F.lit(9)), F.col("rb")).cast("int")
+        others = have.select("uid", "grp", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"))
+        again = have.where("component <> main").select("uid", "grp", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("b"), ours.alias("r"))
+        return others.unionByName(again).select("uid", F.xxhash64("grp", "b", "r", F.lit(1)).alias("task")).distinct()
+
     rows = children(reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))), F.xxhash64(F.lit(977), F.col("tree")))
-    ready, used = None, []
+    ready, used, last = None, [], None
     for level in range(1, depth + 1):
         rows = scratch.keep(rows)
         # Nodes of the same rows, as most are in the several trees, are one.
@@ -195,12 +222,9 @@ def near_duplicates(
         done = rows.join(found.where(F.col("n") <= small).select("node"), "node").select("node", "uid")
         large = rows.join(found.where(F.col("n") > small), "node")
         if level == depth:
-            # Every two blocks of a node meet, in a node of their own: no pair of the node's rows is left out.
-            half = small // 2
-            large = large.withColumn("k", F.ceil(F.col("n") / half).cast("int"))
-            own = F.pmod(F.xxhash64("uid", F.col("node"), F.lit(5)), F.col("k")).cast("int")
-            large = large.withColumn("own", own).select("uid", "node", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("b")).where("own <> b")
-            done = done.unionByName(large.select(F.xxhash64("node", F.least("own", "b"), F.greatest("own", "b")).alias("node"), "uid"))
+            last = scratch.keep(large.select("uid", F.col("node").alias("grp"), "n"))
+            used.append(last)
+            done = done.unionByName(dealt(last).select(F.col("task").alias("node"), "uid"))
         ready = done if ready is None else ready.unionByName(done)
         if level == depth or found.where(F.col("n") > small).isEmpty():
             break
@@ -226,8 +250,15 @@ def near_duplicates(
                 v.append(uid[s][low[other]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    near = ready.join(reps.select("uid", "tok"), "uid").repartition("node").sortWithinPartitions("node")
-    near = scratch.keep(near.mapInArrow(compare, "u long, v long").distinct())
+    def compared(nodes: DataFrame) -> DataFrame:
+        near = nodes.join(reps.select("uid", "tok"), "uid").repartition("node").sortWithinPartitions("node")
+        return scratch.keep(near.mapInArrow(compare, "u long, v long").distinct())
+
+    near = compared(ready)
+    if last is not None:
+        tasks = still_apart(last, scratch.keep(components(scratch, near)))
+        if tasks is not None:
+            near = near.unionByName(compared(tasks.withColumnRenamed("task", "node")))
     ids = scratch.keep(reps.select("uid", "doc_id", "th"))
     scratch.drop(reps, *used)
     del rows, found, ready, done, large, used
@@ -268,33 +299,16 @@ def near_duplicates(
         return out.join(large_groups, "grp", "left").select("u", "v", F.col("large").isNotNull().alias("large"))
 
     of = groups.join(sizes, "grp")
-    blocks = F.ceil(F.col("n") / (small - 20)).cast("int")
-    shared = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("n")) < 16
-    own = F.array(F.pmod(F.xxhash64("uid", F.lit(5)), blocks).cast("int"))
-    dealt = of.select("uid", "grp", F.explode(F.when(F.col("n") <= small, F.array(F.lit(0))).when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(own)).alias("b"))
-    links = confirmed(dealt.select("uid", "grp", F.xxhash64("grp", "b").alias("task")))
+    links = confirmed(dealt(of))
     # A group within one task is settled: its links are stars around its smallest row.
     big = of.where(F.col("n") > small)
     stars = links.where("not large").select(F.col("u").alias("id"), F.col("v").alias("component"))
     comp = stars.unionByName(stars.select(F.col("component").alias("id"), "component").distinct())
     if not sizes.where(F.col("n") > small).isEmpty():
-        # Rows outside their group's largest component meet all others of the group, block by block.
         links = links.where("large").select("u", "v")
-        comp_big = components(scratch, links)
-        have = big.join(comp_big.select(F.col("id").alias("uid"), "component"), "uid", "left")
-        have = scratch.keep(have.withColumn("component", F.coalesce("component", "uid")))
-        most = have.groupBy("grp", "component").agg(F.count("*").alias("m")).groupBy("grp").agg(F.max(F.struct("m", "component"))["component"].alias("main"))
-        have = scratch.keep(have.join(scratch.keep(most), "grp"))
-        rest = have.where("component <> main")
-        if not rest.isEmpty():
-            half = small // 2
-            left = rest.groupBy("grp").agg(F.ceil(F.count("*") / half).cast("int").alias("rb"))
-            have = have.join(scratch.keep(left), "grp").withColumn("bb", F.ceil(F.col("n") / half).cast("int"))
-            mine = F.pmod(F.xxhash64("uid", F.lit(7)), F.col("bb")).cast("int")
-            ours = F.pmod(F.xxhash64("uid", F.lit(9)), F.col("rb")).cast("int")
-            others = have.select("uid", "grp", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"))
-            again = have.where("component <> main").select("uid", "grp", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("b"), ours.alias("r"))
-            tasks = others.unionByName(again).select("uid", F.xxhash64("grp", "b", "r", F.lit(1)).alias("task")).distinct()
+        comp_big = scratch.keep(components(scratch, links))
+        tasks = still_apart(big, comp_big)
+        if tasks is not None:
             comp_big = components(scratch, links.unionByName(confirmed(tasks.withColumn("grp", F.lit(-1).cast("long"))).select("u", "v")))
         comp = comp.unionByName(comp_big)
     comp = scratch.keep(comp)
