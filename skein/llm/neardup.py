@@ -123,6 +123,7 @@ def near_duplicates(
     tokens: int = 128,
     trees: int = 10,
     depth: int = 8,
+    stay: float = 0.7,
     small: int = 400,
     slice_bytes: int = 2_000_000,
 ) -> DataFrame:
@@ -134,8 +135,8 @@ def near_duplicates(
     that one, and ``first`` marks one row a component even where rows repeat. Links found are exact; a link at the
     limit is missed with a chance below 1e-3 for ten trees, and below 1e-7 in nodes that need not branch.
 
-    Nodes branch until they hold ``small`` rows, or for ``depth`` levels: rows that share half their tokens hardly stay
-    together so long, near copies do. A node still larger then, and a larger group to confirm, is dealt into blocks that
+    Nodes branch until they hold ``small`` rows, or ``stay`` of their parent's rows, as near copies do, or for ``depth`` levels; rows
+    that share half their tokens hardly stay together so long. A node still larger then, and a larger group to confirm, is dealt into blocks that
     share a few rows, so its work grows with its rows; those whose rows are then not yet in one component with most of the node or
     group meet all its other rows in later blocks.
     """
@@ -179,13 +180,13 @@ def near_duplicates(
         pick = [F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(tokens)).cast("int") for k in (0, 1)]
         child = [F.xxhash64(seed, p, F.get("tok", p)) for p in pick]
         two = F.pmod(F.xxhash64(seed, F.lit(2)), F.lit(100)) < 18
-        return df.select("uid", F.explode(F.when(two & (pick[0] != pick[1]), F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
+        return df.select("uid", "up", F.explode(F.when(two & (pick[0] != pick[1]), F.array(*child)).otherwise(F.array(child[0]))).alias("node"))
 
     def dealt(of: DataFrame) -> DataFrame:
         """Rows (uid, grp, n) of groups as (uid, grp, task): larger ones in blocks that share a few rows."""
         blocks = F.ceil(F.col("n") / (small - 20)).cast("int")
-        shared = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("n")) < 16
-        own = F.array(F.pmod(F.xxhash64("uid", F.lit(5)), blocks).cast("int"))
+        shared = F.pmod(F.xxhash64("uid", "grp", F.lit(3)), F.col("n")) < 16
+        own = F.array(F.pmod(F.xxhash64("uid", "grp", F.lit(5)), blocks).cast("int"))
         block = F.when(F.col("n") <= small, F.array(F.lit(0))).when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(own)
         return of.select("uid", "grp", F.explode(block).alias("b")).select("uid", "grp", F.xxhash64("grp", "b").alias("task"))
 
@@ -208,27 +209,31 @@ def near_duplicates(
         again = have.where("component <> main").select("uid", "grp", F.explode(F.sequence(F.lit(0), F.col("bb") - 1)).alias("b"), ours.alias("r"))
         return others.unionByName(again).select("uid", F.xxhash64("grp", "b", "r", F.lit(1)).alias("task")).distinct()
 
-    rows = children(reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))), F.xxhash64(F.lit(977), F.col("tree")))
+    roots = reps.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("up", F.lit(1 << 60))
+    rows = children(roots, F.xxhash64(F.lit(977), F.col("tree")))
     ready, used, last = None, [], None
     for level in range(1, depth + 1):
         rows = scratch.keep(rows)
         # Nodes of the same rows, as most are in the several trees, are one.
         found = rows.groupBy("node").agg(
-            F.count("*").alias("n"), F.min("uid").alias("low"), F.max("uid").alias("high"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("all")
+            F.count("*").alias("n"), F.max("up").alias("up"), F.min("uid").alias("low"), F.max("uid").alias("high"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("all")
         )
         found = found.where("low <> high")
-        found = scratch.keep(found.groupBy("n", "low", "high", "all").agg(F.min("node").alias("node")).select("node", "n"))
+        found = found.groupBy("n", "low", "high", "all").agg(F.min("node").alias("node"), F.max("up").alias("up"))
+        # A node that kept most of its parent's rows holds near copies: to branch again would not part them.
+        stays = (F.col("n") >= F.col("up") * stay) | F.lit(level == depth)
+        found = scratch.keep(found.select("node", "n", F.when(F.col("n") <= small, "small").when(stays, "last").otherwise("branch").alias("kind")))
         used += [rows, found]
-        done = rows.join(found.where(F.col("n") <= small).select("node"), "node").select("node", "uid")
-        large = rows.join(found.where(F.col("n") > small), "node")
-        if level == depth:
-            last = scratch.keep(large.select("uid", F.col("node").alias("grp"), "n"))
-            used.append(last)
-            done = done.unionByName(dealt(last).select(F.col("task").alias("node"), "uid"))
+        rows = rows.drop("up").join(found, "node")
+        ends = scratch.keep(rows.where("kind = 'last'").select("uid", F.col("node").alias("grp"), "n"))
+        used.append(ends)
+        last = ends if last is None else last.unionByName(ends)
+        done = rows.where("kind = 'small'").select("node", "uid").unionByName(dealt(ends).select(F.col("task").alias("node"), "uid"))
         ready = done if ready is None else ready.unionByName(done)
-        if level == depth or found.where(F.col("n") > small).isEmpty():
+        if found.where("kind = 'branch'").isEmpty():
             break
-        rows = children(large.join(reps.select("uid", "tok"), "uid"), F.xxhash64(F.col("node"), F.lit(level)))
+        branch = rows.where("kind = 'branch'").withColumnRenamed("n", "up").join(reps.select("uid", "tok"), "uid")
+        rows = children(branch, F.xxhash64(F.col("node"), F.lit(level)))
 
     least = int(tokens * (percent / 100 - 4 * (percent * (100 - percent) / tokens) ** 0.5 / 100))
 
@@ -255,13 +260,13 @@ def near_duplicates(
         return scratch.keep(near.mapInArrow(compare, "u long, v long").distinct())
 
     near = compared(ready)
-    if last is not None:
+    if not last.isEmpty():
         tasks = still_apart(last, scratch.keep(components(scratch, near)))
         if tasks is not None:
             near = near.unionByName(compared(tasks.withColumnRenamed("task", "node")))
     ids = scratch.keep(reps.select("uid", "doc_id", "th"))
     scratch.drop(reps, *used)
-    del rows, found, ready, done, large, used
+    del rows, found, ready, done, ends, last, used
     scratch.free()
     groups = scratch.keep(components(scratch, near).select(F.col("id").alias("uid"), F.col("component").alias("grp")))
     sizes = scratch.keep(groups.groupBy("grp").agg(F.count("*").alias("n")))
