@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 LEVELS = ["error", "warn", "info", "debug", "trace"]
 
 
+#: The least severe level that is stored of some targets and all below them; null: none is. Targets of one's own
+#: instrumentation are added by the caller.
+DENIED = {"hyper_util": "warn", "log": None, "rmcp::service": "info", "opentelemetry_sdk": "info"}
+
+
+def ingested(target: Column, level: Column, denied: dict[str, str | None] = DENIED) -> Column:
+    """Whether a log row is stored: of targets that are listed, or begin with a listed one, only rows as severe as it says."""
+    out = F.lit(True)
+    for name, least in sorted(denied.items(), key=lambda x: len(x[0])):  # the longest name that fits counts
+        mine = F.startswith(target, F.lit(name))
+        out = F.when(mine, at_least(level, least) if least else F.lit(False)).otherwise(out)
+    return out
+
+
 def both(preds: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
@@ -86,17 +100,18 @@ def exists(df: DataFrame, other: DataFrame, on: list[str], negate: bool = False)
 
 
 def by_policy(df: DataFrame, policy: DataFrame, on: list[str], keep: str = "keep") -> DataFrame:
-    """Rows whose keys the (small, fixed) policy table lets through; unknown keys are kept out."""
-    return df.join(F.broadcast(policy.where(keep).select(*on)), on, "left_semi")
+    """Rows whose keys the policy table lets through; unknown keys are kept out."""
+    return df.join(policy.where(keep).select(*on), on, "left_semi")
 
 
 def rule_matches(df: DataFrame, rules: DataFrame, subject: str) -> DataFrame:
-    """Each row with each rule of its kind whose regex finds the subject, a rule at most once a row. ``rules``: a small,
-    fixed table (rule_id, kind, pattern; null pattern: always)."""
+    """Each row with each rule of its kind whose regex finds the subject, a rule at most once a row. ``rules``: a
+    table (rule_id, kind, pattern; null pattern: always), broadcast by Spark while it is small."""
     hit = F.col("pattern").isNull() | F.rlike(F.col(subject), F.col("pattern"))
-    return df.join(F.broadcast(rules.dropDuplicates(["rule_id"])), "kind").where(hit).drop("pattern")
+    return df.join(rules.dropDuplicates(["rule_id"]), "kind").where(hit).drop("pattern")
 
 
 def sample_keys(df: DataFrame, key: str, percent: int) -> DataFrame:
-    """All rows of a fixed share of the keys."""
-    return df.where(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    """All rows of a fixed share of the keys, by the MD5 of the key as text, so other engines choose the same."""
+    h = F.conv(F.substr(F.md5(F.col(key).cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    return df.where(F.pmod(h, F.lit(100)) < percent)

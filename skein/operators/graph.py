@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.scratch import Scratch
+
 
 def children(edges: DataFrame, parent: object, status: str | None = None) -> DataFrame:
     """Direct children of a node by id; edges: parent, child, status."""
@@ -12,28 +14,42 @@ def children(edges: DataFrame, parent: object, status: str | None = None) -> Dat
     return (rows if status is None else rows.where(F.col("status") == status)).select("child").orderBy("child")
 
 
-def descendants(spark: SparkSession, edges: DataFrame, root: int, status: str | None = None, depth: int = 50) -> DataFrame:
-    """(child, depth) below a root. The status holds for every edge on the way, not only for the last."""
+def descendants(spark: SparkSession, edges: DataFrame, root: int, status: str | None = None) -> DataFrame:
+    """(child, depth) below a root, by depth and child. The status holds for every edge on the way, not only for the last.
+
+    Level by level until nothing new is found; what was found before is not followed again, so shared nodes and cycles
+    cost nothing more. Levels are written, so each reads only the one before.
+    """
     e = edges if status is None else edges.where(F.col("status") == status)
-    sql = f"""
-        with recursive down(child, depth) as (
-          select child, 1 from {{e}} where parent = {int(root)} and child <> {int(root)}
-          union all
-          select e.child, down.depth + 1 from down join {{e}} e on e.parent = down.child where down.depth < {int(depth)})
-        select child, min(depth) as depth from down group by child order by depth, child"""
-    return spark.sql(sql, e=e)
-
-
-def root_paths(spark: SparkSession, calls: DataFrame, depth: int = 12) -> DataFrame:
-    """All simple paths from nodes that nothing calls, as arrays; a node stands once in a path. calls: caller, callee."""
-    sql = f"""
-        with recursive p(path, last) as (
-          select array(r.caller), r.caller from (select distinct caller from {{c}} where caller not in (select callee from {{c}} where callee is not null)) r
-          union all
-          select array_append(p.path, c.callee), c.callee from p join {{c}} c on c.caller = p.last
-          where not array_contains(p.path, c.callee) and size(p.path) < {int(depth)})
-        select path from p where size(path) > 1"""
-    return spark.sql(sql, c=calls)
+    e, scratch = e.select("parent", "child"), Scratch(spark)
+    level = e.where((F.col("parent") == F.lit(root)) & (F.col("child") != F.lit(root))).select("child").distinct()
+    known, depth = None, 0
+    while True:
+        depth += 1
+        level = scratch.keep(level.withColumn("depth", F.lit(depth)))
+        known = level if known is None else known.unionByName(level)
+        if level.isEmpty():
+            return known.orderBy("depth", "child")
+        found = e.join(level.select(F.col("child").alias("parent")), "parent").select("child").distinct()
+        level = found.where(F.col("child") != F.lit(root)).join(known.select("child"), "child", "left_anti")
+
+
+def root_paths(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """All simple paths from nodes that nothing calls, as arrays; a node stands once in a path. calls: caller, callee.
+
+    Paths grow by one call a round; as none repeats a node, they end by themselves.
+    """
+    calls, scratch = calls.select("caller", "callee"), Scratch(spark)
+    called = calls.where("callee is not null").select(F.col("callee").alias("caller")).distinct()
+    paths = calls.select("caller").distinct().join(called, "caller", "left_anti").select(F.array("caller").alias("path"), F.col("caller").alias("last"))
+    found = None
+    while True:
+        on = F.col("caller") == F.col("last")
+        longer = paths.join(calls, on).where(~F.array_contains("path", F.col("callee")))
+        paths = scratch.keep(longer.select(F.array_append("path", F.col("callee")).alias("path"), F.col("callee").alias("last")))
+        found = paths if found is None else found.unionByName(paths)
+        if paths.isEmpty():
+            return found.select("path")
 
 
 def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:

@@ -50,7 +50,7 @@ def _blocks(t: Tables) -> tuple[DataFrame, DataFrame]:
     blocks = t.nation.select(F.col("n_name").alias("block"), F.when(F.col("n_nationkey") == 0, "OB").otherwise("FB").alias("kind"))
     calls = t.nation.selectExpr("n_name as caller", "n_nationkey as k").selectExpr("caller", "k * 2 + 1 as a", "k * 2 + 2 as b").selectExpr("caller", "explode(array(a, b)) as c")
     names = t.nation.selectExpr("n_nationkey as c", "n_name as callee")
-    return blocks, calls.join(F.broadcast(names.limit(1000)), "c", "left").select("caller", F.coalesce("callee", F.concat(F.lit("missing_"), "c")).alias("callee"))
+    return blocks, calls.join(names, "c", "left").select("caller", F.coalesce("callee", F.concat(F.lit("missing_"), "c")).alias("callee"))
 
 
 _CALLS = """c as (select n.n_name as caller, coalesce(m.n_name, 'missing_' || x) as callee from (select *, unnest([n_nationkey * 2 + 1, n_nationkey * 2 + 2]) as x from nation) n left join nation m on m.n_nationkey = x)"""
@@ -67,7 +67,7 @@ def graph_orphans(t: Tables) -> DataFrame:
 
 
 @query("""with recursive {c}, p(path, last) as (select [n_name], n_name from nation where n_name in (select caller from c) and n_name not in (select callee from c) union all
-select list_append(p.path, c.callee), c.callee from p join c on c.caller = p.last where not list_contains(p.path, c.callee) and len(p.path) < 12)
+select list_append(p.path, c.callee), c.callee from p join c on c.caller = p.last where not list_contains(p.path, c.callee))
 select array_to_string(path, '>') as path from p where len(path) > 1""", c=_CALLS)
 def graph_root_paths(t: Tables) -> DataFrame:
     return op.root_paths(t.spark, _blocks(t)[1]).select(F.array_join("path", ">").alias("path"))
