@@ -16,30 +16,84 @@ def tail(spark: SparkSession, path: str, schema: str, files: int = 4) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(path)
 
 
-def project(stream: DataFrame, target: str, checkpoint: str, key: list[str], seq: str, first: dict[str, str], last: dict[str, str]) -> StreamingQuery:
+def append(stream: DataFrame, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Rows of a stream to a folder, once each, in micro-batches: by an interval (``every``), else all there is at once; how many
+    rows a batch has at most is set where it is read (see ``tail``)."""
+    w = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def project(
+    stream: DataFrame, target: str, checkpoint: str, key: list[str], seq: str, first: dict[str, str], last: dict[str, str],
+    parts: int = 16, every: str | None = None, contiguous: bool = False,
+) -> StreamingQuery:
     """Keep a table of one row a key: some fields of its first event, others of its last.
 
-    Each batch writes the whole of its keys' new state to a folder of its own number, so a batch that runs again
-    overwrites itself; the state before it is what the folder of the batch before holds.
-    """
+    Keys are dealt by hash to ``parts`` parts, and a batch writes only the parts it has keys of, to a folder of its own number: a
+    batch that runs again reads what was there before it and overwrites itself. Versions that no batch can ask for any
+    more are deleted. ``contiguous``: the stream fails, and nothing is written, unless the events of each key follow one another
+    from 0 without gaps, also from batch to batch.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy(*key).agg(
-            F.min(seq).alias("_first"), F.max(seq).alias("_last"), *[F.min_by(c, seq).alias(k) for k, c in first.items()], *[F.max_by(c, seq).alias(k) for k, c in last.items()]
-        )
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{target}/{number - 1}"))
-        merged = new.groupBy(*key).agg(
-            F.min("_first").alias("_f"), F.max("_last").alias("_l"), *[F.min_by(k, "_first").alias(k) for k in first], *[F.max_by(k, "_last").alias(k) for k in last]
-        )
-        merged.withColumnsRenamed({"_f": "_first", "_l": "_last"}).write.mode("overwrite").parquet(f"{target}/{number}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def projected(spark: SparkSession, target: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{target}/{batches - 1}").drop("_first", "_last")
+            F.count("*").alias("_n"), F.min(seq).alias("_first"), F.max(seq).alias("_last"),
+            *[F.min_by(c, seq).alias(k) for k, c in first.items()], *[F.max_by(c, seq).alias(k) for k, c in last.items()],
+        ).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in new.select("_part").distinct().collect()]  # at most ``parts``
+            have = _versions(spark, target)
+            before = {p: [v for v in have.get(p, []) if v < number] for p in touched}
+            old = [f"{target}/{max(v)}/_part={p}" for p, v in before.items() if v]
+            merged = new.drop("_n", "_part")
+            if old:
+                state = spark.read.parquet(*old)
+                merged = merged.unionByName(state)
+            if contiguous:
+                upto = state.select(*key, F.col("_last").alias("_upto")) if old else new.select(*key, F.lit(-1).alias("_upto")).limit(0)
+                gap = (F.col("_first") != F.coalesce("_upto", F.lit(-1)) + 1) | (F.col("_n") != F.col("_last") - F.col("_first") + 1)
+                bad = new.join(upto, key, "left").where(gap).limit(1).collect()
+                if bad:
+                    raise ValueError(f"events of {[bad[0][k] for k in key]} do not follow what was projected")
+            merged = merged.groupBy(*key).agg(
+                F.min("_first").alias("_f"), F.max("_last").alias("_l"), *[F.min_by(k, "_first").alias(k) for k in first], *[F.max_by(k, "_last").alias(k) for k in last]
+            )
+            merged = merged.withColumnsRenamed({"_f": "_first", "_l": "_last"}).withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int"))
+            merged.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(f"{target}/{number}")
+        finally:
+            new.unpersist()
+        for p, v in before.items():
+            for gone in sorted(v)[:-1]:  # the last of these is what this batch would read if it ran again
+                _delete(spark, f"{target}/{gone}/_part={p}")
+
+    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def _folder(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path, fs = _folder(spark, where)
+    fs.delete(path, True)
+
+
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """Numbers of the batches that wrote each part; few, as old ones are deleted."""
+    path, fs = _folder(spark, f"{target}/*/_part=*")
+    out: dict[int, list[int]] = {}
+    for f in fs.globStatus(path) or []:
+        out.setdefault(int(f.getPath().getName().split("=")[1]), []).append(int(f.getPath().getParent().getName()))
+    return out
+
+
+def projected(spark: SparkSession, target: str, batches: int | None = None) -> DataFrame:
+    """The table as it was after so many batches (the last or the one before), or now."""
+    have = {p: [x for x in v if batches is None or x < batches] for p, v in _versions(spark, target).items()}
+    return spark.read.parquet(*[f"{target}/{max(v)}/_part={p}" for p, v in have.items() if v]).drop("_first", "_last")
 
 
 def dedup(stream: DataFrame, keys: list[str], at: str, within: str = "10 minutes") -> DataFrame:

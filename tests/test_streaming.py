@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import dml
@@ -33,3 +34,37 @@ def test_dedup_stream(spark, tmp_path):
     q = projector.dedup(stream, ["k"], "t").writeStream.format("memory").queryName("once").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.k for r in spark.table("once").collect()) == ["a", "b"]
+
+
+def test_projection_of_gapless_logs(spark, tmp_path):
+    schema = "k string, i long, p string"
+    for n, part in enumerate([[("a", 0, "x"), ("b", 0, "y")], [("a", 1, "z"), ("a", 2, "w")], [("b", 2, "v")]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "log" / f"p{n}"))
+
+    def run(files):
+        stream = projector.tail(spark, str(tmp_path / "log" / files), schema, 1)
+        return projector.project(stream, str(tmp_path / "out"), str(tmp_path / f"ck{len(files)}"), ["k"], "i", {"start": "p"}, {"end": "p"}, parts=3, contiguous=True)
+
+    run("p[01]").awaitTermination(120)
+    assert sorted(map(tuple, projector.projected(spark, str(tmp_path / "out")).select("k", "start", "end").collect())) == [("a", "x", "w"), ("b", "y", "y")]
+    with pytest.raises(Exception, match="do not follow"):
+        stream = projector.tail(spark, str(tmp_path / "log" / "p2"), schema, 1)
+        q = projector.project(stream, str(tmp_path / "other"), str(tmp_path / "ck"), ["k"], "i", {"start": "p"}, {"end": "p"}, contiguous=True)
+        q.awaitTermination(120)
+
+
+def test_old_versions_go(spark, tmp_path):
+    for n in range(4):
+        spark.createDataFrame([("a", n, "x")], "k string, i long, p string").coalesce(1).write.parquet(str(tmp_path / "log" / f"p{n}"))
+    stream = projector.tail(spark, str(tmp_path / "log" / "*"), "k string, i long, p string", 1)
+    projector.project(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k"], "i", {"s": "p"}, {"e": "p"}, parts=4).awaitTermination(120)
+    assert len(list((tmp_path / "out").glob("*/_part=*"))) == 2
+
+
+def test_append_by_interval(spark, tmp_path):
+    for n in range(3):
+        spark.createDataFrame([(n,)], "i int").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    q = projector.append(projector.tail(spark, str(tmp_path / "in" / "*"), "i int", 1), str(tmp_path / "out"), str(tmp_path / "ck"), "200 milliseconds")
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
