@@ -49,13 +49,13 @@ def snippet(text: Column, needle: str, before: int = 48, after: int = 96) -> Col
 
 
 def occurrences(text: Column, needle: str) -> Column:
-    """Places (from 0) of all matches that do not overlap, whatever their case."""
-    parts = F.split(F.lower(text), "\\Q" + needle.lower() + "\\E", -1)
+    """Places (from 0) of all matches that do not overlap, whatever their case. The one letter whose lower case is longer (İ) is
+    compared as i, so places are those of the text itself."""
+    parts = F.split(F.lower(F.replace(text, F.lit("İ"), F.lit("i"))), "\\Q" + needle.lower() + "\\E", -1)
     lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-    step = F.transform(lengths, lambda n, i: n + F.when(i > 0, len(needle)).otherwise(0))
-    return F.transform(
-        step, lambda n, i: F.aggregate(F.slice(step, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x)
-    )
+    start = F.struct(F.lit(-len(needle)).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, n: F.struct((s["at"] + n + len(needle)).alias("at"), F.array_append(s["out"], s["at"] + n + len(needle)).alias("out"))
+    return F.aggregate(lengths, start, step)["out"]
 
 
 def redact(text: Column) -> Column:
@@ -152,12 +152,16 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.substr(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(1), F.lit(most))
 
 
+#: Names that say nothing, with any digits behind.
+GENERIC = ["tag", "var", "variable", "temp", "tmp", "data", "value", "test", "newtag", "newvariable", "unnamed", "signal", "flag"]
+
+
 def naming_issues(name: Column) -> Column:
     """What is wrong with an identifier, as an array of rule names."""
     return F.array_compact(F.array(
-        F.when(~F.rlike(name, F.lit("^[A-Za-z_][A-Za-z0-9_]*$")), F.lit("format")),
+        F.when(~F.rlike(name, F.lit("^[A-Za-z][A-Za-z0-9_]*$")), F.lit("format")),
         F.when(F.rlike(name, F.lit("^_|_$|__")), F.lit("underscores")),
-        F.when(F.rlike(F.lower(name), F.lit("^(tmp|temp|var|data|test|value|tag)[0-9]*$")), F.lit("generic")),
+        F.when(F.rlike(F.lower(name), F.lit(f"^({'|'.join(GENERIC)})[0-9]*$")), F.lit("generic")),
         F.when(F.length(name) < 2, F.lit("short")),
     ))
 
@@ -228,3 +232,58 @@ def plain_text(markdown: Column) -> Column:
     for pattern, put in steps:
         markdown = F.regexp_replace(markdown, pattern, put)
     return collapse(markdown)
+
+
+#: Digits of short hashes, and which addresses an engineering tool imports.
+BASE62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+IMPORTABLE = r"(?:[IQM]\d+\.\d+|(?:PIW|PQW|AIW|AQW|IW|QW|ID|QD|IL|QL|MB|MW|MD|ML)\d+|DB\d+\.DB[XBWD]\d+(?:\.\d+)?)"
+
+
+def project_name(stem: Column) -> Column:
+    """A short project name from a file's stem: its first run of letters, digits and single hyphens or underscores, up to a part
+    that names a list; never empty, never begun by a digit, at most 40 characters."""
+    run = F.regexp_extract(stem, r"^[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*", 0)
+    name = F.regexp_replace(F.when(run != "", run).otherwise(stem), r"(?is)_(?:PLC|IO|EPLAN)(?:_.*|$)", "")
+    name = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_]", "_"), "^_+|_+$", "")
+    name = F.when(F.coalesce(name, F.lit("")) == "", "PROJECT").otherwise(name)
+    return F.substr(F.when(F.rlike(name, F.lit("^[0-9]")), F.concat(F.lit("P_"), name)).otherwise(name), F.lit(1), F.lit(40))
+
+
+def logical_address(address: Column) -> Column:
+    """An address as the tool writes it: in capitals without spaces, with a percent sign where it can be imported."""
+    a = F.replace(F.upper(F.trim(F.coalesce(address, F.lit("")))), F.lit(" "), F.lit(""))
+    return F.when(F.rlike(a, F.lit(f"^{IMPORTABLE}$")), F.concat(F.lit("%"), a)).otherwise(a)
+
+
+def tag_type(io_type: Column, address: Column) -> Column:
+    """The data type of a tag by its kind and address; empty if neither tells."""
+    a = logical_address(address)
+    starts = lambda p: F.rlike(a, F.lit("^" + p))
+    memory = F.when(starts(r"%M\d+\.\d+"), "Bool").when(starts("%MB"), "Byte").when(starts("%MW"), "Word").when(starts("%M[DL]"), "DWord").otherwise("")
+    db = F.when(F.contains(a, F.lit(".DBX")), "Bool").when(F.contains(a, F.lit(".DBB")), "Byte").when(F.contains(a, F.lit(".DBW")), "Word").when(F.contains(a, F.lit(".DBD")), "DWord").otherwise("")
+    bit = io_type.isin("DI", "DO") | starts(r"%[IQM]\d+\.\d+$")
+    word = F.when(starts("%[IQ][DL]"), "DInt").otherwise("Int")
+    return F.when(bit, "Bool").when(io_type.isin("AI", "AO"), word).when(io_type == "Memory", memory).when(io_type == "DB", db).otherwise("")
+
+
+def tag_name(project: Column, address: Column) -> Column:
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(address, "^%+", ""), "[^A-Za-z0-9_]", "_"), "^_+|_+$", "")
+    return F.substr(F.concat(project, F.lit("_"), F.when(name == "", "TAG").otherwise(name)), F.lit(1), F.lit(120))
+
+
+def short_hash(seed: Column, digits: int = 4) -> Column:
+    """The last ``digits`` digits of a number to the base 62."""
+    place = lambda k: F.pmod(F.floor(seed / 62**k), F.lit(62)).cast("int") + 1
+    return F.concat(*[F.substr(F.lit(BASE62), place(k), F.lit(1)) for k in range(digits - 1, -1, -1)])
+
+
+def file_stem(id: Column, at: Column, slug: Column, most: int = 60) -> Column:
+    """Time, short hash and slug of a summary's file name. The hash is of the last 32 bits of a UUID, or of the bytes of another
+    id, summed in base 31."""
+    uuid = F.rlike(id, F.lit("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"))
+    tail = F.conv(F.right(id, F.lit(8)), 16, 10).cast("long")
+    codes = F.transform(F.split(F.hex(F.encode(id, "UTF-8")), "(?<=\\G..)"), lambda x: F.coalesce(F.conv(x, 16, 10).cast("long"), F.lit(0)))
+    summed = F.aggregate(F.filter(codes, lambda x: x > 0), F.lit(0).cast("long"), lambda h, x: F.pmod(h * 31 + x, F.lit(1 << 32)))
+    name = F.regexp_replace(F.substr(F.regexp_replace(F.lower(slug), "[^a-z0-9]", "_"), F.lit(1), F.lit(most)), "_+$", "")
+    head = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss"), F.lit("-"), short_hash(F.when(uuid, tail).otherwise(summed)))
+    return F.when(F.coalesce(name, F.lit("")) == "", head).otherwise(F.concat(head, F.lit("-"), name))

@@ -26,6 +26,22 @@ def insert_ignore(have: DataFrame, come: DataFrame, key: list[str]) -> DataFrame
     return have.unionByName(come.join(have.select(*key), key, "left_anti"))
 
 
+def insert_job(job: dict[str, object], items: DataFrame, item_id: str, row: list[str], order: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """A new job and its items, all pending, as rows of the tables jobs and job items. ``row`` are the columns kept as JSON.
+
+    Both are written by one job or not at all: write the items first, the job's row, which makes them visible, last.
+    """
+    when = F.lit(at).cast("timestamp_ntz")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    head = items.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in job.items()], F.lit("pending").alias("status"), when.alias("created_at"), when.alias("updated_at"), *none("timestamp_ntz", "started_at", "completed_at"), *none("string", "last_error"))
+    rows = items.select(
+        F.lit(job["id"]).alias("job_id"), F.col(item_id).cast("string").alias("item_id"), F.col(order).cast("long").alias("row_index"), F.to_json(F.struct(*row)).alias("row_json"),
+        F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempt_count"), when.alias("created_at"), when.alias("updated_at"),
+        *none("string", "assigned_thread_id", "result_json", "last_error"), *none("timestamp_ntz", "completed_at", "reported_at"),
+    )
+    return head, rows
+
+
 def accept_until(rows: DataFrame, key: list[str], seq: str, terminal: Column, flag: str) -> DataFrame:
     """Whether each change is accepted: none is after the first terminal one of its key."""
     end = rows.where(terminal).groupBy(*key).agg(F.min(seq).alias("_end"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.scratch import Scratch
+
 
 def numbered(df: DataFrame, key: list[str], order: list, into: str = "n") -> DataFrame:
     """Rows of each key numbered from 1. Without a key all rows go through one partition; give one where there is."""
@@ -96,23 +96,33 @@ def windows_with_all(lines: DataFrame, key: list[str], terms: list[str], line: s
 
 
 def rolled_back(df: DataFrame, key: str, order: str, is_turn: Column, back: Column) -> DataFrame:
-    """Rows left when each marker takes away the last ``back`` turns before it (a stack fold, one key at a time)."""
+    """Rows left when each marker takes away the last ``back`` turns before it that are left; rows before a key's first turn stay.
+
+    Forward, a running sum less its own minimum so far tells how many turns are left, and so how many a marker takes. From
+    the newest row on, markers add these and turns use them up; a row goes while some are owed. Windows do what a stack would.
+    """
     columns = df.columns
-    rows = df.withColumns({"_turn": is_turn, "_back": F.coalesce(back, F.lit(0)).cast("int")})
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        starts: list[int] = []
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        for i, (turn, n) in enumerate(zip(pdf["_turn"], pdf["_back"], strict=True)):
-            if n > 0:
-                first = starts[-n] if n <= len(starts) else (starts[0] if starts else len(kept))
-                starts = starts[: max(0, len(starts) - n)]
-                kept = kept[:first]
-                continue
-            if turn:
-                starts.append(len(kept))
-            kept.append(i)
-        return pdf.iloc[kept][columns]
-
-    return rows.groupBy(key).applyInPandas(fold, df.schema)
+    oldest, newest = Window.partitionBy(key).orderBy(order), Window.partitionBy(key).orderBy(F.desc(order))
+
+    def level(w: Window, change: str) -> Column:
+        """What a sum that never falls below 0 has come to before each row."""
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.lag(change).over(w), F.lit(0)) - F.least(F.coalesce(F.min(change).over(before), F.lit(0)), F.lit(0))
+
+    rows = df.withColumn("_back", F.greatest(F.coalesce(back, F.lit(0)).cast("long"), F.lit(0)))
+    rows = rows.withColumn("_turn", (is_turn & (F.col("_back") == 0)).cast("long"))
+    rows = rows.withColumn("_sum", F.sum(F.col("_turn") - F.col("_back")).over(oldest.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_takes", F.least("_back", level(oldest, "_sum")))
+    rows = rows.withColumn("_sum", F.sum(F.col("_takes") - F.col("_turn")).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("_owed", level(newest, "_sum")).where("_back = 0 and _owed = 0").select(*columns)
+
+
+def numbered_all(scratch: Scratch, df: DataFrame, order: list, into: str = "n") -> DataFrame:
+    """All rows numbered from 1 without a key: sorted in ranges, each of which is counted on from those before."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = scratch.keep(rows.select("*", F.monotonically_increasing_id().alias("_id")))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = counts.selectExpr("_part", "sum(_c) over (order by _part) - _c as _before")  # a row per range
+    out = rows.withColumn("_part", part).join(before, "_part")
+    return out.withColumn(into, F.col("_before") + place + 1).drop("_id", "_part", "_before")

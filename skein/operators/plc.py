@@ -5,11 +5,12 @@ Sources are split into blocks and lines by SQL functions; what joins blocks to e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as fn
 
+#: What begins a block, kinds of blocks and sections, and types that are no blocks.
 HEAD = r'(?im)^\s*(FUNCTION_BLOCK|FUNCTION|ORGANIZATION_BLOCK|DATA_BLOCK)\s+"?([A-Za-z_][\w]*)"?'
 KINDS = {"FUNCTION_BLOCK": "FB", "FUNCTION": "FC", "ORGANIZATION_BLOCK": "OB", "DATA_BLOCK": "DB"}
 SECTIONS = {"VAR_INPUT": "Input", "VAR_OUTPUT": "Output", "VAR_IN_OUT": "InOut", "VAR_TEMP": "Temp", "VAR CONSTANT": "Constant", "VAR": "Static"}
@@ -32,13 +33,19 @@ def lines(sources: DataFrame) -> DataFrame:
 
 
 def block_lines(sources: DataFrame) -> DataFrame:
-    """Lines with their block's name and kind; lines outside any block go."""
-    w = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    """Lines with their block's name and kind. A block reaches from its head to the first end of its kind; one without an
+    end is left out, as are lines outside any block."""
+    code = lines(sources)
+    ahead = Window.partitionBy("file").orderBy("line").rowsBetween(0, Window.unboundedFollowing)
     kind, name = F.upper(F.regexp_extract("code", HEAD, 1)), F.regexp_extract("code", HEAD, 2)
-    mapped = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
-    out = lines(sources).withColumn("_n", F.when(name != "", name)).withColumn("_k", F.when(name != "", F.try_element_at(mapped, kind)))
-    out = out.withColumn("block", F.last("_n", True).over(w)).withColumn("kind", F.last("_k", True).over(w))
-    return out.where("block is not null").select("file", "block", "kind", "line", "code")
+    for k in KINDS:
+        ends = F.min(F.when(F.rlike("code", F.lit(rf"(?i)\bEND_{k}\b")), F.col("line"))).over(ahead)
+        code = code.withColumn(f"_{k}", ends)
+    last = F.coalesce(*[F.when(kind == k, F.col(f"_{k}")) for k in KINDS])
+    short = F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), kind)
+    heads = code.where(name != "").select(F.col("file").alias("_f"), name.alias("block"), short.alias("kind"), F.col("line").alias("_first"), last.alias("_last"))
+    inside = (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_first"), F.col("_last"))
+    return lines(sources).join(heads, inside).select("file", "block", "kind", "line", "code")
 
 
 def variables(blocks: DataFrame) -> DataFrame:
@@ -116,6 +123,88 @@ def alarm_states(found: DataFrame, machine: DataFrame) -> DataFrame:
     return found.join(states, ["file", "block", "line", "symbol"], "left")
 
 
+#: Families of standard blocks by name, and words that tell a device's kind.
+FAMILIES = {
+    "MC_POWER": "MotionControl", "MC_HOME": "MotionControl", "MC_MOVEABSOLUTE": "MotionControl", "MC_MOVERELATIVE": "MotionControl",
+    "MC_MOVEVELOCITY": "MotionControl", "MC_STOP": "MotionControl", "MC_HALT": "MotionControl", "MC_RESET": "MotionControl",
+    "PID_COMPACT": "PID", "PID_3STEP": "PID", "CTRL_PID": "PID",
+}
+DEVICES = {
+    "ServoAxis": r"\b(?:axis|servo|motion|drive)\b|\bMC_(?:Power|Home|MoveAbsolute|MoveRelative|MoveVelocity|Stop|Halt|Reset)\b",
+    "Motor": r"\b(?:motor|mtr|conveyor|fan|blower)\b",
+    "Cylinder": r"\b(?:cylinder|cyl|pneumatic|aircyl)\b",
+    "Valve": r"\b(?:valve|vlv|solenoid)\b",
+    "Pump": r"\b(?:pump|pmp)\b",
+}
+
+
+def plain(name: Column) -> Column:
+    """A name without quotes and number sign, in lower case."""
+    return F.lower(F.regexp_replace(F.trim(name), '^#?"?|"$', ""))
+
+
+def family(name: Column) -> Column:
+    """The family of a standard block; null for other names."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), F.upper(plain(name)))
+
+
+def devices(found: DataFrame) -> DataFrame:
+    """Instances (file, block, section, name, type, line) that name a device, with its kind."""
+    text = F.regexp_replace(F.concat_ws(" ", "name", "type"), "_", " ")
+    kind = F.coalesce(*[F.when(F.rlike(text, F.lit(f"(?i){p}")) | F.rlike("type", F.lit(f"(?i){p}")), k) for k, p in DEVICES.items()])
+    return found.select("file", "block", "name", "type", kind.alias("device"), "line").where("device is not null")
+
+
+def confidence(evidence: DataFrame, key: list[str]) -> DataFrame:
+    """How sure each device of ``key`` is, by its rows of evidence (kind): high with two, one of them of motion control; medium with two."""
+    n, motion = F.count("*"), F.max((F.col("kind") == "MotionControl").cast("int"))
+    return evidence.groupBy(*key).agg(F.when((n >= 2) & (motion == 1), "high").when(n >= 2, "medium").otherwise("low").alias("confidence"))
+
+
+def state_actions(blocks: DataFrame, machine: DataFrame, known: DataFrame) -> DataFrame:
+    """What each state does: (file, block, variable, state, kind, target, line, device, family). Calls are of a device, a
+    standard block or another block; an assignment of the state variable is no action but a transition. known: see ``devices``."""
+    call = F.regexp_extract("code", r'^\s*(#?"[^"]+"|#?[A-Za-z_][\w.]*)\s*\(', 1)
+    sets = F.regexp_extract("code", r'^\s*(#?"?[A-Za-z_][\w.]*"?)\s*:=\s*[^;]+;', 1)
+    # The rest of a line behind a state's label belongs to the state.
+    code = blocks.withColumn("code", F.regexp_replace("code", r"^\s*(?:-?\d+|[A-Za-z_][\w.]*)(?:\s*,\s*(?:-?\d+|[A-Za-z_][\w.]*))*\s*:(?!=)", ""))
+    words = F.upper(call).isin("IF", "ELSIF", "WHILE", "UNTIL", "CASE", "FOR")
+    d = code.select("file", "block", "line", F.when((call != "") & ~words, call).alias("_call"), F.when(sets != "", sets).alias("_set"))
+    d = d.withColumn("target", F.coalesce("_call", "_set")).where("target is not null")
+    d = d.join(_spans(machine), ["file", "block"]).where("line between _first and _last")
+    d = d.where(F.col("_call").isNotNull() | (plain(F.col("target")) != plain(F.col("_variable"))))
+    names = known.select("file", "block", plain(F.col("name")).alias("_k"), "device").dropDuplicates(["file", "block", "_k"])
+    d = d.withColumn("_k", plain(F.col("target"))).join(names, ["file", "block", "_k"], "left")
+    fam = F.when(F.col("_call").isNotNull() & F.col("device").isNull(), family(F.col("target")))
+    kind = F.when(F.col("_call").isNull(), "ASSIGNMENT").when(F.col("device").isNotNull(), "DEVICE_CALL").when(fam.isNotNull(), "STANDARD_BLOCK_CALL").otherwise("BLOCK_CALL")
+    dev = F.when(F.col("_call").isNotNull(), F.col("device")).alias("device")
+    return d.select("file", "block", F.col("_variable").alias("variable"), F.col("_state").alias("state"), kind.alias("kind"), "target", "line", dev, fam.alias("family"))
+
+
+def causal_chains(moves: DataFrame, actions: DataFrame, raised: DataFrame) -> DataFrame:
+    """For each transition (file, block, state, target, line, condition): the actions and alarms of the state it leaves, in order of
+    lines. raised: alarms with their state, see ``alarm_states``."""
+    key = ["file", "block", "state"]
+    listed = lambda d, what, into: d.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", what))), lambda x: x[what]).alias(into))
+    does = listed(actions, "target", "actions")
+    out = moves.join(does, key, "left").join(listed(raised.where("state is not null"), "symbol", "alarms"), key, "left")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"actions": F.coalesce("actions", none), "alarms": F.coalesce("alarms", none)})
+
+
+def causal_relations(chains: DataFrame) -> DataFrame:
+    """Relations (source, relation, target) of a knowledge graph: a state completes when a condition holds, which advances to the
+    next state; a state may raise its alarms."""
+    state = lambda c: F.concat_ws(":", F.lit("STATE"), "block", c)
+    cond = F.concat_ws(":", F.lit("CONDITION"), "block", "state", "line")
+    some = chains.where("condition is not null")
+    when = some.select(state("state").alias("source"), F.lit("COMPLETES_WHEN").alias("relation"), cond.alias("target"))
+    then = some.select(cond.alias("source"), F.lit("ADVANCES_TO").alias("relation"), state("target").alias("target"))
+    each = chains.select("block", "state", F.explode("alarms").alias("alarm"))
+    may = each.select(state("state").alias("source"), F.lit("MAY_RAISE").alias("relation"), F.concat_ws(":", F.lit("ALARM"), "block", plain(F.col("alarm"))).alias("target"))
+    return when.unionByName(then).unionByName(may).distinct()
+
+
 def xref(blocks: DataFrame, declared: DataFrame) -> DataFrame:
     """Uses (block, name, scope, access, line): declarations, writes (before ``:=``) and reads."""
     own = declared.select("file", "block", F.lower("name").alias("_k")).distinct().withColumn("_own", F.lit(True))

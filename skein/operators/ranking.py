@@ -86,7 +86,8 @@ def char_ngrams(docs: DataFrame, key: str, name: str, fields: list[str], query:
     df = hits.groupBy("g").agg(F.count("*").alias("df"))  # at most one row a gram of the query
     scored = hits.join(F.broadcast(df), "g").join(F.broadcast(total))
     idf = F.log(1 + (F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    out = scored.groupBy(key, name).agg(F.sum(idf * F.col("w")).alias("score"), F.count("*").alias("_n"))
+    # Rounded, as the order of adding must not decide between equal documents.
+    out = scored.groupBy(key, name).agg(F.round(F.sum(idf * F.col("w")), 9).alias("score"), F.count("*").alias("_n"))
     return top(out.where(F.col("_n") >= min(3, len(q))).drop("_n"), key, name)
 
 

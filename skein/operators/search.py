@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions import text as fn
 from skein.operators import paging
@@ -19,14 +23,35 @@ def within_budget(df: DataFrame, key: list[str], order: list, size: str, budget:
 
 
 def unique_ids(df: DataFrame, base: str, order: str, into: str) -> DataFrame:
-    """``x``, ``x-2``, ``x-3`` ... for equal names, in order. Where such an id is also the name of another row, that row
-    keeps it, and numbers go on behind the largest one taken."""
-    taken = df.select(F.regexp_extract(base, r"^(.*)-(\d+)$", 1).alias("_b"), F.regexp_extract(base, r"^(.*)-(\d+)$", 2).alias("_k"))
-    taken = taken.where("_k <> ''").groupBy(F.col("_b").alias(base)).agg(F.max(F.col("_k").cast("long")).alias("_top"))
-    w = Window.partitionBy(base).orderBy(order)
-    out = df.withColumn("_n", F.row_number().over(w)).join(taken, base, "left")
-    n = F.col("_n") + F.greatest(F.coalesce("_top", F.lit(0)) - 1, F.lit(0))
-    return out.withColumn(into, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), n.cast("string")))).drop("_n", "_top")
+    """Each row's name, or with the first of -2, -3 ... that no row before it has got, in order.
+
+    Only names with a common stem (the name without numbers behind hyphens) can meet. Rows whose stem has one name
+    only are numbered by a window; the others pass sorted through their task in batches, which holds the ids of one stem.
+    """
+    stem = F.regexp_replace(base, r"(-\d+)+$", "")
+    rows = df.withColumn("_stem", stem)
+    mixed = rows.groupBy("_stem").agg(F.min(base).alias("_a"), F.max(base).alias("_b")).where("_a <> _b").select("_stem")
+    plain = rows.join(mixed, "_stem", "left_anti").withColumn("_n", F.row_number().over(Window.partitionBy("_stem").orderBy(order)))
+    plain = plain.withColumn(into, F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(base, F.lit("-"), F.col("_n").cast("string"))))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, taken, following = None, set(), {}
+        for b in batches:
+            out = []
+            for s, name in zip(b["_stem"], b[base], strict=True):
+                if s != at:
+                    at, taken, following = s, set(), {}
+                new, k = name, following.get(name, 2)
+                while new in taken:
+                    new, k = f"{name}-{k}", k + 1
+                following[name] = k
+                taken.add(new)
+                out.append(new)
+            yield b.assign(**{into: out})
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
+    folded = rows.join(mixed, "_stem", "left_semi").repartition("_stem").sortWithinPartitions("_stem", order).select(*rows.columns).mapInPandas(fold, schema)
+    return plain.drop("_n", "_stem").select(*df.columns, into).unionByName(folded.drop("_stem"))
 
 
 def verify_manifest(have: DataFrame, listed: DataFrame, key: str) -> DataFrame:
@@ -36,15 +61,48 @@ def verify_manifest(have: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return both.withColumn("verdict", verdict.otherwise("mismatch"))
 
 
-def line_search(df: DataFrame, key: list[str], text: str, needles: list[str], every: bool) -> DataFrame:
-    """Lines (from 1) that hold any, or every, of the needles, whatever their case."""
+def prepared(text: Column, case_sensitive: bool = False, normalized: bool = False) -> Column:
+    """A text as it is compared: in lower case unless case counts, letters and digits alone if ``normalized``."""
+    out = text if case_sensitive else F.lower(text)
+    return F.regexp_replace(out, r"[^\p{L}\p{N}]+", "") if normalized else out
+
+
+def line_search(df: DataFrame, key: list[str], text: str, needles: list[str], every: bool, case_sensitive: bool = False, normalized: bool = False) -> DataFrame:
+    """Lines (from 1) that hold any, or every, of the needles, compared as ``prepared``; a needle of which nothing is left
+    raises a ValueError."""
+    low = prepared(F.col("content"), case_sensitive, normalized)
+    wanted = [n if case_sensitive else n.lower() for n in needles]
+    wanted = ["".join(c for c in n if c.isalnum()) for n in wanted] if normalized else wanted
+    if not all(wanted):
+        raise ValueError("an empty query")
     lines = df.select(*key, F.posexplode(F.split(text, "\n")).alias("_p", "content"))
-    low = F.lower("content")
-    hits = [F.contains(low, F.lit(n.lower())) for n in needles]
+    hits = [F.contains(low, F.lit(n)) for n in wanted]
     test = F.forall(F.array(*hits), lambda x: x) if every else F.exists(F.array(*hits), lambda x: x)
     return lines.where(test).select(*key, (F.col("_p") + 1).cast("long").alias("line"), "content")
 
 
+def with_context(df: DataFrame, key: list[str], text: str, needle: str, around: int, normalized: bool = False) -> DataFrame:
+    """Each line that holds the needle (``line``, from 1) with ``around`` lines on either side (``content``, from line ``first``).
+
+    Lines are looked up in the row's own text, so nothing is shuffled.
+    """
+    wanted = "".join(c for c in needle.lower() if c.isalnum()) if normalized else needle.lower()
+    ls = F.split(text, "\n")
+    at = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.contains(prepared(F.get(ls, i), normalized=normalized), F.lit(wanted)))
+    rows = df.select(*key, ls.alias("_ls"), F.explode(at).alias("_i"))
+    first = F.greatest(F.col("_i") - around, F.lit(0))
+    content = F.array_join(F.slice("_ls", first + 1, F.col("_i") + around + 1 - first), "\n")
+    return rows.select(*key, (F.col("_i") + 1).cast("long").alias("line"), (first + 1).cast("long").alias("first"), content.alias("content"))
+
+
+def eligible_ids(df: DataFrame, key: list[str], ids: str, eligible: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` distinct ids of each row's list that are in ``eligible`` (a column of that name), in the list's order."""
+    each = df.select(*key, F.posexplode(ids).alias("_p", ids)).groupBy(*key, ids).agg(F.min("_p").alias("_p")).join(eligible.select(ids), ids, "left_semi")
+    few = each.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_p"))).where(F.col("_n") <= most)
+    listed = few.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", ids))), lambda x: x[ids]).alias(ids))
+    return df.select(*key).join(listed, key, "left").withColumn(ids, F.coalesce(ids, F.array().cast(listed.schema[ids].dataType)))
+
+
 def thread_occurrences(turns: DataFrame, needle: str, size: int, after: tuple[int, int, int] | None = None) -> DataFrame:
     """Matches in user messages and each thread's final answer, by (conv_id, turn, idx), from behind a cursor; one row more
     than the page tells that there are others."""

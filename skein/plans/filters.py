@@ -80,6 +80,15 @@ def rule_match(t: Tables) -> DataFrame:
     return op.rule_matches(t.events.select("event_id", F.col("event_type").alias("kind"), "props"), rules, "props").select("event_id", "rule_id")
 
 
-@query()
+@query("select user_id, count(*) as n_events from events where ('0x' || substr(md5(user_id::varchar), 1, 8))::bigint % 100 < 10 group by 1")
 def sample_by_key(t: Tables) -> DataFrame:
     return op.sample_keys(t.events, "user_id", 10).groupBy("user_id").agg(F.count("*").alias("n_events"))
+
+
+@query("""select event_id, target, level from (select event_id, case event_type when 'view' then 'hyper_util::pool' when 'signup' then 'log' when 'click' then 'rmcp::service' else 'app' end as target,
+case user_id % 3 when 0 then 'DEBUG' when 1 then 'info' else 'error' end as level from events) where target = 'app' or (target = 'hyper_util::pool' and level = 'error') or (target = 'rmcp::service' and level <> 'DEBUG')""")
+def ingest_filter(t: Tables) -> DataFrame:
+    target = F.expr("case event_type when 'view' then 'hyper_util::pool' when 'signup' then 'log' when 'click' then 'rmcp::service' else 'app' end")
+    level = F.expr("case user_id % 3 when 0 then 'DEBUG' when 1 then 'info' else 'error' end")
+    e = t.events.select("event_id", target.alias("target"), level.alias("level"))
+    return e.where(op.ingested(F.col("target"), F.col("level")))

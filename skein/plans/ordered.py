@@ -95,7 +95,12 @@ def turn_pairs(t: Tables) -> DataFrame:
     return c.groupBy("conv_id", "pair").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_messages"), F.sum(F.octet_length("text")).alias("n_bytes"))
 
 
-@query()
+@query("""with e as (select user_id, event_id, event_type, (event_type = 'view')::int as turn, (event_type = 'error')::int as back from events),
+s as (select *, sum(turn - back) over (partition by user_id order by event_id) as s from e),
+m as (select *, least(back, coalesce(lag(s) over w, 0) - least(coalesce(min(s) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0), 0)) as takes from s window w as (partition by user_id order by event_id)),
+r as (select *, sum(takes - turn) over (partition by user_id order by event_id desc) as z from m),
+o as (select *, coalesce(lag(z) over w, 0) - least(coalesce(min(z) over (partition by user_id order by event_id desc rows between unbounded preceding and 1 preceding), 0), 0) as owed from r window w as (partition by user_id order by event_id desc))
+select user_id, event_id, event_type from o where back = 0 and owed = 0""")
 def rollback_fold(t: Tables) -> DataFrame:
     e = t.events.select("user_id", "event_id", "event_type")
     back = F.when(F.col("event_type") == "error", F.lit(1))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators import ordered
 from skein.operators import paging as op
 from skein.plans.registry import Tables, query
+from skein.scratch import Scratch
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
@@ -44,7 +46,8 @@ def batch_rows_bytes(t: Tables) -> DataFrame:
 @query("select s_suppkey, s_acctbal > 5000 as pinned, lower(s_name) as label, row_number() over (order by s_acctbal > 5000 desc, lower(s_name), s_suppkey) as place from supplier")
 def multi_sort(t: Tables) -> DataFrame:
     d = t.supplier.select("s_suppkey", (F.col("s_acctbal") > 5000).alias("pinned"), F.lower("s_name").alias("label"))
-    return d.withColumn("place", F.expr("row_number() over (order by pinned desc, label, s_suppkey)"))
+    out = ordered.numbered_all(Scratch(t.spark), d, [F.desc("pinned"), F.asc("label"), F.asc("s_suppkey")], "place")
+    return out.select("s_suppkey", "pinned", "label", "place")
 
 
 @query("select c_custkey, c_name from customer order by regexp_extract(c_name, '^(\\D*)', 1), regexp_extract(c_name, '^\\D*(\\d+)', 1)::bigint desc limit 30")

@@ -37,25 +37,64 @@ def bm25f_whole(t: Tables) -> DataFrame:
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_NAME = _TERMS.format(c="p_name")
+
+
+@query(
+    f"""with d as (select p_partkey, p_name, {_NAME} as a from part), n as (select count(*) as n, avg(len(a)) as la from d), q as (select unnest(['blue', 'metal', 'bolt']) as term),
+f as (select p_partkey, p_name, term, len(list_filter(a, lambda x: x = term)) as f, len(a) as na from d, q), df as (select term, count(*) as df from f where f > 0 group by 1),
+w as (select f.*, f / (0.25 + 0.75 * na / la) as w, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from f join df using (term), n)
+select p_partkey, round(sum(idf * w * 2.2 / (w + 1.2)), 6) as score from w where w > 0 group by p_partkey, p_name order by sum(idf * w * 2.2 / (w + 1.2)) desc, p_name, p_partkey limit 50"""
+)
 def bm25_single(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"))
     return op.bm25f(d, "p_partkey", "name", ["name"], "blue metal bolt", weights=[1.0], most=None, most_terms=None).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(
+    f"""with q as (select distinct substr(w, i, n) as g from (select unnest(['blue', 'economy', 'widget']) as w), range(2, 6) a(n), range(1, 8) b(i) where i + n - 1 <= length(w)),
+t as (select p_partkey, p_name, 8 as weight, 1 as field, unnest({_NAME}) as w from part union all select p_partkey, p_name, 4, 2, unnest({_TERMS.format(c="p_brand")}) from part
+union all select p_partkey, p_name, 1, 3, unnest({_TERMS.format(c="p_type")}) from part),
+h as (select distinct p_partkey, p_name, field, weight, g from t, q where contains(w, g)), s as (select p_partkey, p_name, g, sum(weight) as w from h group by 1, 2, 3),
+df as (select g, count(*) as df from s group by 1), n as (select count(*) as n from part),
+r as (select p_partkey, p_name, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * w) as score, count(*) as k from s join df using (g), n group by 1, 2)
+select p_partkey, round(score, 6) as score from r where k >= 3 order by round(r.score, 9) desc, p_name, p_partkey limit 50"""
+)
 def char_ngram(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
     return op.char_ngrams(d, "p_partkey", "name", ["name", "short", "body"], "blue economy widget", most=None).select("p_partkey", F.round("score", 6).alias("score"))
 
 
-@query()
+def _lexical(terms: list[str], phrase: str) -> str:
+    """SQL of the best 50 parts (p_partkey, p_name, score) for some terms and the whole query."""
+    near = lambda c, w: f"len(list_filter({c}, lambda x: length(x) >= 4 and {len(w)} >= 4 and (starts_with(x, '{w}') or starts_with('{w}', x)))) > 0"
+    each = [
+        f"(case when array_to_string(a, ' ') = '{w}' then 128 when list_contains(a, '{w}') then 64 when {near('a', w)} then 24 else 0 end + case when list_contains(b, '{w}') then 16 when {near('b', w)} then 6 else 0 end"
+        f" + case when list_contains(c, '{w}') then 4 when {near('c', w)} then 1 else 0 end)" for w in terms
+    ]
+    found = " + ".join(f"({x} > 0)::int" for x in each)
+    whole = f"case when contains(' {phrase} ', ' ' || array_to_string(a, ' ') || ' ') then 256 else 0 end"
+    return f"""(select * from (select p_partkey, p_name, ({whole} + {" + ".join(each)} + ({found}) * ({found}))::int as score from
+(select p_partkey, p_name, {_NAME} as a, {_TERMS.format(c="p_brand")} as b, {_TERMS.format(c="p_type")} as c from part)) where score > 0 order by score desc, p_name, p_partkey limit 50)"""
+
+
+@query(f"select p_partkey, score from {_lexical(['small', 'gear', 'brand', 'economy'], 'small gear brand 4 economy')}")
 def weighted_lexical(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
     return op.weighted_lexical(d, "p_partkey", "name", "short", "body", "small gear brand 4 economy", most=None).select("p_partkey", "score")
 
 
-@query()
+_VIEWS = [
+    (["small", "gear", "brand", "economy", "red", "bolt"], "small gear brand 4 economy and red bolt"), (["small", "gear"], "small gear"),
+    (["brand", "economy"], "brand 4 economy"), (["red", "bolt"], "red bolt"),
+]
+_RANKED = " union all ".join(f"select p_partkey, row_number() over (order by score desc, p_name, p_partkey) as rank, {i} as view from {_lexical(*v)}" for i, v in enumerate(_VIEWS))
+
+
+@query(
+    f"""select p_partkey, min(rank)::int as best_rank, (min(rank) filter (where view = 0))::int as full_rank, count(*) as views, min(view)::int as first_view from ({_RANKED}) group by 1
+order by best_rank, full_rank nulls last, views desc, first_view, p_partkey limit 50"""
+)
 def rank_fusion(t: Tables) -> DataFrame:
     d = t.part.select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("short"), F.col("p_type").alias("body"))
     return op.rank_fusion(d, "p_partkey", "name", "short", "body", "small gear; brand 4 economy and red bolt", most=None)
@@ -69,7 +108,11 @@ def fuzzy(t: Tables) -> DataFrame:
     return d.select("p_partkey", "m.score").orderBy("score", "p_partkey").limit(50)
 
 
-@query()
+@query("""with i as (select 0 as kind, p_name as name, p_brand as term from part union all select 1, n_name, 'country' from nation),
+s as (select *, lower(name) as a, lower(term) as b from i), p as (select *, instr(a, 'n') as a1, instr(b, 'n') as b1 from s),
+q as (select *, a1 + instr(substr(a, a1 + 1), 't') as a2, b1 + instr(substr(b, b1 + 1), 't') as b2 from p),
+r as (select kind, name, case when a1 > 0 and a2 > a1 then greatest(a2 - a1 - 1, 0) - case when a1 = 1 then 100 else 0 end end as x, case when b1 > 0 and b2 > b1 then greatest(b2 - b1 - 1, 0) - case when b1 = 1 then 100 else 0 end end as y from q)
+select kind, name, min(x) is not null as named, coalesce(min(x), min(y))::int as score from r group by 1, 2 having coalesce(min(x), min(y)) is not null""")
 def mixed_rank(t: Tables) -> DataFrame:
     parts = t.part.select(F.lit(0).alias("kind"), F.col("p_name").alias("name"), F.array("p_brand").alias("terms"))
     nations = t.nation.select(F.lit(1).alias("kind"), F.col("n_name").alias("name"), F.array(F.lit("country")).alias("terms"))

@@ -92,9 +92,9 @@ def cascade_delete(t: Tables) -> DataFrame:
 
 @query("""select l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber as item_id, l_linestatus as status,
 case when l_linestatus = 'F' then strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') else '' end as completed_at,
-case when l_returnflag = 'R' then '{"flag":"R"}' else '' end as result_json from lineitem where l_orderkey < 2000""")
+case when l_returnflag = 'R' then '{"flag":"R"}' else '' end as result_json from lineitem""")
 def job_export(t: Tables) -> DataFrame:
-    d = t.lineitem.where("l_orderkey < 2000").select(
+    d = t.lineitem.select(
         "l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item_id"), F.col("l_linestatus").alias("status"),
         F.when(F.col("l_linestatus") == "F", F.col("l_shipdate")).alias("completed_at"),
         F.when(F.col("l_returnflag") == "R", F.struct(F.col("l_returnflag").alias("flag"))).alias("result_json"),
@@ -128,3 +128,10 @@ def derive_defaults(t: Tables) -> DataFrame:
     s = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
     o = t.orders.select("o_orderkey", s.alias("s"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.unix_millis(F.col("o_orderdate").cast("timestamp"))).alias("ms"))
     return dml.derived(o, "ms", F.col("s") * 1000).select("o_orderkey", "ms")
+
+
+@query("""select 'j1' as job_id, c_custkey::varchar as item_id, c_custkey as row_index, '{"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' as row_json, 'pending' as status,
+0::bigint as attempt_count, timestamp '2024-05-06 07:08:09' as created_at, null::varchar as last_error from customer""")
+def job_insert(t: Tables) -> DataFrame:
+    items = dml.insert_job({"id": "j1", "name": "names"}, t.customer, "c_custkey", ["c_name", "c_mktsegment"], "c_custkey", "2024-05-06 07:08:09")[1]
+    return items.select("job_id", "item_id", "row_index", "row_json", "status", "attempt_count", "created_at", "last_error")

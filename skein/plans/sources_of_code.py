@@ -46,3 +46,45 @@ union all select 'FC_' || n_nationkey, 'Tag', 'GLOBAL', 'WRITE' from nation""")
 def xref(t: Tables) -> DataFrame:
     blocks = plc.block_lines(_sources(t))
     return plc.xref(blocks, plc.variables(blocks)).select("block", "name", "scope", "access")
+
+
+def _machines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, state machines and devices of one source per nation: a pump is run in state 10 until it is ready, an axis homed in 20."""
+    code = F.concat(
+        F.lit('FUNCTION_BLOCK "FB_'), "n_nationkey", F.lit('"\nVAR\n  Feed_Pump : "FB_Pump";\n  step : Int;\nEND_VAR\nBEGIN\nCASE #step OF\n  10:\n    #Feed_Pump(run := TRUE);\n'
+        '    #out := #a AND #b;\n    IF #ready THEN\n      #step := 20;\n    END_IF;\n  20:\n    MC_Home(Axis := #x);\n    Helper();\n    #overflow_fault := #c;\n    #step := 10;\nEND_CASE;\nEND_FUNCTION_BLOCK\n'),
+    )
+    blocks = plc.block_lines(t.nation.select(F.concat(F.lit("f"), "n_nationkey").alias("file"), code.alias("text")))
+    return blocks, plc.states(blocks), plc.devices(plc.instances(plc.variables(blocks)))
+
+
+_ACTIONS = """(values ('10', 'DEVICE_CALL', '#Feed_Pump', 'Pump', null), ('10', 'ASSIGNMENT', '#out', null, null), ('20', 'STANDARD_BLOCK_CALL', 'MC_Home', null, 'MotionControl'),
+('20', 'BLOCK_CALL', 'Helper', null, null), ('20', 'ASSIGNMENT', '#overflow_fault', null, null)) a(state, kind, target, device, family)"""
+
+
+@query("select 'FB_' || n_nationkey as block, a.* from nation, {a}", a=_ACTIONS)
+def state_actions(t: Tables) -> DataFrame:
+    return plc.state_actions(*_machines(t)).select("block", "state", "kind", "target", "device", "family")
+
+
+@query("""select 'FB_' || n_nationkey as block, c.* from nation, (values ('10', '20', '#ready', '#Feed_Pump,#out', ''), ('20', '10', null, 'MC_Home,Helper,#overflow_fault', '#overflow_fault')) c(state, target, condition, actions, alarms)""")
+def causal_chains(t: Tables) -> DataFrame:
+    return _chains(t).select("block", "state", "target", "condition", F.array_join("actions", ",").alias("actions"), F.array_join("alarms", ",").alias("alarms"))
+
+
+def _chains(t: Tables) -> DataFrame:
+    blocks, machine, known = _machines(t)
+    raised = plc.alarm_states(plc.alarms(blocks), machine)
+    return plc.causal_chains(plc.transitions(blocks, machine), plc.state_actions(blocks, machine, known), raised)
+
+
+@query("""with b as (select 'FB_' || n_nationkey as b from nation) select 'STATE:' || b || ':10' as source, 'COMPLETES_WHEN' as relation, 'CONDITION:' || b || ':10:12' as target from b
+union all select 'CONDITION:' || b || ':10:12', 'ADVANCES_TO', 'STATE:' || b || ':20' from b union all select 'STATE:' || b || ':20', 'MAY_RAISE', 'ALARM:' || b || ':overflow_fault' from b""")
+def causal_relations(t: Tables) -> DataFrame:
+    return plc.causal_relations(_chains(t))
+
+
+@query("select c_custkey, case when c_custkey % 3 = 0 then 'high' when c_custkey % 3 = 1 then 'medium' else 'low' end as confidence from customer")
+def device_confidence(t: Tables) -> DataFrame:
+    kinds = F.expr("case c_custkey % 3 when 0 then array('name', 'MotionControl') when 1 then array('name', 'PID') else array('MotionControl') end")
+    return plc.confidence(t.customer.select("c_custkey", F.explode(kinds).alias("kind")), ["c_custkey"])

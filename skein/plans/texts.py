@@ -110,8 +110,8 @@ def keyword_category(t: Tables) -> DataFrame:
     return t.events.select("event_id", fn.category(F.col("event_type")).alias("c")).select("event_id", "c.category", "c.severity")
 
 
-@query("""select c_custkey, array_to_string(list_filter([case when not regexp_matches(n, '^[A-Za-z_][A-Za-z0-9_]*$') then 'format' end, case when regexp_matches(n, '^_|_$|__') then 'underscores' end,
-case when regexp_matches(lower(n), '^(tmp|temp|var|data|test|value|tag)[0-9]*$') then 'generic' end, case when length(n) < 2 then 'short' end], lambda x: x is not null), ',') as issues
+@query("""select c_custkey, array_to_string(list_filter([case when not regexp_matches(n, '^[A-Za-z][A-Za-z0-9_]*$') then 'format' end, case when regexp_matches(n, '^_|_$|__') then 'underscores' end,
+case when regexp_matches(lower(n), '^(tag|var|variable|temp|tmp|data|value|test|newtag|newvariable|unnamed|signal|flag)[0-9]*$') then 'generic' end, case when length(n) < 2 then 'short' end], lambda x: x is not null), ',') as issues
 from (select c_custkey, case c_custkey % 4 when 0 then c_name when 1 then 'tmp' || c_custkey when 2 then '_x_' else 'A' end as n from customer)""")
 def quality_rules(t: Tables) -> DataFrame:
     n = F.expr("case c_custkey % 4 when 0 then c_name when 1 then concat('tmp', c_custkey) when 2 then '_x_' else 'A' end")
@@ -186,3 +186,44 @@ case when pos + 101 <= length(flat) then ' ...' else '' end as snippet from (sel
 (select doc_id, n_chars, {flat} as flat from documents where lang = 'en')) where pos > 0) where n_chars < 900 or (n_chars = 900 and doc_id < 0) order by n_chars desc, doc_id desc limit 21""", flat=_FLAT)
 def search_threads(t: Tables) -> DataFrame:
     return search.search_threads(t.documents.where("lang = 'en'"), "thing", (900, 0), 20).select("doc_id", "snippet")
+
+
+_LINES = "(select doc_id, i as line, ls[i] as x from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)))"
+
+
+@query("select doc_id, line from {l} where contains(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', '', 'g'), 'thedst')", l=_LINES)
+def line_search_normalized(t: Tables) -> DataFrame:
+    return search.line_search(t.documents, ["doc_id"], "text", ["The, D-st"], every=True, normalized=True).select("doc_id", "line")
+
+
+@query("""select doc_id, i as line, greatest(i - 2, 1) as first, array_to_string(ls[greatest(i - 2, 1):i + 2], chr(10)) as content from
+(select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)) where contains(lower(ls[i]), 'edstha')""")
+def context_lines(t: Tables) -> DataFrame:
+    return search.with_context(t.documents, ["doc_id"], "text", "edstha", 2)
+
+
+@query("""with s as (select c_custkey, c_mktsegment, '00000000-0000-4000-8000-' || lpad(c_custkey::varchar, 12, '0') as u, ('0x' || right(lpad(c_custkey::varchar, 12, '0'), 8))::bigint as h, lower(c_mktsegment) as m from customer),
+d as (select '0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' as z)
+select c_custkey, '2024-05-06T07-08-09-' || z[h // 238328 % 62 + 1] || z[h // 3844 % 62 + 1] || z[h // 62 % 62 + 1] || z[h % 62 + 1] || '-' || regexp_replace(m, '[^a-z0-9]', '_', 'g') as stem from s, d""")
+def file_stems(t: Tables) -> DataFrame:
+    id = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp_ntz")
+    return t.customer.select("c_custkey", fn.file_stem(id, at, F.col("c_mktsegment")).alias("stem"))
+
+
+@query("""select p_partkey, case p_partkey % 4 when 0 then 'Line7_Press' when 1 then 'P_12_A' when 2 then 'PROJECT' else 'Brand_' || regexp_extract(p_brand, '[0-9]+') end || '_' || case p_partkey % 3 when 0 then 'I' || p_size || '_1' when 1 then 'QW' || p_size else 'DB' || p_size || '_DBD4' end as name,
+'%' || case p_partkey % 3 when 0 then 'I' || p_size || '.1' when 1 then 'QW' || p_size else 'DB' || p_size || '.DBD4' end as address, case p_partkey % 3 when 0 then 'Bool' when 1 then 'Int' else 'DWord' end as type from part""")
+def tag_inference(t: Tables) -> DataFrame:
+    stem = F.expr("case p_partkey % 4 when 0 then 'Line7-Press_PLC_v2' when 1 then '12-A 图纸' when 2 then '##' else concat('Brand-', regexp_extract(p_brand, '[0-9]+', 0), '_io') end")
+    address = F.expr("case p_partkey % 3 when 0 then concat('i ', p_size, '.1') when 1 then concat('QW', p_size) else concat('db', p_size, '.dbd4') end")
+    kind = F.expr("case p_partkey % 3 when 0 then 'DI' when 1 then 'AO' else 'DB' end")
+    logical = fn.logical_address(address)
+    return t.part.select("p_partkey", fn.tag_name(fn.project_name(stem), logical).alias("name"), logical.alias("address"), fn.tag_type(kind, address).alias("type"))
+
+
+@query("""select c_custkey, array_to_string(list_filter(['c' || (c_custkey % 5), 'c' || (c_custkey % 7)], lambda x: x in ('c1', 'c2', 'c3')), ',') as ids from customer where c_custkey % 5 <> c_custkey % 7
+union all select c_custkey, case when c_custkey % 5 in (1, 2, 3) then 'c' || (c_custkey % 5) else '' end from customer where c_custkey % 5 = c_custkey % 7""")
+def eligible_ids(t: Tables) -> DataFrame:
+    listed = t.customer.select("c_custkey", F.array(F.concat(F.lit("c"), F.col("c_custkey") % 5), F.concat(F.lit("c"), F.col("c_custkey") % 7)).alias("ids"))
+    some = t.spark.createDataFrame([("c1",), ("c2",), ("c3",)], "ids string")
+    return search.eligible_ids(listed, ["c_custkey"], "ids", some).select("c_custkey", F.array_join("ids", ",").alias("ids"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.scratch import Scratch
+
 
 def jsonl_permissive(lines: DataFrame, column: str, schema: str) -> DataFrame:
     """Rows of JSON text parsed to ``schema``; blank and malformed lines are left out."""
@@ -45,20 +47,25 @@ def read_csv_job(spark: SparkSession, path: str) -> DataFrame:
     bad = "_ragged"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(bad, T.StringType())])
     rows = whole.option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(schema).csv(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    held = rows.cache()  # Spark refuses to ask for ragged rows alone of a file
-    first = held.where(F.col(bad).isNotNull()).agg(F.min("_at")).first()[0]
-    held.unpersist()
+    # Written, as Spark refuses to ask for ragged rows alone of a file.
+    rows = Scratch(spark).keep(rows.withColumn("_at", F.monotonically_increasing_id()))
+    first = rows.where(F.col(bad).isNotNull()).agg(F.min("_at")).first()[0]
     if first is not None:
         raise ValueError(f"csv row {first + 2} has a wrong number of fields")
     filled = F.greatest(*[F.length(F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names], F.lit(0)) > 0
-    rows = rows.where(filled).withColumn("row_index", F.row_number().over(Window.orderBy("_at")) - 1)
+    rows = rows.where(filled).withColumn("_part", F.shiftright("_at", 33))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.selectExpr("_part", "sum(_c) over (order by _part) - _c as _before")  # a row per part of the file
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
+    rows = rows.withColumn("_place", place).join(before, "_part").withColumn("row_index", F.col("_before") + F.col("_place"))
     return rows.select("row_index", *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
 
 def nth_row(df: DataFrame, order: list[str], n: int, within: list[str] | None = None) -> DataFrame:
-    """The row at place ``n`` (from 0) of an ordered log, for each key of ``within``."""
-    w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
+    """The row at place ``n`` (from 0) of an ordered log, for each key of ``within``; without keys, of the whole log."""
+    if not within:
+        return df.orderBy(*order).offset(n).limit(1)
+    w = Window.partitionBy(*within).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w) - 1).where(F.col("_n") == n).drop("_n")
 
 
@@ -68,3 +75,20 @@ def line_window(text: Column, first: int, most: int) -> Column:
     return F.struct(
         F.array_join(F.slice(lines, first, most), "\n").alias("content"), (F.size(lines) > first - 1 + most).alias("truncated")
     )
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header, all strings: UTF-8 with or without a byte order mark, else GB 18030. A file is UTF-8 unless some of its
+    bytes are not."""
+    other = spark.read.text(path).where(~F.is_valid_utf8("value"))  # lines keep their bytes
+    encoding = "UTF-8" if other.isEmpty() else "GB18030"
+    if encoding != "UTF-8":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark reads Unicode and Latin sets only
+    out = spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").csv(path)
+    return out.toDF(*[c.lstrip("\ufeff") for c in out.columns])
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """CSV with a header and a byte order mark before it, in one file per task, for spreadsheet programs."""
+    named = df.select(*[F.col(f"`{c}`").alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(df.columns)])
+    named.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)

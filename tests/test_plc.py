@@ -70,3 +70,9 @@ def test_project(spark, tmp_path):
     assert index.where("array_contains(objects, 'state 10')").count() == 1
     listed = spark.createDataFrame([("src/a.scl", hashlib.sha256(MAIN.encode()).hexdigest()), ("gone.scl", "x")], "path string, listed string")
     assert {r.path: r.verdict for r in plc.verify_manifest(spark, str(tmp_path), listed).collect()} == {"src/a.scl": "ok", "src/b.scl": "unlisted", "gone.scl": "missing"}
+
+
+def test_blocks_end_at_their_end(spark):
+    text = 'x\nFUNCTION "A" : Void\n y := 1;\nEND_FUNCTION\n between\nFUNCTION_BLOCK "B"\n never closed\nFUNCTION "C"\nend_function;\n'
+    got = plc.block_lines(spark.createDataFrame([("f", text)], "file string, text string")).select("block", "line").orderBy("block", "line").collect()
+    assert list(map(tuple, got)) == [("A", 2), ("A", 3), ("A", 4), ("C", 8), ("C", 9)]

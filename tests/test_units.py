@@ -114,7 +114,10 @@ def test_redaction(spark):
 def test_templates_and_ids(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x-2"), (4, "x")], "n int, b string")
     ids = [r.i for r in search.unique_ids(df, "b", "n", "i").orderBy("n").collect()]
-    assert len(set(ids)) == 4 and ids[0] == "x" and ids[2] == "x-2"
+    assert ids == ["x", "x-2", "x-2-2", "x-3"]
+    many = [("x", "x"), ("x", "x-2"), ("x-5", "x-5"), ("y", "y"), ("x", "x-3"), ("y", "y-2"), ("x-5", "x-5-2"), ("x", "x-4"), ("x", "x-6"), ("y-2", "y-2-2"), ("z", "z"), ("z", "z-2")]
+    df2 = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(many)], "n int, b string")
+    assert [r.i for r in search.unique_ids(df2, "b", "n", "i").orderBy("n").collect()] == [i for _, i in many]
     assert df.select(fn.render("{b}{{{n}}}", b="b", n="n").alias("t")).first().t == "x{1}"
 
 
@@ -207,3 +210,88 @@ def test_rankings_read_whole_tables(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     for name in ("bm25_single", "char_ngram", "weighted_lexical", "rank_fusion", "bm25f_whole"):
         assert registry.QUERIES[name](spark, str(tmp_path)).first()[0] == best, name
+
+
+def test_tables_with_and_without_a_mark(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("编号,名称\n1,电机\n".encode("gb18030"))
+    (tmp_path / "b.csv").write_text("\ufeff编号,名称\n1,电机\n", encoding="utf-8")
+    for name in ("a.csv", "b.csv"):
+        df = files.read_table(spark, str(tmp_path / name))
+        assert df.columns == ["编号", "名称"] and rows(df) == [("1", "电机")]
+    files.write_table(spark.createDataFrame([(1, "ü,x")], "a int, b string").coalesce(1), str(tmp_path / "out"))
+    out = next((tmp_path / "out").glob("*.csv")).read_bytes()
+    assert out == "\ufeffa,b\n1,\"ü,x\"\n".encode()
+
+
+def test_file_stems(spark):
+    def plain(id):
+        if len(id) == 36:
+            seed = int(id[-8:], 16)
+        else:
+            seed = 0
+            for b in id.encode():
+                seed = (seed * 31 + b) % 2**32
+        out = ""
+        for _ in range(4):
+            out, seed = fn.BASE62[seed % 62] + out, seed // 62
+        return out
+
+    ids = ["0190b0f1-0000-7000-8000-00000123abcd", "thread ü", "ffffffff-ffff-4fff-8fff-ffffffffffff", ""]
+    df = spark.createDataFrame([(i,) for i in ids], "id string").withColumn("t", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    got = [r.s for r in df.select(fn.file_stem(F.col("id"), F.col("t"), F.lit("Ab c-Ü.")).alias("s")).collect()]
+    assert got == [f"2024-01-02T03-04-05-{plain(i)}-ab_c" for i in ids]
+    assert df.select(fn.file_stem(F.col("id"), F.col("t"), F.lit(None).cast("string"))).first()[0] == f"2024-01-02T03-04-05-{plain(ids[0])}"
+
+
+def test_names_and_types_of_tags(spark):
+    stems = {"A_IO_2": "A", "7x": "P_7x", "": "PROJECT", "图": "PROJECT", "Press--2": "Press", "line_plcs": "line_plcs", "x" * 50: "x" * 40}
+    df = spark.createDataFrame([(k,) for k in stems], "s string")
+    assert [r[0] for r in df.select(fn.project_name(F.col("s"))).collect()] == list(stems.values())
+    cases = [("DI", "i0.1", "Bool"), ("AI", "%ID4", "DInt"), ("AI", "PIW2", "Int"), ("Memory", "mw3", "Word"), ("DB", "DB1.DBD2", "DWord"), ("Data Register", "D1", ""), (None, "q1.2", "Bool")]
+    df = spark.createDataFrame(cases, "k string, a string, t string")
+    assert [r[0] for r in df.select(fn.tag_type(F.col("k"), F.col("a"))).collect()] == [c[2] for c in cases]
+
+
+def test_normalized_search_and_context(spark):
+    df = spark.createDataFrame([("a", "one\nFoo-Bar baz\nthree\nfour"), ("b", "foo\nbar")], "k string, t string")
+    assert rows(search.line_search(df, ["k"], "t", ["foobar"], True, normalized=True).select("k", "line")) == [("a", 2)]
+    assert rows(search.line_search(df, ["k"], "t", ["foo"], True, case_sensitive=True).select("k", "line")) == [("b", 1)]
+    assert rows(search.with_context(df, ["k"], "t", "FOO", 1).orderBy("k")) == [("a", 2, 1, "one\nFoo-Bar baz\nthree"), ("b", 1, 1, "foo\nbar")]
+    with pytest.raises(ValueError):
+        search.line_search(df, ["k"], "t", ["--"], True, normalized=True)
+
+
+def test_rollback_by_windows_equals_a_stack(spark):
+    import random
+
+    rng = random.Random(3)
+    log = [(k, i, rng.choice("tttxmM")) for k in range(30) for i in range(rng.randint(1, 25))]
+    want = []
+    for k in range(30):
+        kept, starts = [], []
+        for _, i, kind in [r for r in log if r[0] == k]:
+            n = {"m": 1, "M": 3}.get(kind, 0)
+            if n:
+                kept = kept[: starts[-n] if n <= len(starts) else (starts[0] if starts else len(kept))]
+                starts = starts[: max(0, len(starts) - n)]
+                continue
+            if kind == "t":
+                starts.append(len(kept))
+            kept.append((k, i, kind))
+        want += kept
+    df = spark.createDataFrame(log, "c int, i int, k string")
+    back = F.when(F.col("k") == "m", 1).when(F.col("k") == "M", 3)
+    assert rows(ordered.rolled_back(df, "c", "i", F.col("k") == "t", back).orderBy("c", "i")) == want
+
+
+def test_places_after_letters_that_grow(spark):
+    df = spark.createDataFrame([("İİ ab AB abab",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(fn.occurrences(F.col("t"), "aB")).collect()] == [[3, 6, 9, 11], None, []]
+
+
+def test_deep_and_shared_descendants(spark):
+    e = spark.createDataFrame([(i, i + 1, "open") for i in range(130)] + [(0, 50, "open"), (60, 3, "open"), (9, 0, "open")], "parent long, child long, status string")
+    got = {r.child: r.depth for r in graph.descendants(spark, e, 0).collect()}
+    want = {i: i if i < 50 else i - 49 for i in range(1, 131)}
+    want |= {i: min(want[i], want[60] + 1 + i - 3) for i in range(3, 50)}
+    assert got == want
