@@ -64,8 +64,16 @@ def bounded_ring(
     Rows of one key continue clockwise once a shard is full, so one key with a third of all rows spreads over
     several shards, and its rows over many partitions: they are range-sorted by position and a hash of the row.
     Null keys share one position; repeated rows are kept and get slots of their own; an empty table gives an
-    empty result. The columns ``_pos _tie _pid _arc _off`` are reserved.
+    empty result. Columns may have any names; those named ``shard`` or ``slot`` are replaced.
     """
+    cols = [c for c in rows.columns if c not in ("shard", "slot")]
+    inner = {c: f"c{i}" for i, c in enumerate(cols)}
+    own = rows.select(*[F.col(f"`{c}`").alias(inner[c]) for c in cols])
+    out = _bounded(scratch, own, inner[key], inner[size], shards, virtual, slack)
+    return out.select(*[F.col(inner[c]).alias(c) for c in cols], "shard", "slot")
+
+
+def _bounded(scratch: Scratch, rows: DataFrame, key: str, size: str, shards: int, virtual: int, slack: float) -> DataFrame:
     spark = scratch.spark
     at, owner = ring(shards, virtual)
     cols = rows.columns
