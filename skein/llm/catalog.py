@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontamination, licenses, lines, neardup, packing, quality, sharding, substring, toxicity
+from skein.llm import chat, decontamination, divergence, licenses, lines, neardup, packing, periodic, quality, sharding, substring, toxicity, warc
 
-_MODULES = [chat, decontamination, licenses, lines, neardup, packing, quality, sharding, substring, toxicity]
+_MODULES = [chat, decontamination, divergence, licenses, lines, neardup, packing, periodic, quality, sharding, substring, toxicity, warc]
 
 
 def queries() -> dict:

@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def bits_for(rows: int, most: int = 26) -> int:
+    """Bits (as a power of two) of a bitmap for so many hashes: 16 each, at most 2**``most`` (a table of 2**``most`` / 64 rows)."""
+    return min(most, max(12, (16 * rows).bit_length()))
+
+
 def _marks(wanted: DataFrame, h: str, bits: int) -> DataFrame:
     """Hashes as marks in a bitmap of 2**bits bits. It has at most 2**bits / 64 rows however many hashes there
     are, so it can be broadcast."""
