@@ -21,7 +21,7 @@ from skein.llm.common import Scratch, documents
 #: All bytes that are no letters of ASCII and no part of a longer character, as spaces; A-Z lower-cased.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Rows of the sketch, and how many different terms a task counts before it passes them on.
-DEPTH, MOST = 4, 1 << 19
+DEPTH, MOST = 2, 1 << 19
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -32,7 +32,7 @@ def terms(text: bytes) -> list[bytes]:
 def cells(keys: list[bytes], width: int) -> np.ndarray:
     """DEPTH cells (columns) of each key, in a table of DEPTH rows of ``width`` cells, a power of two."""
     digests = b"".join(xxhash.xxh3_128_digest(k) for k in keys)
-    parts = np.frombuffer(digests, ">u4").reshape(-1, DEPTH).astype(np.int64)
+    parts = np.frombuffer(digests, ">u8").reshape(-1, DEPTH).astype(np.int64)
     return (parts & (width - 1)) + np.arange(DEPTH) * width
 
 
@@ -138,7 +138,7 @@ def _share(count: str, total: str, vocabulary: str) -> str:
     return f"1 + (cast(1000000000 as decimal(10)) * cast({count} + 5 as decimal(20))) div cast(greatest({total} + 5 * {vocabulary}, 1) as decimal(20))"
 
 
-def divergence(scratch: Scratch, docs: DataFrame, least: int = 30, top: int = 50, width: int = 1 << 21) -> DataFrame:
+def divergence(scratch: Scratch, docs: DataFrame, least: int = 30, top: int = 50, width: int = 1 << 22) -> DataFrame:
     """How each source of each language differs: (lang, source, part, item, value, rank).
 
     Terms count that stand in at least ``least`` documents of their language. Part ``pair``: each other source of the language, by the

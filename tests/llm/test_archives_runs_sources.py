@@ -208,4 +208,4 @@ def test_sketch_never_underestimates(spark):
     at = divergence.cells([divergence._key("en", t) for t in count], width)
     hit = ((marks[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1)
     assert all(h for h, (t, n) in zip(hit, count.items(), strict=True) if n >= 5)
-    assert sum(h for h, (t, n) in zip(hit, count.items(), strict=True) if n < 5) <= 2
+    assert sum(h for h, (t, n) in zip(hit, count.items(), strict=True) if n < 5) <= 4
