@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.sources.published import Store
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
     """All columns of the row with the largest ``seq`` of each key. An aggregate, so rows combine before the shuffle."""
@@ -29,7 +31,7 @@ def insert_ignore(have: DataFrame, come: DataFrame, key: list[str]) -> DataFrame
 def insert_job(job: dict[str, object], items: DataFrame, item_id: str, row: list[str], order: str, at: str) -> tuple[DataFrame, DataFrame]:
     """A new job and its items, all pending, as rows of the tables jobs and job items. ``row`` are the columns kept as JSON.
 
-    Both are written by one job or not at all: write the items first, the job's row, which makes them visible, last.
+    ``publish_job`` shows both at once or neither.
     """
     when = F.lit(at).cast("timestamp_ntz")
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
@@ -42,6 +44,18 @@ def insert_job(job: dict[str, object], items: DataFrame, item_id: str, row: list
     return head, rows
 
 
+def publish_job(store: Store, job: dict[str, object], items: DataFrame, item_id: str, row: list[str], order: str, at: str) -> int:
+    """``insert_job`` into the tables ``jobs`` and ``job_items`` of a store, in one version; its number."""
+    head, rows = insert_job(job, items, item_id, row, order, at)
+    return store.commit(add={"jobs": head, "job_items": rows})
+
+
+def publish_delete(store: Store, gone: DataFrame, tables: dict[str, str], key: str) -> int:
+    """Delete the rows of some keys from several tables (name to its key column) in one version; its number."""
+    have = {k: (store.read(k), c) for k, c in tables.items()}
+    return store.commit(replace=cascade_delete(gone, have, key))
+
+
 def accept_until(rows: DataFrame, key: list[str], seq: str, terminal: Column, flag: str) -> DataFrame:
     """Whether each change is accepted: none is after the first terminal one of its key."""
     end = rows.where(terminal).groupBy(*key).agg(F.min(seq).alias("_end"))

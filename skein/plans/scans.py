@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.operators import dml
 from skein.plans.registry import Tables, query
-from skein.sources import files
+from skein.scratch import Scratch
+from skein.sources import files, numbered
+from skein.sources.published import Store, backfill
 
 
 @query("select c_custkey, c_name, c_mktsegment from customer")
@@ -135,3 +137,45 @@ def derive_defaults(t: Tables) -> DataFrame:
 def job_insert(t: Tables) -> DataFrame:
     items = dml.insert_job({"id": "j1", "name": "names"}, t.customer, "c_custkey", ["c_name", "c_mktsegment"], "c_custkey", "2024-05-06 07:08:09")[1]
     return items.select("job_id", "item_id", "row_index", "row_json", "status", "attempt_count", "created_at", "last_error")
+
+
+@query("select o_orderkey % 64 as shard, row_number() over (partition by o_orderkey % 64 order by o_orderkey) as line, o_orderkey, o_orderstatus from orders")
+def strict_lines(t: Tables) -> DataFrame:
+    """Orders as files of JSON lines, read back with the number of each line."""
+    where = f"{Scratch(t.spark).root}/lines"
+    o = t.orders.select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") % 64).alias("shard"))
+    o.repartition(64, "shard").sortWithinPartitions("shard", "o_orderkey").write.partitionBy("shard").json(where)
+    rows = numbered.strict_json(t.spark, [f"{where}/shard=*"], "o_orderkey bigint, o_orderstatus string")
+    return rows.select(F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long").alias("shard"), "line", "o_orderkey", "o_orderstatus")
+
+
+@query("select event_type as name, count(*) as n_lines from events group by 1")
+def file_counts(t: Tables) -> DataFrame:
+    """How many lines the files of each kind of event have, by file, then summed."""
+    where = f"{Scratch(t.spark).root}/counted"
+    t.events.select(F.to_json(F.struct("event_id", "user_id")).alias("value"), "event_type").write.partitionBy("event_type").text(where)
+    counts = numbered.file_identity(t.spark, [f"{where}/event_type=*"])
+    return counts.groupBy(F.regexp_extract("path", "/event_type=([^/]*)/", 1).alias("name")).agg(F.sum("n_lines").alias("n_lines"))
+
+
+@query("""select 'j' || c_mktsegment as job_id, count(*) as n_items, sum(c_custkey)::bigint as keys, 'pending' as status from customer
+where c_mktsegment <> 'BUILDING' group by 1""")
+def published_jobs(t: Tables) -> DataFrame:
+    """A job and its items for each market segment, published in one version each; one is deleted again, from both tables at once."""
+    store = Store(t.spark, f"{Scratch(t.spark).root}/store")
+    for (segment,) in t.customer.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():  # five
+        items = t.customer.where(F.col("c_mktsegment") == segment)
+        dml.publish_job(store, {"id": f"j{segment}"}, items, "c_custkey", ["c_name"], "c_custkey", "2024-05-06 07:08:09")
+    gone = t.spark.range(1).select(F.lit("jBUILDING").alias("id"))
+    dml.publish_delete(store, gone, {"jobs": "id", "job_items": "job_id"}, "id")
+    jobs, items = store.read("jobs").select("id", "status"), store.read("job_items")
+    per = items.groupBy("job_id").agg(F.count("*").alias("n_items"), F.sum("row_index").alias("keys"))
+    return jobs.join(per, jobs["id"] == per["job_id"]).select("job_id", "n_items", "keys", "status")
+
+
+@query("""select o_orderkey, (row_number() over (order by o_orderkey) - 1) // n + 1 as batch, o_orderstatus from orders, (select (count(*) + 4) // 5 as n from orders)""")
+def backfill_batches(t: Tables) -> DataFrame:
+    """Orders loaded in five batches in the order of their keys, each published with the key reached."""
+    store, o = Store(t.spark, f"{Scratch(t.spark).root}/store"), t.orders.select("o_orderkey", "o_orderstatus")
+    backfill(store, "orders", o, "o_orderkey", lambda b, k: {"orders": b.withColumn("batch", F.lit(k).cast("long"))}, (o.count() + 4) // 5)
+    return store.read("orders")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.scratch import Scratch
+from skein.sources.numbered import first_bad, numbered_lines, strict_json
 
 
 def jsonl_permissive(lines: DataFrame, column: str, schema: str) -> DataFrame:
@@ -17,9 +17,10 @@ def jsonl_permissive(lines: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; ``strict`` fails at the first malformed line, else such lines are left out. Blank lines never count."""
+    """JSON lines; ``strict`` raises ValueError with the number of the first malformed line, else such lines are left out. Blank
+    lines give no row."""
     if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return strict_json(spark, path, schema).drop("path", "line")
     return jsonl_permissive(spark.read.text(path), "value", schema)
 
 
@@ -35,30 +36,34 @@ def session_files(spark: SparkSession, root: str, archived: str = "archived_sess
 
 
 def read_csv_job(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all strings, a byte order mark allowed. Ragged rows and repeated headers raise ValueError with the
-    row number (the header is 1); rows of empty fields only are skipped. Adds ``row_index`` from 0 of all rows kept."""
-    whole = spark.read.option("header", "false").option("encoding", "UTF-8")
-    head = spark.read.text(path).limit(1).collect()
-    if not head:
+    """A CSV file with a header, all strings, a byte order mark allowed; a row is a line, blank ones are skipped. Ragged rows and repeated
+    headers raise ValueError, the first with the number of its line (the header is 1), on files of any number of splits; rows of
+    empty fields only are skipped. Adds ``row_index`` from 0 of all rows kept."""
+    head = spark.read.option("header", "false").csv(path).first()
+    if head is None:
         raise ValueError("csv has no header")
-    names = [h.strip().strip('"') for h in head[0][0].lstrip("﻿").split(",")]
-    if len({n for n in names}) != len(names):
+    names = [(h or "").strip() for h in head]
+    names[0] = names[0].lstrip("\ufeff")
+    if len(set(names)) != len(names):
         raise ValueError("csv header has a repeated column")
     bad = "_ragged"
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(bad, T.StringType())])
-    rows = whole.option("header", "true").option("enforceSchema", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(schema).csv(path)
-    # Written, as Spark refuses to ask for ragged rows alone of a file.
-    rows = Scratch(spark).keep(rows.withColumn("_at", F.monotonically_increasing_id()))
-    first = rows.where(F.col(bad).isNotNull()).agg(F.min("_at")).first()[0]
-    if first is not None:
-        raise ValueError(f"csv row {first + 2} has a wrong number of fields")
-    filled = F.greatest(*[F.length(F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names], F.lit(0)) > 0
-    rows = rows.where(filled).withColumn("_part", F.shiftright("_at", 33))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.selectExpr("_part", "sum(_c) over (order by _part) - _c as _before")  # a row per part of the file
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at")) - 1
-    rows = rows.withColumn("_place", place).join(before, "_part").withColumn("row_index", F.col("_before") + F.col("_place"))
-    return rows.select("row_index", *[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+    while bad in names:
+        bad += "_"
+    fields = [T.StructField(n, T.StringType()) for n in [*names, bad]]
+    lines = numbered_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != ""))
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in fields)
+    rows = lines.select("path", "line", F.from_csv("value", F.lit(ddl), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("_r"))
+    if first := first_bad(rows, F.col("_r").isNull() | F.col("_r").getField(bad).isNotNull()):
+        raise ValueError(f"csv row {first[1]} has a wrong number of fields")
+    field = lambda n: F.coalesce(F.col("_r").getField(n), F.lit(""))
+    rows = rows.where(F.greatest(*[F.length(field(n)) for n in names], F.lit(0)) > 0)
+    # Rows skipped are few: numbers are those of lines, less the rows skipped before, summed by blocks of lines.
+    block = F.floor(F.col("line") / 100_000)
+    counts = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_c"))
+    before = counts.selectExpr("_block", "sum(_c) over (order by _block) - _c as _before")  # a row per 100,000 lines
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("line")) - 1
+    rows = rows.withColumn("_block", block).withColumn("_place", place).join(before, "_block")
+    return rows.select((F.col("_before") + F.col("_place")).alias("row_index"), *[field(n).alias(n) for n in names])
 
 
 def nth_row(df: DataFrame, order: list[str], n: int, within: list[str] | None = None) -> DataFrame:

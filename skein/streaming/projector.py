@@ -82,16 +82,20 @@ def _delete(spark: SparkSession, where: str) -> None:
 
 
 def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
-    """Numbers of the batches that wrote each part; few, as old ones are deleted."""
+    """Numbers of the batches that wrote each part and have ended (Spark marks their folders last); few, as old ones are deleted."""
+    path, fs = _folder(spark, f"{target}/*/_SUCCESS")
+    ended = {f.getPath().getParent().getName() for f in fs.globStatus(path) or []}
     path, fs = _folder(spark, f"{target}/*/_part=*")
     out: dict[int, list[int]] = {}
     for f in fs.globStatus(path) or []:
-        out.setdefault(int(f.getPath().getName().split("=")[1]), []).append(int(f.getPath().getParent().getName()))
+        if (number := f.getPath().getParent().getName()) in ended:
+            out.setdefault(int(f.getPath().getName().split("=")[1]), []).append(int(number))
     return out
 
 
 def projected(spark: SparkSession, target: str, batches: int | None = None) -> DataFrame:
-    """The table as it was after so many batches (the last or the one before), or now."""
+    """The table as it was after so many batches (the last or the one before), or now. What a batch that has not ended wrote does not
+    count."""
     have = {p: [x for x in v if batches is None or x < batches] for p, v in _versions(spark, target).items()}
     return spark.read.parquet(*[f"{target}/{max(v)}/_part={p}" for p, v in have.items() if v]).drop("_first", "_last")
 
