@@ -50,4 +50,5 @@ from skein.plans import (  # noqa: E402  these register themselves
     scans,  # noqa: F401
     sources_of_code,  # noqa: F401
     texts,  # noqa: F401
+    traces,  # noqa: F401
 )
