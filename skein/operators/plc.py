@@ -24,12 +24,15 @@ def read_project(spark: SparkSession, root: str) -> DataFrame:
 
 
 def lines(sources: DataFrame) -> DataFrame:
-    """Lines (file, line, code) without comments; a comment over several lines leaves its line breaks."""
+    """Lines (file, line, code, note) without comments; a comment over several lines leaves its line breaks. note: what a comment on the
+    line says, else empty."""
     emptied = F.regexp_replace("text", r"(?:(?<=\(\*)|\G(?!\A))(?!\*\))(\n*)(?!\*\))[^\n]", "$1")
     bare = F.regexp_replace(emptied, r"\(\*(\n*)\*\)", "$1")
     kept = F.when(F.contains("text", F.lit("(*")), bare).otherwise(F.col("text"))
-    each = sources.select("file", F.posexplode(F.split(kept, "\n")).alias("p", "raw"))
-    return each.select("file", (F.col("p") + 1).alias("line"), F.regexp_replace("raw", "//.*$", "").alias("code"))
+    both = F.arrays_zip(F.split(kept, "\n").alias("raw"), F.split("text", "\n").alias("all"))
+    each = sources.select("file", F.posexplode(both).alias("p", "x"))
+    said = F.trim(F.coalesce(F.nullif(F.regexp_extract("x.all", "//(.*)$", 1), F.lit("")), F.regexp_extract("x.all", r"\(\*(.*?)\*\)", 1)))
+    return each.select("file", (F.col("p") + 1).alias("line"), F.regexp_replace("x.raw", "//.*$", "").alias("code"), said.alias("note"))
 
 
 def block_lines(sources: DataFrame) -> DataFrame:
@@ -45,20 +48,22 @@ def block_lines(sources: DataFrame) -> DataFrame:
     short = F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), kind)
     heads = code.where(name != "").select(F.col("file").alias("_f"), name.alias("block"), short.alias("kind"), F.col("line").alias("_first"), last.alias("_last"))
     inside = (F.col("file") == F.col("_f")) & F.col("line").between(F.col("_first"), F.col("_last"))
-    return lines(sources).join(heads, inside).select("file", "block", "kind", "line", "code")
+    return lines(sources).join(heads, inside).select("file", "block", "kind", "line", "code", "note")
 
 
 def variables(blocks: DataFrame) -> DataFrame:
-    """Declarations (block, section, name, type, line)."""
+    """Declarations (block, section, name, type, line, note); ``A, B : Int;`` declares two."""
     w = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     head = F.upper(F.trim(F.regexp_extract("code", r"(?i)^\s*(VAR(?:_INPUT|_OUTPUT|_IN_OUT|_TEMP|\s+CONSTANT)?)\s*$", 1)))
     ended = F.rlike("code", F.lit(r"(?i)^\s*END_VAR"))
     names = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     mark = F.when(ended, F.lit("")).when(head != "", F.coalesce(F.try_element_at(names, head), F.lit("Static")))
     d = blocks.withColumn("section", F.last(mark, True).over(w)).where("section <> ''")
-    name = F.regexp_extract("code", r'^\s*"?([A-Za-z_]\w*)"?\s*(?:\{[^}]*\})?\s*:\s*([^;:=]+)', 1)
-    kind = F.trim(F.regexp_extract("code", r'^\s*"?([A-Za-z_]\w*)"?\s*(?:\{[^}]*\})?\s*:\s*([^;:=]+)', 2))
-    return d.select("file", "block", "section", name.alias("name"), F.replace(kind, F.lit('"'), F.lit("")).alias("type"), "line").where("name <> ''")
+    p = r'^\s*("?[A-Za-z_]\w*"?(?:\s*,\s*"?[A-Za-z_]\w*"?)*)\s*(?:\{[^}]*\})?\s*:\s*([^;:=]+)'
+    names = F.split(F.regexp_replace(F.regexp_extract("code", p, 1), r'["\s]', ""), ",")
+    kind = F.trim(F.regexp_extract("code", p, 2))
+    each = d.select("file", "block", "section", F.explode(names).alias("name"), F.replace(kind, F.lit('"'), F.lit("")).alias("type"), "line", *[c for c in ("note",) if c in d.columns])
+    return each.where("name <> ''")
 
 
 def instances(declared: DataFrame) -> DataFrame:
@@ -81,28 +86,79 @@ def flow_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file", "block").agg(*[count(k) for k in ("IF", "CASE", "FOR", "WHILE", "REPEAT")])
 
 
+#: What nests, what stands in it, and what is assigned, in the order in which they are tried at each place of a block.
+LABEL = r"(?:-?\d+|[A-Za-z_][\w.]*)"
+TOKENS = [
+    r"\n", r"\bCASE\s+#?[\"\w.]+\s+OF\b", r"\bEND_CASE\b", r"\bELSIF\b.*?\bTHEN\b", r"\bEND_IF\b", r"\bIF\b.*?\bTHEN\b", r"\bELSE\b",
+    rf"(?:^|(?<=\bOF))[ \t]*{LABEL}(?:\s*,\s*{LABEL})*\s*:(?!=)", r"#?\"?[A-Za-z_][\w.\[\]\"]*\s*:=\s*[^;]+;",
+]
+
+
+def nesting(blocks: DataFrame) -> DataFrame:
+    """Tokens of each block in order: (file, block, seq, line, what, text, depth, within).
+
+    what: case, end_case, if, elsif, else, end_if, label or set. depth: how many CASE and IF are open there, the token's own included;
+    within: seq, kind and text of the innermost of these. Both come from running sums, however deep statements nest and over however
+    many lines a condition goes.
+    """
+    whole = blocks.groupBy("file", "block").agg(F.array_sort(F.collect_list(F.struct("line", "code"))).alias("l"))  # lines of one block
+    text = F.array_join(F.transform("l", lambda x: x["code"]), "\n")
+    found = F.regexp_extract_all(text, F.lit("(?ism)(" + "|".join(TOKENS) + ")"), F.lit(0))
+    each = whole.select("file", "block", F.get("l", F.lit(0))["line"].alias("first"), F.posexplode(found).alias("seq", "text"))
+    order = Window.partitionBy("file", "block").orderBy("seq")
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    each = each.withColumn("line", F.col("first") + F.coalesce(F.sum(breaks).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    word = F.upper(F.regexp_extract("text", r"^\s*([A-Za-z_]+)", 1))
+    opens, ends = word.isin("CASE", "IF"), word.isin("END_CASE", "END_IF")
+    what = F.when(F.contains("text", F.lit(":=")) & ~word.isin("IF", "ELSIF"), "set").when(opens | ends | word.isin("ELSIF", "ELSE"), F.lower(word)).otherwise("label")
+    each = each.where("text <> '\\n'").withColumn("what", what)
+    opens, ends = F.col("what").isin("case", "if"), F.col("what").isin("end_case", "end_if")
+    running = F.sum(F.when(opens, 1).when(ends, -1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("depth", running + F.when(ends, 1).otherwise(0))
+    same = Window.partitionBy("file", "block", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.last(F.when(opens, F.struct("seq", "what", "text")), True).over(same)
+    return each.select("file", "block", "seq", "line", "what", "text", "depth", within.alias("within"))
+
+
 def states(blocks: DataFrame) -> DataFrame:
-    """States of CASE statements: (block, variable, state, first, last line)."""
-    w = Window.partitionBy("file", "block").orderBy("line")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.regexp_extract("code", r"(?i)\bCASE\s+#?([\w.]+)\s+OF", 1)
-    ends = F.rlike("code", F.lit(r"(?i)\bEND_CASE"))
-    d = blocks.withColumn("_v", F.last(F.when(opens != "", opens).when(ends, F.lit("")), True).over(upto))
-    label = F.regexp_extract("code", r"^\s*(\d+|[A-Za-z_]\w*)\s*:(?!=)", 1)
-    d = d.withColumn("_s", F.when((F.col("_v") != "") & (label != ""), label)).withColumn("_edge", (F.col("_s").isNotNull() | ends).cast("int"))
-    marks = d.where("_edge = 1").withColumn("_stop", F.lead("line").over(w) - 1)
-    return marks.where("_s is not null").select("file", "block", F.col("_v").alias("variable"), F.col("_s").alias("state"), F.col("line").alias("first"), F.coalesce("_stop", "line").alias("last"))
+    """States of CASE statements: (file, block, machine, variable, state, first, last line, from, to: places among the tokens). A list of
+    labels is as many states; statements may nest, and a state holds what is nested in it. machine counts the CASE of a block."""
+    toks = nesting(blocks)
+    edge = toks.where("within.what = 'case' and what in ('case', 'label', 'else', 'end_case')")
+    same = Window.partitionBy("file", "block", "depth").orderBy("seq")
+    edge = edge.withColumns({"to": F.lead("seq").over(same), "_stop": F.lead("line").over(same) - 1})
+    cases = toks.where("what = 'case'").select("file", "block", F.col("seq").alias("_case"), F.row_number().over(Window.partitionBy("file", "block").orderBy("seq")).alias("machine"))
+    arms = edge.where("what = 'label'").withColumn("_case", F.col("within.seq")).join(cases, ["file", "block", "_case"])
+    labels = F.split(F.regexp_replace("text", r"[\s:]", ""), ",")
+    variable = F.regexp_replace(F.regexp_extract("within.text", r"(?i)^CASE\s+(\S+)\s+OF", 1), '[#"]', "")
+    return arms.select(
+        "file", "block", "machine", variable.alias("variable"), F.explode(labels).alias("state"), F.col("line").alias("first"),
+        F.greatest(F.coalesce("_stop", "line"), F.col("line")).alias("last"), F.col("seq").alias("from"), F.coalesce("to", F.lit(2**31 - 1)).alias("to"),
+    )
+
+
+def branches(blocks: DataFrame) -> DataFrame:
+    """Branches of IF statements: (file, block, depth, condition, from, to: places among the tokens). That of ELSE is that none before holds."""
+    toks = nesting(blocks).where("within.what = 'if' and what in ('if', 'elsif', 'else', 'end_if')")
+    same = Window.partitionBy("file", "block", "depth").orderBy("seq")
+    upto = Window.partitionBy("file", "block", "within.seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    said = fn.collapse(F.regexp_extract("text", r"(?is)^\s*(?:ELS)?IF\b(.*)\bTHEN$", 1))
+    d = toks.withColumn("_c", F.when(F.col("what").isin("if", "elsif"), said)).withColumn("_all", F.collect_list("_c").over(upto)).withColumn("to", F.lead("seq").over(same))
+    none = F.array_join(F.transform("_all", lambda c: F.concat(F.lit("NOT ("), c, F.lit(")"))), " AND ")
+    return d.where("what <> 'end_if'").select("file", "block", "depth", F.coalesce("_c", none).alias("condition"), F.col("seq").alias("from"), F.coalesce("to", F.lit(2**31 - 1)).alias("to"))
 
 
 def transitions(blocks: DataFrame, found: DataFrame) -> DataFrame:
-    """Assignments of a state variable inside a state: (block, state, target, line, condition: that of the IF it stands in, or null)."""
-    w = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    cond = F.regexp_extract("code", r"(?i)\b(?:ELS)?IF\s+(.*?)\s+THEN", 1)
-    ended = F.rlike("code", F.lit(r"(?i)\bEND_IF"))
-    code = blocks.withColumn("condition", F.last(F.when(cond != "", cond).when(ended & (cond == ""), F.lit("")), True).over(w))
-    sets = code.withColumn("_v", F.regexp_extract("code", r"#?([\w.]+)\s*:=\s*(\w+)\s*;", 1)).withColumn("target", F.regexp_extract("code", r"#?([\w.]+)\s*:=\s*(\w+)\s*;", 2))
-    both = sets.where("target <> ''").join(_spans(found), ["file", "block"]).where("_v = _variable and line between _first and _last")
-    return both.select("file", "block", F.col("_state").alias("state"), "target", "line", F.nullif("condition", F.lit("")).alias("condition")).where("target <> state")
+    """Assignments of a state variable inside a state: (file, block, machine, variable, state, target, line, condition: of all the IFs it
+    stands in, from the outermost to the innermost, or null)."""
+    sets = nesting(blocks).where("what = 'set'")
+    sets = sets.select("file", "block", "seq", "line", plain(F.regexp_extract("text", r"^([^:]+?)\s*:=", 1)).alias("_v"), F.trim(F.regexp_extract("text", r"(?s):=\s*([^;]+);", 1)).alias("target"))
+    spans = found.select("file", "block", "machine", "variable", "state", F.col("from").alias("_from"), F.col("to").alias("_to"))
+    moves = sets.join(spans, ["file", "block"]).where((F.col("_v") == plain(F.col("variable"))) & (F.col("seq") > F.col("_from")) & (F.col("seq") < F.col("_to")) & (F.col("target") != F.col("state")))
+    held = branches(blocks).select("file", "block", "depth", F.col("condition").alias("_c"), F.col("from").alias("_b"), F.col("to").alias("_e"))
+    inside = sets.select("file", "block", "seq").join(held, ["file", "block"]).where("seq > _b and seq < _e")
+    conds = inside.groupBy("file", "block", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "_c"))), lambda x: x["_c"]), " AND ").alias("condition"))
+    return moves.join(conds, ["file", "block", "seq"], "left").select("file", "block", "machine", "variable", "state", "target", "line", "condition")
 
 
 def _spans(found: DataFrame) -> DataFrame:
@@ -117,9 +173,10 @@ def alarms(blocks: DataFrame) -> DataFrame:
 
 
 def alarm_states(found: DataFrame, machine: DataFrame) -> DataFrame:
-    """The state each alarm stands in, if any."""
-    near = found.join(_spans(machine), ["file", "block"]).where("line between _first and _last")
-    states = near.select("file", "block", "line", "symbol", F.col("_state").alias("state")).distinct()
+    """The state each alarm stands in, if any, with its machine and variable."""
+    spans = machine.select("file", "block", "machine", "variable", "state", F.col("first").alias("_first"), F.col("last").alias("_last"))
+    near = found.join(spans, ["file", "block"]).where("line between _first and _last")
+    states = near.select("file", "block", "line", "symbol", "machine", "variable", "state").distinct()
     return found.join(states, ["file", "block", "line", "symbol"], "left")
 
 
@@ -205,6 +262,40 @@ def causal_relations(chains: DataFrame) -> DataFrame:
     return when.unionByName(then).unionByName(may).distinct()
 
 
+def causal_graph(moves: DataFrame, raised: DataFrame) -> DataFrame:
+    """Relations (source, relation, target, line) as of ``causal_relations``, with ids that tell machines of one block and alarms of one
+    symbol apart. moves: see ``transitions``; raised: alarms with their state, see ``alarm_states``."""
+    machine = lambda m, v: F.concat_ws(":", F.lit("STATE_MACHINE"), F.concat_ws(":", F.lit("BLOCK"), F.lower("block")), m, plain(v))
+    state = lambda c: F.concat_ws(":", F.lit("STATE"), machine("machine", F.col("variable")), plain(F.col(c)))
+    some = moves.where("condition is not null").withColumns({"_s": state("state"), "_t": state("target")})
+    cond = F.concat_ws(":", F.lit("CONDITION"), "_s", "line")
+    when = some.select(F.col("_s").alias("source"), F.lit("COMPLETES_WHEN").alias("relation"), cond.alias("target"), "line")
+    then = some.select(cond.alias("source"), F.lit("ADVANCES_TO").alias("relation"), F.col("_t").alias("target"), "line")
+    alarm = F.concat_ws(":", F.lit("ALARM"), F.concat_ws(":", F.lit("BLOCK"), F.lower("block")), "line", plain(F.col("symbol")))
+    may = raised.where("machine is not null").select(state("state").alias("source"), F.lit("MAY_RAISE").alias("relation"), alarm.alias("target"), "line")
+    return when.unionByName(then).unionByName(may).distinct()
+
+
+def narratives(moves: DataFrame, actions: DataFrame, raised: DataFrame) -> DataFrame:
+    """What happens in each transition, in a sentence: (file, block, variable, state, target, line, summary). The state's devices,
+    standard blocks, variables and other blocks come in that order, each named once."""
+    key = ["file", "block", "variable", "state"]
+    kinds = [("DEVICE_CALL", "operates "), ("STANDARD_BLOCK_CALL", "calls standard block "), ("ASSIGNMENT", "writes "), ("BLOCK_CALL", "calls ")]
+
+    def named(k: str, verb: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("line", "target"))))
+        names = F.array_join(F.array_distinct(F.transform(rows, lambda x: x["target"])), ", ")
+        return F.when(names != "", F.concat(F.lit(verb), names))
+
+    does = actions.groupBy(*key).agg(F.concat_ws("; ", *[named(*k) for k in kinds]).alias("_does"))
+    alarm = F.array_sort(F.collect_list(F.struct("line", F.concat_ws(" ", "category", "symbol").alias("a"))))
+    warns = raised.where("state is not null").groupBy("file", "block", "state").agg(F.array_join(F.array_distinct(F.transform(alarm, lambda x: x["a"])), ", ").alias("_warns"))
+    out = moves.join(does, key, "left").join(warns, ["file", "block", "state"], "left")
+    goes = F.concat(F.lit("; when "), F.coalesce("condition", F.lit("no condition is given")), F.lit(", goes to state "), "target", F.lit("."))
+    text = F.concat(F.col("variable"), F.lit(" in state "), "state", F.lit(": "), F.coalesce(F.nullif("_does", F.lit("")), F.lit("no action found")), goes)
+    return out.select(*key, "target", "line", F.concat(text, F.coalesce(F.concat(F.lit(" It may raise "), "_warns", F.lit(".")), F.lit(""))).alias("summary"))
+
+
 def xref(blocks: DataFrame, declared: DataFrame) -> DataFrame:
     """Uses (block, name, scope, access, line): declarations, writes (before ``:=``) and reads."""
     own = declared.select("file", "block", F.lower("name").alias("_k")).distinct().withColumn("_own", F.lit(True))
@@ -221,9 +312,13 @@ def xref(blocks: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def tag_issues(declared: DataFrame, uses: DataFrame) -> DataFrame:
-    """(block, name, rule): bad names, names declared twice, variables that nothing uses."""
+    """(block, name, rule): bad names, variables without a comment (where ``declared`` has their notes), names declared twice whatever
+    their case, variables that nothing uses."""
     naming = declared.select("block", "name", F.explode(fn.naming_issues(F.col("name"))).alias("rule"))
-    twice = declared.groupBy("block", "name").agg(F.count("*").alias("n")).where("n > 1").select("block", "name", F.lit("duplicate").alias("rule"))
+    twice = declared.groupBy("block", F.lower("name").alias("_k")).agg(F.count("*").alias("n"), F.min_by("name", "line").alias("name"))
+    twice = twice.where("n > 1").select("block", "name", F.lit("duplicate").alias("rule"))
+    if "note" in declared.columns:
+        twice = twice.unionByName(declared.where("note = ''").select("block", "name", F.lit("missing-comment").alias("rule")))
     used = uses.where("access <> 'DECLARE'").select("block", F.lower("name").alias("_k")).distinct()
     idle = declared.withColumn("_k", F.lower("name")).join(used, ["block", "_k"], "left_anti").select("block", "name", F.lit("unused").alias("rule"))
     return naming.unionByName(twice).unionByName(idle)

@@ -88,3 +88,30 @@ def causal_relations(t: Tables) -> DataFrame:
 def device_confidence(t: Tables) -> DataFrame:
     kinds = F.expr("case c_custkey % 3 when 0 then array('name', 'MotionControl') when 1 then array('name', 'PID') else array('MotionControl') end")
     return plc.confidence(t.customer.select("c_custkey", F.explode(kinds).alias("kind")), ["c_custkey"])
+
+
+def _nested(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A source for each supplier, whose machine has as many states as its key tells, each with labels, a nested IF and, in every third, a
+    nested CASE; all blocks and their states."""
+    arm = """concat('  ', 10 * k, ', ', 10 * k + 1, ':\n', '    IF #a', k, ' AND\n       #b THEN\n', '      IF #c THEN #step := ', 10 * k + 10, '; ELSE\n        #step := -', k, ';\n      END_IF;\n    END_IF;\n',
+      if(k % 3 = 0, concat('    CASE #mode OF\n      1: #mode := ', k, ';\n    ELSE\n      #step := 0;\n    END_CASE;\n'), ''))"""
+    arms = f"array_join(transform(sequence(1, cast(s_suppkey % 7 + 1 as int)), k -> {arm}), '')"
+    code = F.expr(f"""concat('FUNCTION_BLOCK "FB_', s_suppkey, '"\nVAR\n  step, mode : Int;\nEND_VAR\nBEGIN\nCASE #step OF\n', {arms}, 'END_CASE;\nEND_FUNCTION_BLOCK\n')""")
+    blocks = plc.block_lines(t.supplier.select(F.concat(F.lit("f"), "s_suppkey").alias("file"), code.alias("text")))
+    return blocks, plc.states(blocks)
+
+
+_ARMS = """a as (select 'FB_' || s_suppkey as block, k from (select s_suppkey, unnest(range(1, s_suppkey % 7 + 2)) as k from supplier)),
+p as (select block, k, case when l = 0 then 10 * k else 10 * k + 1 end as s from a, (values (0), (1)) x(l))"""
+
+
+@query("""with {a} select block, 'step' as variable, s::varchar as state from p union all select block, 'mode', '1' from a where k % 3 = 0""", a=_ARMS)
+def nested_states(t: Tables) -> DataFrame:
+    return _nested(t)[1].select("block", "variable", "state")
+
+
+@query("""with {a} select block, 'step' as variable, s::varchar as state, (10 * k + 10)::varchar as target, '#a' || k || ' AND #b AND #c' as condition from p
+union all select block, 'step', s::varchar, '-' || k, '#a' || k || ' AND #b AND NOT (#c)' from p union all select block, 'step', s::varchar, '0', null from p where k % 3 = 0
+union all select block, 'mode', '1', k::varchar, null from a where k % 3 = 0""", a=_ARMS)
+def nested_transitions(t: Tables) -> DataFrame:
+    return plc.transitions(*_nested(t)).select("block", "variable", "state", "target", "condition")

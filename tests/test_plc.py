@@ -76,3 +76,74 @@ def test_blocks_end_at_their_end(spark):
     text = 'x\nFUNCTION "A" : Void\n y := 1;\nEND_FUNCTION\n between\nFUNCTION_BLOCK "B"\n never closed\nFUNCTION "C"\nend_function;\n'
     got = plc.block_lines(spark.createDataFrame([("f", text)], "file string, text string")).select("block", "line").orderBy("block", "line").collect()
     assert list(map(tuple, got)) == [("A", 2), ("A", 3), ("A", 4), ("C", 8), ("C", 9)]
+
+
+NESTED = """FUNCTION_BLOCK "FB_Cell"
+VAR
+  A, B, "C" : Int; // three
+  mode : Int;      (* of the cell *)
+  step : Int;
+  Step : Int;
+END_VAR
+BEGIN
+CASE #step OF
+  -1, 0:
+    #step := 10;
+  10, 20:
+    IF #a AND
+       #b THEN
+      IF #c THEN #step := 30; ELSIF #d THEN
+        #step := 40;
+      ELSE
+        #step := 50;
+      END_IF;
+      #step := 60;
+    END_IF;
+    #A := 1;
+  30: #step := 31;
+  31:
+    CASE #mode OF
+      1: #mode := 2; #step := 70;
+      2, IDLE:
+        IF #e THEN #mode := 1; END_IF;
+        #overload_alarm := #x;
+    ELSE
+      #step := 80;
+    END_CASE;
+    #step := 90;
+ELSE
+  #step := 0;
+END_CASE;
+CASE #mode OF
+  1: #overload_alarm := #y;
+END_CASE;
+END_FUNCTION_BLOCK
+"""
+
+
+def test_nested_machines(spark):
+    blocks = plc.block_lines(spark.createDataFrame([("f", NESTED)], "file string, text string")).cache()
+    declared = plc.variables(blocks)
+    assert [(r.name, r.note) for r in declared.orderBy("line", "name").collect()] == [("A", "three"), ("B", "three"), ("C", "three"), ("mode", "of the cell"), ("step", ""), ("Step", "")]
+    found = plc.states(blocks).cache()
+    got = sorted((r.machine, r.variable, r.state, r["first"], r["last"]) for r in found.collect())
+    assert got == [
+        (1, "step", "-1", 10, 11), (1, "step", "0", 10, 11), (1, "step", "10", 12, 22), (1, "step", "20", 12, 22), (1, "step", "30", 23, 23), (1, "step", "31", 24, 33),
+        (2, "mode", "1", 26, 26), (2, "mode", "2", 27, 29), (2, "mode", "IDLE", 27, 29), (3, "mode", "1", 38, 38),
+    ]
+    moves = sorted(((r.machine, r.state, r.target, r.condition) for r in plc.transitions(blocks, found).collect()), key=repr)
+    want = [(1, "-1", "10", None), (1, "0", "10", None), (1, "30", "31", None), (1, "31", "70", None), (1, "31", "80", None), (1, "31", "90", None), (2, "1", "2", None), (2, "IDLE", "1", "#e"), (2, "2", "1", "#e")]
+    for s in ("10", "20"):
+        want += [(1, s, "30", "#a AND #b AND #c"), (1, s, "40", "#a AND #b AND #d"), (1, s, "50", "#a AND #b AND NOT (#c) AND NOT (#d)"), (1, s, "60", "#a AND #b")]
+    assert moves == sorted(want, key=repr)
+    raised = plc.alarm_states(plc.alarms(blocks), found).cache()
+    near = {(r.line, r.machine, r.state) for r in raised.collect()}
+    assert {(29, 1, "31"), (29, 2, "2"), (29, 2, "IDLE"), (38, 3, "1")} == near
+    edges = {(r.source, r.relation, r.target) for r in plc.causal_graph(plc.transitions(blocks, found), raised).collect()}
+    m2, m3 = "STATE:STATE_MACHINE:BLOCK:fb_cell:2:mode", "STATE:STATE_MACHINE:BLOCK:fb_cell:3:mode"
+    assert {(f"{m2}:2", "MAY_RAISE", "ALARM:BLOCK:fb_cell:29:overload_alarm"), (f"{m3}:1", "MAY_RAISE", "ALARM:BLOCK:fb_cell:38:overload_alarm")} <= edges
+    assert (f"{m2}:2", "COMPLETES_WHEN", f"CONDITION:{m2}:2:28") in edges and (f"CONDITION:{m2}:2:28", "ADVANCES_TO", f"{m2}:1") in edges
+    issues = {(r.name, r.rule) for r in plc.tag_issues(declared, plc.xref(blocks, declared)).collect()}
+    assert ("step", "duplicate") in issues and {("step", "missing-comment"), ("Step", "missing-comment")} <= issues and ("A", "missing-comment") not in issues
+    told = {(r.state, r.target): r.summary for r in plc.narratives(plc.transitions(blocks, found).where("machine = 2"), plc.state_actions(blocks, found, declared.limit(0).withColumn("device", F.lit(""))), raised).collect()}
+    assert told["2", "1"] == "mode in state 2: writes #overload_alarm; when #e, goes to state 1. It may raise ALARM #overload_alarm."
