@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import offsets
 from skein.functions import text as fn
 from skein.operators import search
 from skein.plans.registry import Tables, query
+from skein.streaming.chunks import parse_chunks
 
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
@@ -227,3 +229,46 @@ def eligible_ids(t: Tables) -> DataFrame:
     listed = t.customer.select("c_custkey", F.array(F.concat(F.lit("c"), F.col("c_custkey") % 5), F.concat(F.lit("c"), F.col("c_custkey") % 7)).alias("ids"))
     some = t.spark.createDataFrame([("c1",), ("c2",), ("c3",)], "ids string")
     return search.eligible_ids(listed, ["c_custkey"], "ids", some).select("c_custkey", F.array_join("ids", ",").alias("ids"))
+
+
+@query(r"""with h as (select doc_id, text, hex(encode(text)) as x, strlen(text) as n from documents),
+c as (select *, list_filter(range(250, 246, -1), lambda c: substr(x, 2 * c + 1, 2) not between '80' and 'BF')[1] as a,
+  list_filter(range(n - 251, n - 247), lambda c: substr(x, 2 * c + 1, 2) not between '80' and 'BF')[1] as b from h),
+p as (select *, decode(unhex(substr(x, 1, 2 * a))) as head, decode(unhex(substr(x, 2 * b + 1))) as tail from c where n > 501)
+select doc_id, text from h where n <= 501
+union all select doc_id, head || '…' || (length(text) - length(head) - length(tail)) || ' chars truncated…' || tail from p""")
+def truncate_bytes(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", offsets.truncate_bytes(F.col("text"), 501).alias("text"))
+
+
+@query(r"""with h as (select doc_id, text, hex(encode(text)) as x, strlen(text) as n from documents),
+c as (select *, list_filter(range(402, 398, -1), lambda c: substr(x, 2 * c + 1, 2) not between '80' and 'BF')[1] as a,
+  list_filter(range(n - 402, n - 398), lambda c: substr(x, 2 * c + 1, 2) not between '80' and 'BF')[1] as b from h)
+select doc_id, case when n <= 804 then text else decode(unhex(substr(x, 1, 2 * a))) || '…' || (n - 804 + 3) // 4 || ' tokens truncated…' || decode(unhex(substr(x, 2 * b + 1))) end as text from c""")
+def truncate_tokens(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", offsets.truncate_tokens(F.col("text"), 201).alias("text"))
+
+
+@query(r"""with p as (select doc_id, text, string_split(lower(text), 'en') as ps from documents),
+m as (select doc_id, text, i - 1 as idx, list_sum(list_transform(ps[1:i], lambda x: length(x)))::bigint + 2 * (i - 1) as pos from (select *, unnest(range(1, len(ps))) as i from p)),
+u as (select doc_id, idx, pos, substr(text, 1, pos) as a, substr(text, 1, pos + 2) as b from m)
+select doc_id, idx, pos as start_char, pos + 2 as end_char, strlen(a) as start_byte, strlen(b) as end_byte, length(a) + len(regexp_extract_all(a, '[\x{10000}-\x{10FFFF}]')) as start_utf16,
+length(b) + len(regexp_extract_all(b, '[\x{10000}-\x{10FFFF}]')) as end_utf16 from u""")
+def occurrence_ranges(t: Tables) -> DataFrame:
+    """Places of a literal in all documents, of all languages."""
+    d = t.documents.select("doc_id", F.posexplode(offsets.match_ranges(F.col("text"), "en")).alias("idx", "r"))
+    names = {"start": "start_char", "end": "end_char"} | {k: k for k in ("start_byte", "end_byte", "start_utf16", "end_utf16")}
+    return d.select("doc_id", F.col("idx").cast("long").alias("idx"), *[F.col("r")[k].cast("long").alias(v) for k, v in names.items()])
+
+
+@query(r"""select page_id, md5(regexp_replace(html, '(?s)<p>(.*?)(</p>|\z)', '', 'g')) as shown, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)(?:</p>|\z)', 1), '|') as parts from pages""")
+def chunked_tags(t: Tables) -> DataFrame:
+    """Pages as chunks of bytes, parsed chunk by chunk: what is shown, and what the hidden tags hold."""
+    raw = F.encode("html", "UTF-8")
+    starts = F.sequence(F.lit(0), F.greatest((F.octet_length("html") - 1) / 701, F.lit(0)).cast("int"))
+    chunks = t.pages.select("page_id", F.posexplode(F.transform(starts, lambda i: F.substr(raw, i * 701 + 1, F.lit(701)))).alias("n", "chunk"))
+    out = parse_chunks(chunks, "page_id", "n", "chunk", {"p": ("<p>", "</p>")})
+    rows = F.array_sort(F.collect_list(F.struct("n", "visible", "extracted")))  # chunks of one page
+    page = out.groupBy("page_id").agg(rows.alias("r"))
+    held = F.flatten(F.transform("r", lambda x: F.transform(x["extracted"], lambda y: y["content"])))
+    return page.select("page_id", F.md5(F.array_join(F.transform("r", lambda x: x["visible"]), "")).alias("shown"), F.array_join(held, "|").alias("parts"))
