@@ -34,6 +34,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, whatever their names; ``unpacked`` gives them back."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+
+
+def unpacked(columns: list[str], row: str) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
 def bits_for(rows: int, most: int = 26) -> int:
     """Bits (as a power of two) of a bitmap for so many hashes: 16 each, at most 2**``most`` (a table of 2**``most`` / 64 rows)."""
     return min(most, max(12, (16 * rows).bit_length()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, small_batches
+from skein.llm.common import documents, small_batches, unpacked, whole_row
 from skein.llm.wordhash import Words, buffers, mix, spans, split, text_slices
 
 
@@ -195,7 +195,7 @@ def contaminated(
     small_batches(docs.sparkSession)
     ids = items.schema["item_id"].dataType.simpleString()
     kind = f"array<struct<item_id:{ids},start:bigint,words:bigint,similarity:double>>"
-    out = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"), F.array().cast(kind).alias("found"))
+    out = docs.select(whole_row(docs).alias("row"), F.col("text").alias("text"), F.array().cast(kind).alias("found"))
     for all_ids, all_texts in item_blocks(items, most):
 
         def scan(batches: Iterator[pa.RecordBatch], all_ids: list = all_ids, all_texts: list[str] = all_texts) -> Iterator[pa.RecordBatch]:
@@ -215,12 +215,12 @@ def contaminated(
                     yield part.set_column(k, part.schema.field(k), pa.array(found, part.schema.field(k).type))
 
         out = out.mapInArrow(scan, out.schema)
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != into], F.col("found").alias(into))
+    return out.select(*unpacked([c for c in docs.columns if c != into], "row"), F.col("found").alias(into))
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns, whatever their names."""
-    rows = docs.select(F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col("text").alias("text"), whole_row(docs).alias("row"))
     return contaminated(rows, items, into="matches", **settings).where(F.size("matches") == 0).select("row.*")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, components, documents, likely, parted, small_batches
+from skein.llm.common import Scratch, components, documents, likely, parted, small_batches, whole_row
 from skein.llm.wordhash import buffers, mix, spans, split, text_slices
 
 
@@ -331,10 +331,12 @@ def near_duplicates(
 
 def one_of_each(scratch: Scratch, docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that stand first in their component, with all their columns, whatever their names; of repeated rows one."""
-    found = near_duplicates(scratch, docs, **settings).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    work = Scratch(scratch.spark)
+    found = near_duplicates(work, docs, **settings).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t"))
     odd = found.agg(F.max("first").alias("first"), F.count("*").alias("n")).where("n > 1 or not first")
     odd = scratch.keep(odd.withColumn("h", F.xxhash64("d", "t")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    work.clear()
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
     # Only what may go, or stands twice, is shuffled.
     maybe, others = parted(rows.withColumn("h", F.xxhash64("d", "t")), "h", odd)
     o = odd.select(F.col("d").alias("od"), F.col("t").alias("ot"), "first", "n")

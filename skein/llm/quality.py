@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import Scratch, bind, documents, words
+from skein.llm.common import Scratch, bind, bits_for, documents, parted, whole_row, words
 
 #: Measures that are judged: the quantile (in thousandths) from which its upper limit starts, the one its spread is taken
-#: to, how many spreads the limit lies above, and whether a lower limit mirrors it. Texts without symbols are the rule, but
-#: repeats are rare even in good sources, so their limits start far up.
-MEASURES = {"word_length": (750, 250, 4, True), "symbols": (750, 250, 6, False), "dup_lines": (980, 500, 2, False), "repeats": (980, 500, 2, False)}
+#: to, how many spreads the limit lies above, the quantile of the tail and which part of the way to it the limit lies above at least, and
+#: whether a lower limit mirrors the upper one. Most texts have no symbols, so that most quantiles of a group are 0: its limit is then
+#: a quarter of what its worst fiftieth has. Repeats are rare even in good sources: the hundredth of a group with most of them goes.
+MEASURES = {
+    "word_length": (750, 250, 4, 750, 1, True), "symbols": (900, 500, 6, 980, 4, False), "dup_lines": (990, 990, 0, 990, 1, False), "repeats": (990, 990, 0, 990, 1, False),
+}
 #: The last bin of word length (hundredths) holds all that is longer, so a sketch has at most some 8,000 bins.
 LONGEST = 5000
 
@@ -60,9 +63,15 @@ def repeated_words(ws: Column, n: Column, size: int = 8) -> Column:
     return F.when(n < size, F.lit(0).cast("long")).otherwise(some)
 
 
-def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, lang, source and the counts of every whole text; with ``carry``, the whole row as ``_row``."""
-    row = [F.struct(*docs.columns).alias("_row")] if carry else []
+def judged_by(docs: DataFrame) -> list[Column]:
+    """Two hashes (_a, _b) of all that a verdict depends on."""
+    of = [x for c in ("text", "lang", "source") for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*of).alias("_a"), F.xxhash64(F.lit(1), *of).alias("_b")]
+
+
+def measured(docs: DataFrame, keys: bool = False) -> DataFrame:
+    """doc_id, lang, source and the counts of every whole text; with ``keys``, ``judged_by`` too."""
+    row = judged_by(docs) if keys else []
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     ws = words(F.col("text"))
@@ -80,7 +89,7 @@ def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
     ).select(
         "doc_id", "lang", "source", F.col("_w.n_words").alias("n_words"), "word_chars", "n_symbols",
         F.col("_l.dup").alias("n_dup_lines"), F.col("_w.n_repeat_words").alias("n_repeat_words"), F.col("_l.n").alias("_n_lines"),
-        *["_row"] * carry,
+        *["_a", "_b"] * keys,
     )
 
 
@@ -109,13 +118,13 @@ def limits(bins: DataFrame, keys: list[str], least: int) -> DataFrame:
     ranked = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     ranked = ranked.selectExpr("*", f"sum(n) over (partition by {by} order by bin) as upto", f"sum(n) over (partition by {by}) as total")
     groups = []
-    for m, (start, to, spread, lower) in MEASURES.items():
+    for m, (start, to, spread, far, part, lower) in MEASURES.items():
         at = lambda p: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * p, F.col("bin")))
         q = ranked.where(f"total >= {least} and measure = '{m}'").groupBy(*keys, "measure").agg(
-            at(start).alias("a"), at(to).alias("b"), at(1000 - start).alias("c"), at(1000 - to).alias("d")
+            at(start).alias("a"), at(to).alias("b"), at(1000 - start).alias("c"), at(1000 - to).alias("d"), at(far).alias("e")
         )
-        top = F.col("a") + spread * F.greatest(F.col("a") - F.col("b"), F.lit(1))
-        low = F.col("c") - spread * F.greatest(F.col("d") - F.col("c"), F.lit(1)) if lower else F.lit(0)
+        top = F.expr(f"a + greatest({spread} * (a - b), (e - a) div {part})")
+        low = F.col("c") - spread * (F.col("d") - F.col("c")) if lower else F.lit(0)
         groups.append(q.select(*keys, "measure", top.cast("long").alias("top"), low.cast("long").alias("low")))
     out = groups[0]
     for g in groups[1:]:
@@ -144,12 +153,12 @@ def judged(scratch: Scratch, rows: DataFrame, least: int = 100) -> DataFrame:
 
     A text fails if one of its measures is beyond a limit of its language and source; if these have fewer
     than ``least`` rows, of its language; else of the whole table, and if that is smaller too, only the base rule counts.
-    All limits come from quantiles of the rows; the least spread is one bin. Null languages and sources are groups like
+    All limits come from quantiles of the rows that the base rule leaves. Null languages and sources are groups like
     others; null texts have no words and fail; repeated rows are judged alike; an empty table gives an empty result.
     """
     # Read from a table, the limits have a known size: Spark broadcasts them only if they are small.
-    top = scratch.keep(group_limits(scratch, rows, least))
     base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    top = scratch.keep(group_limits(scratch, rows.where(~base), least))
     out = rows.withColumn("base_failed", base)
     out = out.join(top, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = F.lit(True)
@@ -164,8 +173,15 @@ def quality(scratch: Scratch, docs: DataFrame, least: int = 100) -> DataFrame:
 
 
 def keep_good(scratch: Scratch, docs: DataFrame, least: int = 100) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns, whatever their names."""
-    return judged(scratch, scratch.keep(measured(docs, carry=True)), least).where("kept").select("_row.*")
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names. Only what stands for the rejected ones is
+    written: rows of one text, language and source are judged alike."""
+    work = Scratch(scratch.spark)
+    rows = work.keep(measured(docs, keys=True))
+    gone = scratch.keep(judged(work, rows, least).where("not kept").select("_a", "_b").distinct())
+    work.clear()
+    each = docs.select(whole_row(docs).alias("row"), *judged_by(docs))
+    maybe, fine = parted(each, "_a", gone, bits_for(gone.count()))
+    return fine.select("row.*").unionByName(maybe.join(gone, ["_a", "_b"], "left_anti").select("row.*"))
 
 
 def op2_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,15 +203,16 @@ b as (select w.doc_id, lang, source, len(ws)::bigint as n_words, coalesce(list_s
 c as (select *, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b),
 m as (select *, least(word_chars * 100 // greatest(n_words, 1), 5000) as m1, n_symbols * 1000 // greatest(word_chars, 1) as m2,
   n_dup_lines * 1000 // greatest(len(ls), 1) as m3, n_repeat_words * 1000 // greatest(n_words, 1) as m4 from c),
-v as (select doc_id, lang, source, unnest([1, 2, 3, 4]) as k, unnest([m1, m2, m3, m4]) as bin from m),
+v as (select doc_id, lang, source, unnest([1, 2, 3, 4]) as k, unnest([m1, m2, m3, m4]) as bin from m where not base_failed),
 g as (select 0 as lv, lang, source, k, bin from v union all select 1, lang, null, k, bin from v union all select 2, null, null, k, bin from v),
 r as (select *, row_number() over (partition by lv, lang, source, k order by bin) as upto, count(*) over (partition by lv, lang, source, k) as total from g),
-p as (select *, [750, 750, 980, 980][k] as qs, [250, 250, 500, 500][k] as qt, [4, 6, 2, 2][k] as f from r where total >= 100),
-q as (select lv, lang, source, k, f, min(bin) filter (where upto * 1000 >= total * qs) as a, min(bin) filter (where upto * 1000 >= total * qt) as b,
-  min(bin) filter (where upto * 1000 >= total * (1000 - qs)) as c, min(bin) filter (where upto * 1000 >= total * (1000 - qt)) as d from p group by 1, 2, 3, 4, 5),
-t as (select lv, lang, source, k, a + f * greatest(a - b, 1) as top, case when k = 1 then c - f * greatest(d - c, 1) else 0 end as low from q),
+p as (select *, [750, 900, 990, 990][k] as qs, [250, 500, 990, 990][k] as qt, [4, 6, 0, 0][k] as f, [750, 980, 990, 990][k] as qe, [1, 4, 1, 1][k] as g from r where total >= 100),
+q as (select lv, lang, source, k, f, g, min(bin) filter (where upto * 1000 >= total * qs) as a, min(bin) filter (where upto * 1000 >= total * qt) as b,
+  min(bin) filter (where upto * 1000 >= total * (1000 - qs)) as c, min(bin) filter (where upto * 1000 >= total * (1000 - qt)) as d,
+  min(bin) filter (where upto * 1000 >= total * qe) as e from p group by 1, 2, 3, 4, 5, 6),
+t as (select lv, lang, source, k, a + greatest(f * (a - b), (e - a) // g) as top, case when k = 1 then c - f * (d - c) else 0 end as low from q),
 j as (select v.doc_id, bool_and(coalesce(v.bin between coalesce(a.low, l.low, o.low) and coalesce(a.top, l.top, o.top), true)) as fine from v
   left join t a on a.lv = 0 and a.lang is not distinct from v.lang and a.source is not distinct from v.source and a.k = v.k
   left join t l on l.lv = 1 and l.lang is not distinct from v.lang and l.k = v.k left join t o on o.lv = 2 and o.k = v.k group by 1)
-select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from m join j on j.doc_id = m.doc_id"""
+select m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and fine as kept from m left join j on j.doc_id = m.doc_id"""
 }

@@ -546,7 +546,7 @@ def test_crc_is_unsigned(spark):
     assert spark.range(1).select(F.crc32(F.lit("abc"))).first()[0] == zlib.crc32(b"abc")
 
 
-CLASHES = ["_h", "_d", "_t", "_r", "_lines", "_gone", "gone", "h", "row", "d", "t", "first", "found", "matches", "_matches", "_pos", "_low", "_row", "_k", "_top", "kept", "uid", "a", "b", "id", "keep", "pos", "norm", "component"]
+CLASHES = ["_h", "_d", "_t", "_r", "_lines", "_gone", "gone", "h", "row", "d", "t", "first", "found", "matches", "_matches", "_pos", "_low", "_row", "_k", "_top", "kept", "uid", "a", "b", "id", "keep", "pos", "norm", "component", "a.b", "with space", "tick`ed", "_a", "_b"]
 
 
 @pytest.fixture(scope="module")
@@ -556,7 +556,7 @@ def clashing(spark, texts):
     some = [(f"k{i:03}", t, lang, source) for i, t, lang, source in texts[:46]]
     some += [some[3], (None, texts[4][1], "en", "src1"), ("null", None, None, None), ("long", long, "en", "src0"), ("long2", long + " tail", "en", "src0")]
     rows = [(*r, *[f"v{k}" for k in range(len(CLASHES))]) for r in some]
-    return spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    return spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in CLASHES))
 
 
 def test_line_dedup_with_clashing_names(spark, clashing):
@@ -663,3 +663,25 @@ def test_sharding_against_brute_force(spark):
     moved = sum(before[i].shard != got[i].shard for i, *_ in rows) / len(rows)
     print(f"rows that move when a tenth shard gets an eleventh: {moved:.2f}")
     assert moved < 0.6
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_quality_limits_of_the_tables(spark, sf):
+    """Each measure rejects rows, limits differ between groups, some verdicts no constant limit gives, and clean documents stay."""
+    s = Scratch(spark)
+    rows = s.keep(quality.measured(spark.read.parquet(f"{sf}/documents.parquet")))
+    fine = rows.where(~((F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)))
+    top = quality.group_limits(s, fine, 100).collect()
+    by = {(r._lang, r._source): r for r in top}
+    values = [(r.lang, r.source, {m: r[f"m_{m}"] for m in quality.MEASURES}) for r in fine.select("*", *[v.cast("long").alias(f"m_{k}") for k, v in quality.rates().items()]).collect()]
+    for m in quality.MEASURES:
+        limits = {(r._low[m], r._top[m]) for r in top}
+        bad = [v[m] for lang, source, v in values if not by[lang, source]._low[m] <= v[m] <= by[lang, source]._top[m]]
+        good = [v[m] for lang, source, v in values if by[lang, source]._low[m] <= v[m] <= by[lang, source]._top[m]]
+        assert len(limits) > 3 and bad, m
+        if m != "symbols":  # a rejected value is ordinary elsewhere
+            assert min(bad) <= max(good)
+    verdict = quality.judged(s, rows).select("doc_id", "kept").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    share = {r.quality: r.k for r in verdict.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    print(sf, share)
+    assert share[1] >= 0.95 and share[0] <= 0.05
