@@ -58,10 +58,12 @@ def cut_bytes(text: Column, most: Column | int) -> Column:
     return _bind(F.struct(F.encode(text, "UTF-8").alias("raw"), most.alias("most")), border)
 
 
-def truncate_bytes(text: Column, most: int, tokens: bool = False) -> Column:
+def truncate_bytes(text: Column, most: Column | int, tokens: bool = False) -> Column:
     """At most ``most`` bytes of a text, half from its start (rounded down) and the rest from its end, cut at whole characters, and
     between them how many characters were left out; with ``tokens``, how many tokens of about four bytes. Texts within the budget and null stay."""
-    left, right = most // 2, most - most // 2
+    most = F.lit(most) if isinstance(most, int) else most
+    left = F.floor(most / 2).cast("int")
+    right = most - left
 
     def cut(x: Column) -> Column:
         n = F.octet_length(x["raw"])
@@ -77,6 +79,6 @@ def truncate_bytes(text: Column, most: int, tokens: bool = False) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(_bind(F.struct(text.alias("text"), F.encode(text, "UTF-8").alias("raw")), cut))
 
 
-def truncate_tokens(text: Column, most: int) -> Column:
+def truncate_tokens(text: Column, most: Column | int) -> Column:
     """``truncate_bytes`` by tokens of about four bytes."""
     return truncate_bytes(text, most * 4, tokens=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.offsets import truncate_tokens
+
 from skein.scratch import Scratch
 
 
@@ -70,6 +72,16 @@ def tail_from(df: DataFrame, key: list[str], order: list, counts: Column, n: int
     return out.where((F.col("_c") < n) | ((F.col("_c") == n) & F.col("_m"))).drop("_c", "_m")
 
 
+def token_budget(df: DataFrame, key: list[str], order: str, counts: Column, text: str, most: int) -> DataFrame:
+    """Texts of rows that count share ``most`` tokens of each key, in order: the one that crosses the budget is cut in its middle, and
+    what comes after goes. Other rows stay as they are; null texts cost nothing."""
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(F.when(counts, F.coalesce(F.ceil(F.octet_length(text) / 4), F.lit(0))).otherwise(0)).over(w), F.lit(0))
+    out = df.withColumn("_left", (F.lit(most) - used).cast("int")).where(~counts | (F.col("_left") > 0))
+    cut = F.when(counts, truncate_tokens(F.col(text), F.col("_left"))).otherwise(F.col(text))
+    return out.withColumn(text, cut).drop("_left")
+
+
 def since_last(df: DataFrame, key: list[str], position: str, marker: Column) -> DataFrame:
     """Rows from the last marker of each key on; all rows of keys without one."""
     last = df.where(marker).groupBy(*key).agg(F.max(position).alias("_last"))

@@ -70,6 +70,19 @@ def tail_last_n_users(t: Tables) -> DataFrame:
     return op.tail_from(t.conversations, ["conv_id"], [F.desc("turn")], F.col("role") == "user", 2).select("conv_id", "turn")
 
 
+@query(r"""with s as (select *, coalesce(sum((role = 'user')::int) over (partition by conv_id order by turn desc), 0) as c from conversations),
+b as (select conv_id, turn, role, text, hex(encode(text)) as x, strlen(text) as n, (30 - coalesce(sum(case when role = 'assistant' then (strlen(text) + 3) // 4 else 0 end)
+  over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0))::bigint as l from s where c < 2 or (c = 2 and role = 'user')),
+k as (select *, list_filter(range(2 * l, 2 * l - 4, -1), lambda p: substr(x, 2 * p + 1, 2) not between '80' and 'BF')[1] as h,
+  list_filter(range(n - 2 * l, n - 2 * l + 4), lambda p: substr(x, 2 * p + 1, 2) not between '80' and 'BF')[1] as e from b where role <> 'assistant' or l > 0)
+select conv_id, turn, case when role <> 'assistant' or n <= 4 * l then text
+  else decode(unhex(substr(x, 1, 2 * h))) || '…' || (n - 4 * l + 3) // 4 || ' tokens truncated…' || decode(unhex(substr(x, 2 * e + 1))) end as text from k""")
+def tail_budget(t: Tables) -> DataFrame:
+    """The tail from the second last user row on, with at most 30 tokens of assistant text."""
+    rows = op.tail_from(t.conversations, ["conv_id"], [F.desc("turn")], F.col("role") == "user", 2)
+    return op.token_budget(rows, ["conv_id"], "turn", F.col("role") == "assistant", "text", 30).select("conv_id", "turn", "text")
+
+
 @query("""select e.event_id, e.user_id from events e left join (select user_id, max(event_id) as m from events where event_type = 'purchase' group by 1) p on p.user_id = e.user_id
 where m is null or e.event_id >= m""")
 def suffix_since_marker(t: Tables) -> DataFrame:

@@ -179,3 +179,13 @@ def backfill_batches(t: Tables) -> DataFrame:
     store, o = Store(t.spark, f"{Scratch(t.spark).root}/store"), t.orders.select("o_orderkey", "o_orderstatus")
     backfill(store, "orders", o, "o_orderkey", lambda b, k: {"orders": b.withColumn("batch", F.lit(k).cast("long"))}, (o.count() + 4) // 5)
     return store.read("orders")
+
+
+@query(r"""with w as (select doc_id, text, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as c from documents),
+h as (select *, hex(encode(c)) as x, strlen(c) as n, len(string_split(text, chr(10))) > 4 as more from w),
+k as (select *, list_filter(range(80, 76, -1), lambda p: substr(x, 2 * p + 1, 2) not between '80' and 'BF')[1] as a,
+  list_filter(range(n - 80, n - 76), lambda p: substr(x, 2 * p + 1, 2) not between '80' and 'BF')[1] as b from h)
+select doc_id, case when n <= 160 then c else decode(unhex(substr(x, 1, 2 * a))) || '…' || (n - 160 + 3) // 4 || ' tokens truncated…' || decode(unhex(substr(x, 2 * b + 1))) end as content,
+more or n > 160 as truncated from k""")
+def line_window_tokens(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", files.line_window_tokens(F.col("text"), 2, 3, 40).alias("w")).select("doc_id", "w.*")

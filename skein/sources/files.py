@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions.offsets import truncate_tokens
 from skein.sources.numbered import first_bad, numbered_lines, strict_json
 
 
@@ -82,6 +83,13 @@ def line_window(text: Column, first: int, most: int) -> Column:
     )
 
 
+def line_window_tokens(text: Column, first: int, most: int, tokens: int) -> Column:
+    """``line_window`` whose content has at most ``tokens`` tokens of about four bytes; ``truncated`` also where these cut it."""
+    w = line_window(text, first, most)
+    content = truncate_tokens(w["content"], tokens)
+    return F.struct(content.alias("content"), (w["truncated"] | (content != w["content"])).alias("truncated"))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, all strings: UTF-8 with or without a byte order mark, else GB 18030. A file is UTF-8 unless some of its
     bytes are not."""
