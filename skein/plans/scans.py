@@ -189,3 +189,13 @@ select doc_id, case when n <= 160 then c else decode(unhex(substr(x, 1, 2 * a)))
 more or n > 160 as truncated from k""")
 def line_window_tokens(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", files.line_window_tokens(F.col("text"), 2, 3, 40).alias("w")).select("doc_id", "w.*")
+
+
+@query("select c_custkey as id, upper(c_name) as name, 0::bigint as visits from customer union all select -1, 'NEW', 5")
+def schema_rewrite(t: Tables) -> DataFrame:
+    """Customers under other columns, and a row added under these."""
+    store = Store(t.spark, f"{Scratch(t.spark).root}/store")
+    store.commit(add={"people": t.customer.select("c_custkey", "c_name")})
+    store.rewrite("people", lambda d: d.select(F.col("c_custkey").alias("id"), F.upper("c_name").alias("name"), F.lit(0).cast("long").alias("visits")))
+    store.commit(add={"people": t.spark.range(1).select(F.lit(-1).cast(t.customer.schema["c_custkey"].dataType).alias("id"), F.lit("NEW").alias("name"), F.lit(5).cast("long").alias("visits"))})
+    return store.read("people")

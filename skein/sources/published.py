@@ -88,6 +88,10 @@ class Store:
         """The table in one folder again, as a version more; small batches leave many."""
         return self.commit(replace={table: self.read(table)})
 
+    def rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> int:
+        """The table with other columns, made of its rows by ``change``, as a version more; readers of older versions see the old columns."""
+        return self.commit(replace={table: change(self.read(table))})
+
     def vacuum(self, keep: int = 1) -> int:
         """Forget all but the last ``keep`` versions and delete what only they named or nobody does; how many folders went. No
         writer may be at work."""

@@ -118,6 +118,8 @@ def test_slower_writer_fails(spark, tmp_path):
     assert store.read("t").count() == 5
     with pytest.raises(ValueError, match="other columns"):
         store.commit(add={"t": spark.range(1).select(F.lit("x").alias("y"))})
+    store.rewrite("t", lambda d: d.withColumn("twice", F.col("id") * 2))
+    assert store.read("t").columns == ["id", "twice"] and store.read("t", 2).columns == ["id"]
     store.compact("t")
     assert store.read("t").count() == 5 and len(store.manifest()["tables"]["t"]["folders"]) == 1
 
