@@ -115,3 +115,11 @@ union all select block, 'step', s::varchar, '-' || k, '#a' || k || ' AND #b AND
 union all select block, 'mode', '1', k::varchar, null from a where k % 3 = 0""", a=_ARMS)
 def nested_transitions(t: Tables) -> DataFrame:
     return plc.transitions(*_nested(t)).select("block", "variable", "state", "target", "condition")
+
+
+@query("""select 'FB_' || n_nationkey as block, c.* from nation, (values ('10', 'step in state 10: operates #Feed_Pump; writes #out; when #ready, goes to state 20.'),
+('20', 'step in state 20: calls standard block MC_Home; writes #overflow_fault; calls Helper; when no condition is given, goes to state 10. It may raise FAULT #overflow_fault.')) c(state, summary)""")
+def flow_narratives(t: Tables) -> DataFrame:
+    blocks, machine, known = _machines(t)
+    raised = plc.alarm_states(plc.alarms(blocks), machine)
+    return plc.narratives(plc.transitions(blocks, machine), plc.state_actions(blocks, machine, known), raised).select("block", "state", "summary")
