@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as fn
+from skein.operators import postings
 from skein.operators import ranking as op
 from skein.plans.registry import Tables, query
+from skein.scratch import Scratch
+from skein.sources.published import Store
 
 _TERMS = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 _T = {k: _TERMS.format(c=k) for k in ("source", "lang", "text")}
@@ -117,3 +120,52 @@ def mixed_rank(t: Tables) -> DataFrame:
     parts = t.part.select(F.lit(0).alias("kind"), F.col("p_name").alias("name"), F.array("p_brand").alias("terms"))
     nations = t.nation.select(F.lit(1).alias("kind"), F.col("n_name").alias("name"), F.array(F.lit("country")).alias("terms"))
     return op.mixed_rank(parts.unionByName(nations), "nt")
+
+
+def _porter(table: str) -> str:
+    """SQL that adds Porter's stem ``w`` to a table of words (word), a step a table."""
+    cut = lambda n: f"left(w, greatest(length(w) - {n}, 0))"
+    has = lambda x, p: f"regexp_matches({x}, '{p}')"
+
+    def swap(rules: dict[str, str], measure: str, keep: dict[str, int]) -> str:
+        each = sorted(rules.items(), key=lambda r: -len(r[0]))
+        one = lambda x, n: f"when suffix(w, '{x}') then case when {has(cut(n), measure)} then {cut(n)} || '{rules[x]}' else w end"
+        return f"case {' '.join(one(x, len(x) - keep.get(x, 0)) for x, _ in each)} else w end"
+
+    p = postings
+    doubled = "|".join(c * 2 for c in "bcdfghjkmnpqrtvwx")
+    steps = [
+        f"case when {has('w', '(ss|i)es$')} then {cut(2)} when {has('w', '[^s]s$')} then {cut(1)} else w end",
+        f"case when suffix(w, 'eed') then case when {has(cut(3), p.OVER_0)} then {cut(1)} else w end when suffix(w, 'ed') and {has(cut(2), p.VOWEL)} then {cut(2)} || '#' "
+        f"when suffix(w, 'ing') and {has(cut(3), p.VOWEL)} then {cut(3)} || '#' else w end",
+        f"case when not suffix(w, '#') then w when {has('w', '(at|bl|iz)#$')} then replace(w, '#', 'e') when {has('w', f'({doubled})#$')} then {cut(2)} when {has(cut(1), p.SHORT)} then replace(w, '#', 'e') else {cut(1)} end",
+        f"case when suffix(w, 'y') and {has(cut(1), p.VOWEL)} then {cut(1)} || 'i' else w end",
+        swap(p.STEP2, p.OVER_0, {}), swap(p.STEP3, p.OVER_0, {}), swap(dict.fromkeys(p.STEP4, ""), p.OVER_1, {"sion": 1, "tion": 1}),
+        f"case when suffix(w, 'e') and ({has(cut(1), p.OVER_1)} or ({has(cut(1), p.IS_1)} and not {has(cut(1), p.SHORT)})) then {cut(1)} else w end",
+        f"case when suffix(w, 'll') and {has(cut(1), p.OVER_1)} then {cut(1)} else w end",
+    ]
+    out = f"select word, regexp_replace(word, '^y', 'Y') as w from {table} where regexp_full_match(word, '[a-z]{{3,}}')"
+    for step in steps:
+        out = f"select word, {step} as w from ({out})"
+    return f"select word, lower(w) as w from ({out}) union all select word, word from {table} where not regexp_full_match(word, '[a-z]{{3,}}')"
+
+
+_SEARCH = "licensed things of thee hands for src7 redistributions"
+
+
+@query(
+    f"""with d as (select doc_id, {_T["source"]} as a, {_T["lang"]} as b, {_T["text"]} as c from documents), n as (select count(*) as n, avg(len(a)) as la, avg(len(b)) as lb, avg(len(c)) as lc from d),
+t as (select doc_id, 0 as f, unnest(a) as word from d union all select doc_id, 1, unnest(b) from d union all select doc_id, 2, unnest(c) from d),
+g as (select doc_id, f, word, count(*) as k from t where word not in ({", ".join(f"'{w}'" for w in op.STOP_WORDS)}) group by 1, 2, 3), v as materialized (select distinct word from g), s as materialized ({_porter("v")}),
+q0 as (select unnest({op.query_terms(_SEARCH)}) as word), q as (select distinct w from ({_porter("q0")})),
+m as (select doc_id, w, sum(k) filter (where f = 0) as fa, sum(k) filter (where f = 1) as fb, sum(k) filter (where f = 2) as fc from g join s using (word) join q using (w) group by 1, 2), df as (select w, count(*) as df from m group by 1),
+r as (select doc_id, 8 * coalesce(fa, 0) / (0.25 + 0.75 * len(a) / la) + 4 * coalesce(fb, 0) / (0.25 + 0.75 * len(b) / lb) + coalesce(fc, 0) / (0.25 + 0.75 * len(c) / lc) as tf, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf
+from m join df using (w) join d using (doc_id), n)
+select doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2)), 6) as score from r group by 1 order by round(sum(idf * tf * 2.2 / (tf + 1.2)), 9) desc, doc_id limit 50"""
+)
+def bm25_postings(t: Tables) -> DataFrame:
+    """Documents found by stems in an index: first by their source and language alone, then each replaced by the whole document."""
+    index = postings.Postings(Store(t.spark, f"{Scratch(t.spark).root}/index"), ["source", "lang", "text"])
+    index.upsert(t.documents.withColumn("text", F.lit(None).cast("string")), "doc_id")
+    index.upsert(t.documents, "doc_id")
+    return index.bm25f(_SEARCH, [8.0, 4.0, 1.0]).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,16 @@ class Store:
         schema = T.StructType.fromJson(has["schema"])
         if not has["folders"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in has["folders"]])
+        if not has.get("partition"):
+            return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in has["folders"]])
+        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{f}") for f in has["folders"]]  # each finds partitions of its own
+        return reduce(DataFrame.unionByName, parts).select(*schema.names)
 
-    def commit(self, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, notes: dict | None = None) -> int:
+    def commit(self, add: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, notes: dict | None = None, partition: dict[str, list[str]] | None = None) -> int:
         """One version more: rows added to some tables, others replaced, notes taken over; its number.
 
         All of it shows or nothing. A writer that was faster raises ValueError here; what it published stays. Rows to add must have the
-        columns of their table.
+        columns of their table. ``partition``: columns that name folders within a table, for all its rows from its first on.
         """
         base = self.manifest()
         tables = dict(base["tables"])
@@ -61,8 +65,9 @@ class Store:
                 if old and {(f["name"], str(f["type"])) for f in old["schema"]["fields"]} != {(f["name"], str(f["type"])) for f in df.schema.jsonValue()["fields"]}:
                     raise ValueError(f"rows of {name} have other columns")
                 folder = f"data/{name}/{uuid.uuid4().hex}"
-                df.write.parquet(f"{self.root}/{folder}")
-                tables[name] = {"schema": old["schema"] if old else df.schema.jsonValue(), "folders": [*(old["folders"] if old else []), folder]}
+                by = old.get("partition", []) if old else (partition or {}).get(name, [])
+                df.write.partitionBy(*by).parquet(f"{self.root}/{folder}")
+                tables[name] = {"schema": old["schema"] if old else df.schema.jsonValue(), "folders": [*(old["folders"] if old else []), folder], "partition": by}
         version = base["version"] + 1
         self._name(version, json.dumps({"version": version, "tables": tables, "notes": base["notes"] | (notes or {})}))
         return version
@@ -86,7 +91,7 @@ class Store:
 
     def compact(self, table: str) -> int:
         """The table in one folder again, as a version more; small batches leave many."""
-        return self.commit(replace={table: self.read(table)})
+        return self.commit(replace={table: self.read(table)}, partition={table: self.manifest()["tables"][table].get("partition", [])})
 
     def rewrite(self, table: str, change: Callable[[DataFrame], DataFrame]) -> int:
         """The table with other columns, made of its rows by ``change``, as a version more; readers of older versions see the old columns."""
