@@ -40,6 +40,7 @@ def query(sql: str | None = None, **fill: str) -> Callable:
 
 from skein.plans import (  # noqa: E402  these register themselves
     aggregates,  # noqa: F401
+    exports,  # noqa: F401
     filters,  # noqa: F401
     graphs,  # noqa: F401
     joins,  # noqa: F401
