@@ -223,17 +223,6 @@ def fuzzy(text: Column, needle: str) -> Column:
     return match(text)
 
 
-def plain_text(markdown: Column) -> Column:
-    """What is read of Markdown: no fences, marks, link targets or tags."""
-    steps = [
-        (r"(?m)^```.*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}#{1,6}\s+", ""),
-        (r"(?m)^\s{0,3}>\s?", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(\*\*|__|`|~~)", ""), (r"<[^>]+>", ""),
-    ]
-    for pattern, put in steps:
-        markdown = F.regexp_replace(markdown, pattern, put)
-    return collapse(markdown)
-
-
 #: Digits of short hashes, and which addresses an engineering tool imports.
 BASE62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 IMPORTABLE = r"(?:[IQM]\d+\.\d+|(?:PIW|PQW|AIW|AQW|IW|QW|ID|QD|IL|QL|MB|MW|MD|ML)\d+|DB\d+\.DB[XBWD]\d+(?:\.\d+)?)"

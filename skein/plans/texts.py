@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import offsets
 from skein.functions import text as fn
+from skein.functions.markdown import markdown
 from skein.operators import search
 from skein.plans.registry import Tables, query
 from skein.streaming.chunks import parse_chunks
@@ -155,7 +156,14 @@ def extract_tags(t: Tables) -> DataFrame:
 
 @query()
 def markdown_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", fn.plain_text(F.col("text")).alias("plain"))
+    return t.documents.select("doc_id", markdown(F.col("text")).alias("plain"))
+
+
+@query("""select p_partkey, trim(regexp_replace(p_name || ' ' || p_brand || ' ' || p_type || ' *' || p_brand || '* ' || p_name || ' ' || p_type || ' **x**', '\\s+', ' ', 'g')) as plain from part""")
+def markdown_nested(t: Tables) -> DataFrame:
+    """Names and types of parts in a heading, nested emphasis, code and a link within a quoted list, and fenced code."""
+    form = "# *%1$s* #\n\n> - **%2$s _%3$s_** `*%2$s*`\n>   [**%1$s**](http://x/y \"t\")\n\n```sql\n%3$s **x**\n```\n"
+    return t.part.select("p_partkey", markdown(F.format_string(form, "p_name", "p_brand", "p_type")).alias("plain"))
 
 
 @query("""select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b')) as n_the, len(regexp_extract_all(text, '[.!?]')) as n_stops from documents where lang = 'en'""")
