@@ -1,8 +1,9 @@
-"""Text functions as column expressions; the few that need Python say so."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,37 +191,41 @@ def without_tags(text: Column, tag: str) -> Column:
     return F.regexp_replace(text, f"(?s)<{tag}[^>]*>.*?(?:</{tag}>|$)", "")
 
 
-def fuzzy_score(hay: str | None, needle: str) -> tuple[list[int], int] | None:
-    """Places of the needle's characters, each the first after the one before, and what they span beyond its length; a match from the
-    start is worth 100 less (smaller is better). None if a character is missing."""
-    if hay is None:
-        return None
-    low = [(c, i) for i, x in enumerate(hay) for c in x.lower()]
-    at, places, here = 0, [], []
-    for c in needle.lower():
-        while at < len(low) and low[at][0] != c:
-            at += 1
-        if at == len(low):
-            return None
-        places.append(low[at][1])
-        here.append(at)
-        at += 1
-    if not here:
-        return [], 2**31 - 1
-    start = next(k for k, (_, i) in enumerate(low) if i == places[0])
-    score = max(here[-1] - start + 1 - len(needle.lower()), 0) - (100 if start == 0 else 0)
-    return sorted(set(places)), score
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def fuzzy(text: Column, needle: str) -> Column:
-    """Struct of ``places`` and ``score`` of a subsequence match; null without one. Greedy, so it needs a loop: a pandas UDF."""
-
-    @F.pandas_udf("places array<int>, score int")
-    def match(s: pd.Series) -> pd.DataFrame:
-        got = [fuzzy_score(x, needle) for x in s]
-        return pd.DataFrame({"places": [g[0] if g else None for g in got], "score": pd.array([g[1] if g else None for g in got], "Int32")})
-
-    return match(text)
+    """Struct of ``places`` (from 0) of the needle's characters in order, whatever their case, each the first after the one before,
+    and ``score``: what they span beyond the needle's length, less 100 for a match from the start (smaller is better).
+
+    Null for a null text or without a match; an empty needle matches everything, with no places and the worst score. A fold of
+    ``locate`` over the needle. The one letter whose lower case is two characters (İ) has both of them at its own place.
+    """
+    letters = [c for x in needle for c in x.lower()]
+    none = F.array().cast("array<int>")
+    if not letters:
+        return F.when(text.isNotNull(), F.struct(none.alias("places"), F.lit(2**31 - 1).alias("score")))
+
+    def following(low: Column) -> Callable[[Column, Column], Column]:
+        last = lambda at: F.coalesce(F.get(at, F.size(at) - 1), F.lit(0))
+        found = lambda at, c: once(F.call_function("locate", c, low, last(at) + 1), lambda p: F.when(p > 0, F.array_append(at, p)))
+        return lambda at, c: F.when(at.isNotNull(), found(at, c))
+
+    def scored(m: Column) -> Column:
+        at, own = m["at"], m["own"]
+        places = F.when(own.isNull(), F.transform(at, lambda p: p - 1)).otherwise(F.array_distinct(F.transform(at, lambda p: F.get(own, p - 1))))
+        start = F.when(own.isNull(), at[0] - 1).otherwise(F.array_position(own, F.get(own, at[0] - 1)).cast("int") - 1)
+        score = F.greatest(F.get(at, F.size(at) - 1) - start - len(letters), F.lit(0)) - F.when(start == 0, 100).otherwise(0)
+        return F.when(at.isNotNull(), F.struct(places.alias("places"), score.alias("score")))
+
+    # Only a text with İ has characters that stand at other places once it is in lower case.
+    each = F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda i: F.when(F.substr(text, i + 1, F.lit(1)) == "İ", F.array(i, i)).otherwise(F.array(i)))
+    own = F.when(F.contains(text, F.lit("İ")), F.flatten(each))
+    low = F.lower(F.translate(text, "Σ", "σ"))
+    at = once(low, lambda x: F.aggregate(F.array(*map(F.lit, letters)), F.when(text.isNotNull(), none), following(x)))
+    return once(F.struct(at.alias("at"), own.alias("own")), scored)
 
 
 #: Digits of short hashes, and which addresses an engineering tool imports.

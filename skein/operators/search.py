@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from skein.functions import text as fn
 from skein.operators import paging
+from skein.scratch import Scratch
 
 
 def within_budget(df: DataFrame, key: list[str], order: list, size: str, budget: int) -> DataFrame:
@@ -117,3 +118,37 @@ def search_threads(docs: DataFrame, needle: str, anchor: tuple | None, size: int
     """A page of threads whose text holds the needle, newest first, each with a snippet."""
     hits = docs.withColumn("snippet", fn.snippet(F.col("text"), needle)).where("snippet is not null")
     return paging.keyset(hits, [("n_chars", False), ("doc_id", False)], anchor, size)
+
+
+class FuzzySession:
+    """A search over names (key, name) whose query is edited step by step, as while a user types; case does not count.
+
+    A query that begins with an earlier one reads only what that one found, as its matches are among those: each query's matches
+    are a table, and tables of queries that do not begin the present one go. Null names never match; rows of equal names all do.
+    """
+
+    def __init__(self, names: DataFrame, key: str, name: str):
+        self.scratch, self.key, self.name = Scratch(names.sparkSession), key, name
+        self.found: list[tuple[str, DataFrame]] = [("", names.select(key, name))]
+
+    def update(self, query: str, most: int = 50) -> DataFrame:
+        """The best ``most`` names for the query now: (key, name, score, places) by score, name and key; none for an empty query.
+        A result is a small table of its own and outlives later queries, until ``close``."""
+        if not self.found:
+            raise ValueError("the session is closed")
+        low = "".join(c.lower() for c in query)
+        while not low.startswith(self.found[-1][0]):
+            self.scratch.drop(self.found.pop()[1])
+        rows = self.found[-1][1].select(self.key, self.name)
+        if self.found[-1][0] != low:
+            rows = self.scratch.keep(rows.where(fn.fuzzy(F.col(self.name), query).isNotNull()))
+            self.found.append((low, rows))
+        if not low:
+            rows = rows.limit(0)
+        hits = rows.withColumn("_m", fn.fuzzy(F.col(self.name), query)).select(self.key, self.name, "_m.score", "_m.places")
+        return self.scratch.keep(hits.orderBy("score", self.name, self.key).limit(most))
+
+    def close(self) -> None:
+        """Delete all tables of the session, its results among them."""
+        self.scratch.clear()
+        self.found = []

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as fn
 from skein.operators import postings
 from skein.operators import ranking as op
+from skein.operators import search
 from skein.plans.registry import Tables, query
 from skein.scratch import Scratch
 from skein.sources.published import Store
@@ -16,30 +19,32 @@ _TERMS = "list_filter(string_split(trim(regexp_replace(lower({c}), '[^\\p{{L}}\\
 _T = {k: _TERMS.format(c=k) for k in ("source", "lang", "text")}
 
 
-@query(
-    f"""with d as (select doc_id, source, {_T["source"]}[:256] as a, {_T["lang"]}[:256] as b, {_T["text"].replace("lower(text)", "lower(substr(text, 1, 4096))")}[:256] as c from
-(select * from documents where lang = 'en' order by doc_id limit 1000)), n as (select count(*) as n, avg(len(a)) as la, avg(len(b)) as lb, avg(len(c)) as lc from d),
+_BM25F = f"""with d as (select doc_id, source, {_T["source"]} as a, {_T["lang"]} as b, {_T["text"]} as c from documents), n as (select count(*) as n, avg(len(a)) as la, avg(len(b)) as lb, avg(len(c)) as lc from d),
 q as (select unnest(['src7', 'thin', 'with', 'tion', 'hand'])  as term), q2 as (select term from q where term <> 'with'),
 f as (select d.doc_id, d.source, q2.term, len(list_filter(a, lambda x: x = q2.term)) as fa, len(list_filter(b, lambda x: x = q2.term)) as fb, len(list_filter(c, lambda x: x = q2.term)) as fc,
 len(a) as na, len(b) as nb, len(c) as nc from d, q2), df as (select term, count(*) as df from f where fa + fb + fc > 0 group by 1),
 w as (select f.doc_id, f.source, f.term, 8 * fa / (0.25 + 0.75 * na / la) + 4 * fb / (0.25 + 0.75 * nb / lb) + fc / (0.25 + 0.75 * nc / lc) as w, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from f join df using (term), n)
-select doc_id, round(sum(idf * w * 2.2 / (w + 1.2)), 6) as score from w where w > 0 group by doc_id, source order by sum(idf * w * 2.2 / (w + 1.2)) desc, source, doc_id limit 50"""
-)
-def bm25f(t: Tables) -> DataFrame:
-    d = t.documents.where("lang = 'en'").select("doc_id", F.col("source").alias("name"), "lang", "text")
-    d = d.select("doc_id", "name", F.col("lang").alias("short"), F.expr("substr(text, 1, 4096)").alias("body"))
-    out = op.bm25f(d, "doc_id", "name", ["name", "short", "body"], "src7 thin with tion hand")
-    return out.select("doc_id", F.round("score", 6).alias("score"))
+select doc_id, round(sum(idf * w * 2.2 / (w + 1.2)), 6) as score from w where w > 0 group by doc_id, source order by round(sum(idf * w * 2.2 / (w + 1.2)), 9) desc, source, doc_id limit 50"""
 
 
-@query()
-def bm25f_whole(t: Tables) -> DataFrame:
-    """As bm25f, whose SQL keeps the caps of the reference: over all documents of all languages and their whole texts."""
+def _ranked(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.col("source").alias("name"), F.col("lang").alias("short"), F.col("text").alias("body"))
     out = op.bm25f(d, "doc_id", "name", ["name", "short", "body"], "src7 thin with tion hand", most=None, most_terms=None)
     return out.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25F)
+def bm25f(t: Tables) -> DataFrame:
+    """Over all documents of all languages and their whole texts; the operator's caps of documents and terms are off."""
+    return _ranked(t)
+
+
+@query(_BM25F)
+def bm25f_whole(t: Tables) -> DataFrame:
+    """As bm25f, under the name it had when that query still kept caps."""
+    return _ranked(t)
+
+
 _NAME = _TERMS.format(c="p_name")
 
 
@@ -111,6 +116,30 @@ def fuzzy(t: Tables) -> DataFrame:
     return d.select("p_partkey", "m.score").orderBy("score", "p_partkey").limit(50)
 
 
+def _narrowed(step: int, needle: str) -> str:
+    """SQL of the best 50 parts that hold the letters of a needle in order."""
+    at = [f"instr(n, '{needle[0]}')"]
+    for c in needle[1:]:
+        at.append(f"nullif(instr(substr(n, i{len(at)} + 1), '{c}'), 0) + i{len(at)}")
+    found = "(select p_partkey, p_name, lower(p_name) as n from part)"
+    for k, x in enumerate(at, 1):
+        found = f"(select *, {x} as i{k} from {found} where {f'i{k - 1} > 0' if k > 1 else 'true'})"
+    n = len(needle)
+    score = f"(greatest(i{n} - i1 + 1 - {n}, 0) - case when i1 = 1 then 100 else 0 end)::int"
+    return f"(select {step} as step, p_partkey, {score} as score from {found} where i{n} > 0 order by score, p_name, p_partkey limit 50)"
+
+
+#: A query as it is typed, cleared and typed anew.
+_EDITS = ["r", "rD", "rdg", "", "RE", "rel"]
+
+
+@query(" union all ".join(_narrowed(i, e.lower()) for i, e in enumerate(_EDITS) if e))
+def fuzzy_session(t: Tables) -> DataFrame:
+    session = search.FuzzySession(t.part, "p_partkey", "p_name")
+    found = [session.update(e).select(F.lit(i).alias("step"), "p_partkey", "score") for i, e in enumerate(_EDITS)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("""with i as (select 0 as kind, p_name as name, p_brand as term from part union all select 1, n_name, 'country' from nation),
 s as (select *, lower(name) as a, lower(term) as b from i), p as (select *, instr(a, 'n') as a1, instr(b, 'n') as b1 from s),
 q as (select *, a1 + instr(substr(a, a1 + 1), 't') as a2, b1 + instr(substr(b, b1 + 1), 't') as b2 from p),

@@ -22,16 +22,16 @@ def normalize_ws(t: Tables) -> DataFrame:
 
 @query("""select doc_id, case when pos - 48 > 1 then '... ' else '' end || substr(flat, greatest(pos - 48, 1), pos + 5 + 96 - greatest(pos - 48, 1)) ||
 case when pos + 101 <= length(flat) then ' ...' else '' end as snippet from (select doc_id, flat, instr(lower(flat), 'thing') as pos from
-(select doc_id, {flat} as flat from documents where lang = 'en')) where pos > 0""", flat=_FLAT)
+(select doc_id, {flat} as flat from documents)) where pos > 0""", flat=_FLAT)
 def snippet(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", fn.snippet(F.col("text"), "Thing").alias("snippet")).where("snippet is not null")
+    return t.documents.select("doc_id", fn.snippet(F.col("text"), "Thing").alias("snippet")).where("snippet is not null")
 
 
-@query("""with p as (select doc_id, string_split(lower(text), 'thing') as ps from documents where lang = 'en')
+@query("""with p as (select doc_id, string_split(lower(text), 'thing') as ps from documents)
 select doc_id, i - 1 as idx, list_sum(list_transform(ps[1:i], lambda x: length(x))) + 5 * (i - 1) as at from
 (select doc_id, ps, unnest(range(1, len(ps))) as i from p)""")
 def occurrences(t: Tables) -> DataFrame:
-    d = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(fn.occurrences(F.col("text"), "thing")).alias("idx", "at"))
+    d = t.documents.select("doc_id", F.posexplode(fn.occurrences(F.col("text"), "thing")).alias("idx", "at"))
     return d.select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("at").cast("long").alias("at"))
 
 
@@ -135,11 +135,11 @@ def usage_derive(t: Tables) -> DataFrame:
     return d.select("l_orderkey", "l_linenumber", "u.non_cached", "u.blended", "percent_left")
 
 
-@query("""select doc_id, case when strlen(text) > 300 then strlen(text) - 300 else 0 end as omitted, md5(case when strlen(text) > 300 then (text::blob)[1:150] else text::blob end) as head
-from (select doc_id, text from documents where lang = 'en' and regexp_full_match(text, '[\\x00-\\x7F]*'))""")
+@query("""select doc_id, case when strlen(text) > 300 then strlen(text) - 300 else 0 end as omitted, md5(case when strlen(text) > 300 then encode(text)[1:150] else encode(text) end) as head, md5(case when strlen(text) > 300 then encode(text)[-150:] end) as tail
+from documents""")
 def head_tail(t: Tables) -> DataFrame:
-    d = t.documents.where("lang = 'en' and text rlike '^[\\\\x00-\\\\x7F]*$'").select("doc_id", fn.head_tail(F.col("text"), 300).alias("h"))
-    return d.select("doc_id", "h.omitted", F.md5("h.head").alias("head"))
+    d = t.documents.select("doc_id", fn.head_tail(F.col("text"), 300).alias("h"))
+    return d.select("doc_id", "h.omitted", F.md5("h.head").alias("head"), F.md5("h.tail").alias("tail"))
 
 
 @query("select doc_id, sha256(text) as digest, case when doc_id % 3 = 0 then 'mismatch' when doc_id % 7 = 0 then 'unlisted' else 'ok' end as verdict from documents")
@@ -166,10 +166,10 @@ def markdown_nested(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", markdown(F.format_string(form, "p_name", "p_brand", "p_type")).alias("plain"))
 
 
-@query("""select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b')) as n_the, len(regexp_extract_all(text, '[.!?]')) as n_stops from documents where lang = 'en'""")
+@query("""select doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b')) as n_the, len(regexp_extract_all(text, '[.!?]')) as n_stops from documents""")
 def pattern_counts(t: Tables) -> DataFrame:
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return t.documents.where("lang = 'en'").select("doc_id", n(r"(?i)\bthe\b").alias("n_the"), n("[.!?]").alias("n_stops"))
+    return t.documents.select("doc_id", n(r"(?i)\bthe\b").alias("n_the"), n("[.!?]").alias("n_stops"))
 
 
 @query("""with l as (select doc_id, i as line, lower(ls[i]) as x from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)))
@@ -193,9 +193,9 @@ def thread_occurrences(t: Tables) -> DataFrame:
 
 @query("""select doc_id, snippet from (select doc_id, n_chars, case when pos - 48 > 1 then '... ' else '' end || substr(flat, greatest(pos - 48, 1), pos + 5 + 96 - greatest(pos - 48, 1)) ||
 case when pos + 101 <= length(flat) then ' ...' else '' end as snippet from (select doc_id, n_chars, flat, instr(lower(flat), 'thing') as pos from
-(select doc_id, n_chars, {flat} as flat from documents where lang = 'en')) where pos > 0) where n_chars < 900 or (n_chars = 900 and doc_id < 0) order by n_chars desc, doc_id desc limit 21""", flat=_FLAT)
+(select doc_id, n_chars, {flat} as flat from documents)) where pos > 0) where n_chars < 900 or (n_chars = 900 and doc_id < 0) order by n_chars desc, doc_id desc limit 21""", flat=_FLAT)
 def search_threads(t: Tables) -> DataFrame:
-    return search.search_threads(t.documents.where("lang = 'en'"), "thing", (900, 0), 20).select("doc_id", "snippet")
+    return search.search_threads(t.documents, "thing", (900, 0), 20).select("doc_id", "snippet")
 
 
 _LINES = "(select doc_id, i as line, ls[i] as x from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents)))"

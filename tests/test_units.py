@@ -1,6 +1,7 @@
 """Small cases of operators that no table query covers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -89,13 +90,54 @@ def test_epoch_arguments(spark):
     assert [r.e for r in df.select(filters.epoch(F.col("x")).alias("e")).collect()] == [1700000000, 1700000000, None]
 
 
-@pytest.mark.parametrize(("hay", "needle", "want"), [("hello", "hl", ([0, 2], -99)), ("İstanbul", "is", ([0, 1], -99)), ("straße", "strasse", None), ("x", "", ([], 2**31 - 1))])
-def test_fuzzy(hay, needle, want):
-    got = fn.fuzzy_score(hay, needle)
-    if hay == "İstanbul":
-        assert got[1] == -99
-    else:
-        assert got == want
+def fuzzy_by_hand(hay, needle):
+    """Places and score by a loop over lower-cased characters that know where they come from."""
+    if hay is None:
+        return None
+    low = [(c, i) for i, x in enumerate(hay) for c in x.lower()]
+    want = [c for x in needle for c in x.lower()]
+    here, at = [], -1
+    for c in want:
+        at = next((k for k in range(at + 1, len(low)) if low[k][0] == c), None)
+        if at is None:
+            return None
+        here.append(at)
+    if not here:
+        return [], 2**31 - 1
+    places = [low[k][1] for k in here]
+    start = [i for _, i in low].index(places[0])
+    return sorted(set(places)), max(here[-1] - start + 1 - len(want), 0) - (100 if start == 0 else 0)
+
+
+@pytest.mark.parametrize("needle", ["hl", "is", "strasse", "", "aBa", "Σσ", "i\u0307s", "\u0307", "😀a"])
+def test_fuzzy(spark, needle):
+    rng = random.Random(5)
+    hays = [None, "", "hello", "İstanbul", "xİİs", "straße", "ΟΔΟΣ σ", "a😀😀a", "i\u0307s", "h" * 5000 + "l"]
+    hays += ["".join(rng.choice("aAbBhlİsΣσ😀i\u0307") for _ in range(rng.randrange(12))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(hays)), "id int, t string").select("id", fn.fuzzy(F.col("t"), needle).alias("m")).collect()
+    assert {r.id: r.m and (r.m.places, r.m.score) for r in rows} == {i: fuzzy_by_hand(h, needle) for i, h in enumerate(hays)}
+
+
+def test_fuzzy_session_narrows(spark):
+    paths = ["alpha.txt", "ALPHA/beta.txt", "abc", "abcde", "abexy", "zzz.txt", "sub/abce", None, "", "abc"]
+    names = spark.createDataFrame(list(enumerate(paths)), "id int, path string")
+    session = search.FuzzySession(names, "id", "path")
+
+    def want(query):
+        got = [(m[1], p, i) for i, p in enumerate(paths) if (m := fuzzy_by_hand(p, query))]
+        return [(i, p, s) for s, p, i in sorted(got)]
+
+    tables = []
+    for query in ["a", "AB", "abe", "abc", "", "alp", "alpha", "alpha"]:
+        out = session.update(query)
+        tables.append(out)
+        assert [tuple(r)[:3] for r in out.collect()] == (want(query) if query else [])
+    assert [q for q, _ in session.found] == ["", "alp", "alpha"]
+    assert session.found[-1][1].count() == 2  # later queries read no more than these
+    assert tables[0].count() == len(want("a"))  # results outlive later queries
+    session.close()
+    with pytest.raises(ValueError, match="closed"):
+        session.update("a")
 
 
 def test_addresses(spark):
