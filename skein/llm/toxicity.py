@@ -179,13 +179,13 @@ def calibrate(model: Model, texts: list[str], toxic: np.ndarray, share: float, c
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = 1200, longest: int = 3000, cut: float = 0.3) -> Model | None:
     """Fit on a bounded sample: at most ``most`` toxic and as many other labelled texts of up to ``longest`` bytes, by a
-    hash of their ids. Rows whose crc32(doc_id) mod 4 is 2 are never read. None if either class is missing."""
+    hash of their ids; one text of an id, the smallest. Rows whose crc32(doc_id) mod 4 is 2 are never read. None if either class is missing."""
     known = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     picked = [known.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")  # 2 * most rows
-    rows = sample.where(f"octet_length(text) <= {longest}").select("doc_id", "text", "toxic").collect()
+    rows = sample.where(f"octet_length(text) <= {longest}").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     texts, toxic = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
     if len(set(toxic.tolist())) < 2:
