@@ -235,7 +235,7 @@ def line_groups_by_hand(rows):
     """rows: (doc_id, text). For each line that counts its place, and the place of the line that its group keeps."""
     first = {}
     each = [(i, p, plain_line(x)) for i, t in rows for p, x in enumerate((t or "").split("\n"))]
-    each = sorted(r for r in each if len(r[2].split()) >= 3)
+    each = sorted(r for r in each if r[2])
     for i, p, n in each:
         first.setdefault(n, (i, p))
     names = list(first)
@@ -327,6 +327,46 @@ def test_recall_of_lines_by_length(spark):
         assert recall >= 0.9
 
 
+def test_recall_of_lines_by_share_of_words_with_a_typo(spark):
+    """Planted pairs of similarity 0.8 or more (counted here) with a letter changed, put in or taken out in a share of the words."""
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), int(rng.integers(3, 10))))
+
+    def typo(w):
+        at, kind = int(rng.integers(len(w))), int(rng.integers(3))
+        return w[:at] + "z" + w[at + 1 :] if kind == 0 else w[:at] + "z" + w[at:] if kind == 1 else w[:at] + w[at + 1 :]
+
+    least = {0.1: 0.9, 0.25: 0.9, 0.5: 0.9, 0.75: 0.7, 1.0: 0.4}
+    texts, cases = [], [(n, share) for n in (1, 2, 3, 4, 6, 8, 10, 12, 20, 40) for share in least]
+    for n, share in cases:
+        pairs = 0
+        while pairs < 40:
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in rng.choice(n, max(1, int(n * share)), replace=False):
+                b[at] = typo(b[at])
+            x, y = " ".join(a), " ".join(b)
+            if x != y and same_line(x, y):
+                texts += [x, y]
+                pairs += 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r._lines.n_removed for r in lines.dedup_lines(Scratch(spark), df).collect()}
+    low = []
+    for k, (n, share) in enumerate(cases):
+        recall = sum(got[i + 1] for i in range(80 * k, 80 * (k + 1), 2)) / 40
+        print(f"{n} words, typos in {share} of them: recall {recall:.3f}")
+        low += [(n, share, recall)] if recall < least[share] else []
+    assert not low and not any(got[i] for i in range(0, len(texts), 2) if len(texts[i].split()) > 2)
+
+
+def test_short_lines_go_where_they_repeat(spark):
+    """Lines of one or two words count as others do; lines without a letter or digit never go."""
+    texts = ["}\nInstall\n\n}\n--", "install\nInstall:\n}", "two words\ntwo  words!\nok", "ok\nok\nno", "internationalise\ninternationalize\n你好\n你好", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(Scratch(spark), df).collect()}
+    assert got == {0: texts[0], 1: "}", 2: "two words\nok", 3: "no", 4: "internationalise\n你好", 5: None, 6: ""}
+
+
 def test_lines_alike_by_words_are_found(spark):
     """Recall against edit similarity counted in words alone: of each line one variant, with a fifth of its words changed at most."""
     rng = np.random.default_rng(8)
