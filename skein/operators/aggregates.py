@@ -38,12 +38,20 @@ def whole(total: Column) -> Column:
     return F.when(odd, 0).otherwise(F.round(total)).cast("long")
 
 
+def total(value: Column) -> Column:
+    """A sum of doubles that does not hang on the order of rows: exact for values below 1e18, taken to nine decimals; null without values."""
+    fine = F.abs(value) < 1e18
+    exact = F.sum(F.when(fine, value).cast("decimal(28,9)"))
+    rest = F.sum(F.when(~fine, value))  # huge, infinite or not a number
+    return F.when(rest.isNull(), exact.cast("double")).otherwise(rest + F.coalesce(exact.cast("double"), F.lit(0.0)))
+
+
 def summary(df: DataFrame, key: list[str], name: str, value: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """One row a key with named fields: each is the number or the whole sum of the points of one name."""
     aggs = []
     for field, (metric, what) in fields.items():
         mine = F.col(name) == metric
-        got = F.count(F.when(mine, 1)) if what == "count" else whole(F.sum(F.when(mine, F.col(value))))
+        got = F.count(F.when(mine, 1)) if what == "count" else whole(total(F.when(mine, F.col(value).cast("double"))))
         aggs.append(got.alias(field))
     return df.groupBy(*key).agg(*aggs)
 

@@ -337,3 +337,10 @@ def test_deep_and_shared_descendants(spark):
     want = {i: i if i < 50 else i - 49 for i in range(1, 131)}
     want |= {i: min(want[i], want[60] + 1 + i - 3) for i in range(3, 50)}
     assert got == want
+
+
+def test_summed_halves_do_not_hang_on_the_order_of_rows(spark):
+    points = [(1, 0.7), (1, 0.1), (1, 0.7), (2, 0.1), (2, 0.7), (2, 0.7), (3, float("nan")), (3, 1.0), (4, 1e300), (4, -1e300), (4, 2.0), (5, None)]
+    df = spark.createDataFrame([(k, "m", v) for k, v in points], "k int, name string, v double")
+    got = aggregates.summary(df, ["k"], "name", "v", {"ms": ("m", "sum"), "n": ("m", "count")})
+    assert sorted(rows(got)) == [(1, 2, 3), (2, 2, 3), (3, 0, 2), (4, 2, 3), (5, 0, 1)]
