@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -725,3 +726,17 @@ def test_quality_limits_of_the_tables(spark, sf):
     share = {r.quality: r.k for r in verdict.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     print(sf, share)
     assert share[1] >= 0.95 and share[0] <= 0.05
+
+
+def test_crowded_buckets_find_every_link(spark, monkeypatch):
+    """One key for 110 lines, of which 50 are alike to one other each and to none else."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(60)]
+    norm = base + [b[:9] + "#" + b[10:] for b in base[:50]]
+    scratch = lines.Scratch(spark)
+    df = scratch.keep(spark.createDataFrame(list(enumerate(norm)), "id long, norm string").withColumn("h", F.xxhash64("id")))
+    met = scratch.keep(lines.described(df).select(F.lit(7).cast("long").alias("key"), *lines.ABOUT))
+    remaining = lines.remaining_pairs
+    monkeypatch.setattr(lines, "remaining_pairs", lambda *a: remaining(*a, block=30))
+    got = {r.id: r.component for r in lines.line_links(scratch, met, df, 0.8).collect()}
+    assert got == {i: i % 60 for i in [*range(50), *range(60, 110)]}
