@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.operators import ranking
+from skein.scratch import Scratch
 from skein.sources.published import Store
 
 #: Porter's suffixes (An algorithm for suffix stripping, 1980), steps 2, 3 and 4.
@@ -28,63 +31,63 @@ VOWEL, OVER_0, IS_1, OVER_1 = f"^(?:{_C})?[aeiouy]", f"^(?:{_C})?{_V}{_C}", f"^(
 SHORT = f"^{_C}[aeiouy][^aeiouwxy]$"
 
 
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is evaluated once, however often ``f`` names it and wherever a filter is pushed."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _cut(w: Column, n: int) -> Column:
-    return F.substr(w, F.lit(1), F.length(w) - n)
-
-
-def _has(w: Column, pattern: str) -> Column:
-    return F.rlike(w, F.lit(pattern))
-
-
-def _longest(rules: dict[str, str], measure: str, keep: dict[str, int] | None = None) -> Callable[[Column], Column]:
-    """The word with the longest suffix that it has replaced, if what stands before has the measure; ``keep``: letters of it that stay."""
-
-    def step(w: Column) -> Column:
-        out = F
-        for suffix, put in sorted(rules.items(), key=lambda r: -len(r[0])):
-            before = _cut(w, len(suffix) - (keep or {}).get(suffix, 0))
-            out = out.when(F.endswith(w, F.lit(suffix)), F.when(_has(before, measure), F.concat(before, F.lit(put))).otherwise(w))
-        return out.otherwise(w)
-
-    return step
-
-
-def _plural(w: Column) -> Column:
-    return F.when(_has(w, "(?:ss|i)es$"), _cut(w, 2)).when(_has(w, "[^s]s$"), _cut(w, 1)).otherwise(w)
-
-
-def _past(w: Column) -> Column:
-    mend = lambda x: (
-        F.when(_has(x, "(?:at|bl|iz)$"), F.concat(x, F.lit("e")))
-        .when(_has(x, "(?:bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"), _cut(x, 1))
-        .when(_has(x, SHORT), F.concat(x, F.lit("e"))).otherwise(x)
-    )
-    out = F.when(_has(w, "eed$"), F.when(_has(_cut(w, 3), OVER_0), _cut(w, 1)).otherwise(w))
-    out = out.when(_has(w, "ed$") & _has(_cut(w, 2), VOWEL), _let(_cut(w, 2), mend))
-    return out.when(_has(w, "ing$") & _has(_cut(w, 3), VOWEL), _let(_cut(w, 3), mend)).otherwise(w)
-
-
-def _end(w: Column) -> Column:
-    before = _cut(w, 1)
-    return F.when(F.endswith(w, F.lit("e")) & (_has(before, OVER_1) | (_has(before, IS_1) & ~_has(before, SHORT))), before).otherwise(w)
+def _ends(rules: dict[str, str]) -> list[tuple[str, str]]:
+    """The longest suffixes first."""
+    return sorted(rules.items(), key=lambda r: -len(r[0]))
+
+
+_RULES = [(_ends(STEP2), OVER_0), (_ends(STEP3), OVER_0), (_ends({x: {"sion": "s", "tion": "t"}.get(x, "") for x in STEP4}), OVER_1)]
+
+
+def _mended(w: str) -> str:
+    """What is left of a word without -ed or -ing."""
+    if w.endswith(("at", "bl", "iz")):
+        return w + "e"
+    if len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiouhlsyz":
+        return w[:-1]
+    return w + "e" if re.search(SHORT, w) else w
+
+
+@lru_cache(maxsize=1 << 17)
+def stem_word(word: str) -> str:
+    """Porter's stem of a lower-case word. Words of fewer than three letters, and with others than a to z, stay."""
+    if not re.fullmatch("[a-z]{3,}", word):
+        return word
+    w = re.sub("^y", "Y", word)  # there it is a consonant
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif re.search("[^s]s$", w):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if re.search(OVER_0, w[:-3]) else w
+    elif w.endswith("ed") and re.search(VOWEL, w[:-2]):
+        w = _mended(w[:-2])
+    elif w.endswith("ing") and re.search(VOWEL, w[:-3]):
+        w = _mended(w[:-3])
+    if w.endswith("y") and re.search(VOWEL, w[:-1]):
+        w = w[:-1] + "i"
+    for rules, measure in _RULES:
+        for suffix, put in rules:
+            if w.endswith(suffix):
+                before = w[: -len(suffix)] + (put if measure == OVER_1 else "")  # the t of -tion stays and counts
+                if re.search(measure, before):
+                    w = before if measure == OVER_1 else before + put
+                break
+    if w.endswith("e") and (re.search(OVER_1, w[:-1]) or (re.search(IS_1, w[:-1]) and not re.search(SHORT, w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and re.search(OVER_1, w[:-1]):
+        w = w[:-1]
+    return w.lower()
+
+
+@F.pandas_udf(T.StringType())
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(stem_word, na_action="ignore")
 
 
 def stem(word: Column) -> Column:
-    """Porter's stem of a lower-case word. Words of fewer than three letters, and with others than a to z, stay; null: null."""
-    steps = [
-        _plural, _past, lambda w: F.when(_has(w, "y$") & _has(_cut(w, 1), VOWEL), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w),
-        _longest(STEP2, OVER_0), _longest(STEP3, OVER_0), _longest(dict.fromkeys(STEP4, ""), OVER_1, {"sion": 1, "tion": 1}),
-        _end, lambda w: F.when(F.endswith(w, F.lit("ll")) & _has(_cut(w, 1), OVER_1), _cut(w, 1)).otherwise(w),
-    ]
-    w = F.regexp_replace(word, "^y", "Y")  # there it is a consonant
-    for step in steps:
-        w = _let(w, step)
-    return F.when(_has(word, "^[a-z]{3,}$"), F.lower(w)).otherwise(word)
+    """``stem_word`` as a column, null: null. Each task remembers the words it has met, as most rows repeat them."""
+    return _stems(word)
 
 
 class Postings:
@@ -118,7 +121,8 @@ class Postings:
         words = d.select("key", *[ranking.terms(F.col(f"_d._t{i}")).alias(f"_t{i}") for i in range(len(self.fields))])
         sizes = [F.size(f"_t{i}").cast("long").alias(n) for i, n in enumerate(self.sizes)]
         batch = F.lit(self.store.manifest()["version"] + 1).cast("long").alias("batch")
-        known = words.select("key", batch, *sizes)
+        scratch = Scratch(self.store.spark)
+        known = scratch.keep(words.select("key", batch, *sizes))
         of_field = lambda i: F.transform(f"_t{i}", lambda w: F.struct(w.alias("word"), F.lit(i).alias("field")))
         each = F.flatten(F.array(*map(of_field, range(len(self.fields)))))
         found = words.select("key", *sizes, F.explode(each).alias("_e")).where(~F.col("_e.word").isin(ranking.STOP_WORDS))
@@ -126,18 +130,21 @@ class Postings:
         sums = [F.count(F.when(F.col("_e.field") == i, 1)).alias(c) for i, c in enumerate(self.counts)]
         by_word = found.groupBy("key", *self.sizes, F.col("_e.word").alias("word")).agg(*sums)
         by_stem = by_word.groupBy("key", *self.sizes, stem(F.col("word")).alias("stem")).agg(*[F.sum(c).alias(c) for c in self.counts])
-        # Ranges over part, stem and key: few files a part, and a stem that half of the documents hold lies in many tasks.
+        # Few files a part; a part too large for a task, as with a stem that half of the documents hold, is split among several. Ranges would
+        # make all of it twice, as they are drawn from a first run.
         post = by_stem.select(self._part(F.col("stem")).alias("part"), "stem", "key", batch, *self.counts, *self.sizes)
-        post = post.repartitionByRange("part", "stem", "key").sortWithinPartitions("part", "stem", "key")
+        post = post.hint("rebalance", "part").sortWithinPartitions("part", "stem", "key")
         change = known.agg(F.count("*").alias("docs"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in self.sizes])
         add = {"postings": post, "known": known, "totals": change}
         if self.store.manifest()["version"] == 0:
             add["dead"] = known.select("key", "batch").limit(0)
         else:
-            old = self._alive(self.store.read("known")).join(d.select("key"), "key", "left_semi")
+            old = self._alive(self.store.read("known")).join(known.select("key"), "key", "left_semi")
             add |= self._less(old)
             add["totals"] = change.unionByName(add["totals"])
-        return self.store.commit(add=add, partition={"postings": ["part"]})
+        version = self.store.commit(add=add, partition={"postings": ["part"]})
+        scratch.clear()
+        return version
 
     def remove(self, keys: DataFrame, key: str) -> int:
         """Forget documents; keys that the index does not have are passed over. The version."""
@@ -150,7 +157,7 @@ class Postings:
 
     def compact(self) -> int:
         """Write the index anew without what is dead; queries then read one folder a part."""
-        post = self._alive(self.store.read("postings")).repartitionByRange("part", "stem", "key").sortWithinPartitions("part", "stem", "key")
+        post = self._alive(self.store.read("postings")).hint("rebalance", "part").sortWithinPartitions("part", "stem", "key")
         totals = self.store.read("totals").agg(*[F.sum(n).alias(n) for n in ("docs", *self.sizes)])
         known = self._alive(self.store.read("known"))
         return self.store.commit(replace={"postings": post, "known": known, "totals": totals, "dead": self.store.read("dead").limit(0)}, partition={"postings": ["part"]})

@@ -98,3 +98,16 @@ def test_index_of_nothing(spark, tmp_path):
     index.upsert(spark.createDataFrame([], "id string, title string, body string"), "id")
     index.upsert(spark.createDataFrame([("a", "", None)], "id string, title string, body string"), "id")
     assert found(index, "anything") == []
+
+
+def test_index_is_made_in_one_run(spark, tmp_path):
+    """No ranges, which make all postings twice; stems by a table of words met, not by patterns for each posting."""
+    from skein.operators import postings
+
+    seen, commit = {}, Store.commit
+    store = Store(spark, f"file://{tmp_path}/i")
+    store.commit = lambda add=None, **k: (seen.update(add), commit(store, add=add, **k))[1]
+    Postings(store, FIELDS, parts=4).upsert(spark.createDataFrame([("a", "motoring", "motors")], "id string, title string, body string"), "id")
+    plan = seen["postings"]._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "ArrowEvalPython" in plan
+    assert [postings.stem_word(w) for w in EXAMPLES[::2]] == EXAMPLES[1::2]
