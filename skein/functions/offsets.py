@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import occurrences
+from skein.functions.text import comparable, find_all
 
 
 def _bind(value: Column, body) -> Column:
@@ -17,29 +18,42 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
+_RANGE = ("start", "end", "start_byte", "end_byte", "start_utf16", "end_utf16")
+
+
+def ranges(text: str, low: str, needle: str) -> list[tuple[int, ...]]:
+    """Matches of a needle in ``low``, a text in lower case, as places in ``text``: see ``match_ranges``. One pass over the pieces between them."""
+    places, size = find_all(low, needle), len(needle)
+    if text.isascii():
+        return [(a, a + size) * 3 for a in places]
+    out, at, b, u = [], 0, 0, 0
+    for a in places:
+        row = []
+        for to in (a, a + size):
+            piece = text[at:to]
+            b, u, at = b + len(piece.encode()), u + len(piece.encode("utf-16-le")) // 2, to
+            row.append((to, b, u))
+        out.append(tuple(x for pair in zip(*row, strict=True) for x in pair))
+    return out
+
+
 def match_ranges(text: Column, needle: str) -> Column:
     """All matches of a literal that do not overlap, whatever their case: an array of structs start, end (code points from 0, end
-    excluded), start_byte, end_byte (in UTF-8), start_utf16, end_utf16. Null and empty texts have none.
-
-    The text is cut at the borders of matches once; each piece is measured, and running sums give the places.
-    """
-    size = len(needle)
-
-    def measured(x: Column) -> Column:
-        cuts = F.flatten(F.transform(x["at"], lambda a: F.array(a, a + size)))
-        starts = F.concat(F.array(F.lit(0)), cuts)
-        piece = lambda i: F.array_join(F.slice(x["chars"], F.get(starts, i) + 1, F.get(cuts, i) - F.get(starts, i)), "")
-        sizes = F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda i: _bind(piece(i), lambda p: F.struct(F.octet_length(p).alias("b"), utf16_length(p).alias("u"))))
-        zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("u"), F.array().cast("array<struct<b: int, u: int>>").alias("out"))
-        add = lambda s, p: F.struct((s["b"] + p["b"]).alias("b"), (s["u"] + p["u"]).alias("u"), F.array_append(s["out"], F.struct((s["b"] + p["b"]).alias("b"), (s["u"] + p["u"]).alias("u"))).alias("out"))
-        return _bind(F.aggregate(sizes, zero, add)["out"], lambda o: F.transform(x["at"], lambda a, k: F.struct(
-            a.alias("start"), (a + size).alias("end"), F.get(o, 2 * k)["b"].alias("start_byte"), F.get(o, 2 * k + 1)["b"].alias("end_byte"),
-            F.get(o, 2 * k)["u"].alias("start_utf16"), F.get(o, 2 * k + 1)["u"].alias("end_utf16"),
-        )))
-
-    none = F.array().cast("array<struct<start: int, end: int, start_byte: int, end_byte: int, start_utf16: int, end_utf16: int>>")
+    excluded), start_byte, end_byte (in UTF-8), start_utf16, end_utf16. Null and empty texts have none."""
+    low = needle.lower()
+
+    @F.arrow_udf("array<struct<" + ", ".join(f"{k}: int" for k in _RANGE) + ">>")
+    def found(texts: pa.Array, lows: pa.Array) -> pa.Array:
+        borders, flat = [0], []
+        for t, x in zip(texts, lows, strict=True):
+            flat += ranges(t.as_py(), x.as_py(), low)
+            borders.append(len(flat))
+        columns = zip(*flat, strict=True) if flat else [[]] * len(_RANGE)
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=_RANGE)
+        return pa.ListArray.from_arrays(pa.array(borders, pa.int32()), rows)
+
     filled = F.coalesce(text, F.lit(""))
-    return _bind(occurrences(filled, needle), lambda at: F.when(F.size(at) == 0, none).otherwise(_bind(F.struct(at.alias("at"), F.split(filled, "").alias("chars")), measured)))
+    return found(filled, comparable(filled))
 
 
 def _follows(raw: Column, at: Column) -> Column:

@@ -109,3 +109,11 @@ def test_truncation_by_bytes_and_tokens(spark):
         for t, r in zip(texts, got, strict=True):
             whole = [k for k in range(len(t) + 1) if len(t[:k].encode()) <= most]
             assert tuple(r) == (shortened(t, most, False), shortened(t, most // 4 * 4, True), len(t[: whole[-1]].encode())), (t, most)
+
+
+def test_ranges_of_many_matches_take_time_by_the_text(spark):
+    """A fold that copies its list at each match needs minutes for these."""
+    n = 300_000
+    df = spark.createDataFrame([("é𝄞EN" * n,)], "t string").select(offsets.match_ranges(F.col("t"), "en").alias("r"))
+    size, last = df.select(F.size("r"), F.element_at("r", -1)).first()
+    assert size == n and tuple(last) == (4 * n - 2, 4 * n, 8 * n - 2, 8 * n, 5 * n - 2, 5 * n)
