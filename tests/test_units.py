@@ -344,3 +344,10 @@ def test_summed_halves_do_not_hang_on_the_order_of_rows(spark):
     df = spark.createDataFrame([(k, "m", v) for k, v in points], "k int, name string, v double")
     got = aggregates.summary(df, ["k"], "name", "v", {"ms": ("m", "sum"), "n": ("m", "count")})
     assert sorted(rows(got)) == [(1, 2, 3), (2, 2, 3), (3, 0, 2), (4, 2, 3), (5, 0, 1)]
+
+
+def test_snippet_collapses_a_text_once(spark):
+    df = spark.createDataFrame([("a \n\tbig   Thing\tmore", 1), ("none", 2), (None, 3), ("big\nthing", 4)], "t string, i int")
+    out = df.select("i", fn.snippet(F.col("t"), "Big Thing").alias("s"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    assert [r.s for r in out.orderBy("i").collect()] == ["a big Thing more", None, None, "big thing"]
