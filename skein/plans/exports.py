@@ -16,8 +16,9 @@ def _exports(t: Tables) -> DataFrame:
     """Documents (o_orderkey, o_custkey, file, xml). An order's status and priority decide what is wrong with it, if anything is."""
     tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.col("l_linenumber") - 1) % 6 + 1)
     name = F.when(F.col("l_linenumber") == 3, "").otherwise(F.concat(F.lit("B"), "l_partkey"))
-    item = F.format_string('<%1$s ID="%2$d"><AttributeList><Name>%3$s</Name><Number>%2$d</Number><ProgrammingLanguage>%4$s</ProgrammingLanguage></AttributeList></%1$s>\n', tag, F.col("l_linenumber"), name, F.col("l_linestatus"))
-    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("x")))).alias("i"))
+    parts = ["<", tag, ' ID="', "l_linenumber", '"><AttributeList><Name>', name, "</Name><Number>", "l_linenumber", "</Number><ProgrammingLanguage>", "l_linestatus", "</ProgrammingLanguage></AttributeList></", tag, ">\n"]
+    item = F.concat(*[F.lit(x) if isinstance(x, str) and not x.startswith("l_line") else x for x in parts])
+    items = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", item.alias("x")))).alias("i"))
     p = F.substr("o_orderpriority", F.lit(1), F.lit(1))
     extra = (
         F.when(F.col("o_orderstatus") == "P", "<Other/>").when(p == "1", "<Number><Number><Number><Number><Number><Number/></Number></Number></Number></Number></Number>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +41,9 @@ class Limits:
     names: tuple[str, ...] | None = None
 
 
-def _local(tag: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(tag, r"^<([^\s/>]+)", 1), "^.*:", "")
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def checked(records: DataFrame, xml: str, limits: Limits = Limits()) -> DataFrame:
@@ -49,37 +51,44 @@ def checked(records: DataFrame, xml: str, limits: Limits = Limits()) -> DataFram
     or entities), nodes, depth, attributes, attribute_length, text_length, name, malformed; else null.
 
     One pass over the tags in each row; a record over the size, or with declarations, is not looked into (nulls), and only what passes all limits is
-    parsed by Spark. Null is empty.
+    parsed by Spark. Null is empty. All of it is one expression made by a generator, below which no filter on its results is pushed.
     """
     size, x = F.octet_length(xml), F.col(xml)
     outer = F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > limits.bytes, "size").when(F.rlike(x, F.lit("(?i)<!(?:doctype|entity)")), "declaration")
-    tokens = F.when(F.col("_outer").isNull(), F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)))
-    starts = F.filter("_tokens", lambda t: F.rlike(t, F.lit("^<[^/!?]")))
-    step = lambda t: F.when(F.rlike(t, F.lit("^<[^/!?]")), 1).when(F.startswith(t, F.lit("</")), -1).otherwise(0)
+    begins = lambda t: F.startswith(t, F.lit("<")) & ~F.substr(t, F.lit(2), F.lit(1)).isin("/", "!", "?")
+    step = lambda t: F.when(begins(t), 1).when(F.startswith(t, F.lit("</")), -1).otherwise(0)
 
     def nest(s: Column, t: Column) -> Column:
-        now = s["now"] + step(t)
-        left = now - F.when(F.rlike(t, F.lit("^<[^/!?][\\s\\S]*/>$")), 1).otherwise(0)
-        return F.struct(left.alias("now"), F.greatest(s["most"], now).alias("most"))
+        return _once(s["now"] + step(t), lambda now: F.struct(
+            (now - F.when(F.endswith(t, F.lit("/>")) & begins(t), 1).otherwise(0)).alias("now"), F.greatest(s["most"], now).alias("most"),
+        ))
 
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     values = lambda t: F.regexp_extract_all(t, F.lit(ATTRIBUTE), F.lit(1))
-    over = lambda column, test: F.exists(column, test)
-    inner = (
-        F.when(F.col("nodes") > limits.nodes, "nodes").when(F.col("max_depth") > limits.depth, "depth")
-        .when(over("_starts", lambda t: F.size(values(t)) > limits.attributes), "attributes")
-        .when(over("_starts", lambda t: F.exists(values(t), lambda v: F.length(v) - 2 > limits.attribute_chars)), "attribute_length")
-        .when(over("_tokens", lambda t: ~F.startswith(t, F.lit("<")) & (F.length(t) > limits.text_chars)), "text_length")
-    )
-    if limits.names is not None:
-        inner = inner.when(over("_starts", lambda t: ~_local(t).isin(list(limits.names))), "name")
-    parsed = F.from_xml(x, F.lit("_bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    malformed = F.when(F.col("_reason").isNull(), F.when((F.col("nodes") == 0) | parsed["_bad"].isNotNull(), "malformed"))
-    d = records.withColumn("_outer", outer).withColumn("_tokens", tokens).withColumn("_starts", starts)
-    d = d.withColumn("nodes", F.size("_starts")).withColumn("max_depth", F.aggregate("_tokens", zero, nest)["most"])
-    d = d.withColumn("nodes", F.when(F.col("_outer").isNull(), F.col("nodes")))
-    d = d.withColumn("_reason", F.coalesce("_outer", F.when(F.col("_outer").isNull(), inner))).withColumn("rejected", F.coalesce("_reason", malformed))
-    return d.drop("_outer", "_tokens", "_starts", "_reason")
+    named = lambda t: F.contains(t, F.lit("="))  # noqa: E731  others have no attributes
+
+    def judged(r: Column) -> Column:
+        inner = (
+            F.when(r["nodes"] > limits.nodes, "nodes").when(r["max_depth"] > limits.depth, "depth")
+            .when(F.exists(r["starts"], lambda t: named(t) & (F.size(values(t)) > limits.attributes)), "attributes")
+            .when(F.exists(r["starts"], lambda t: named(t) & (F.length(t) > limits.attribute_chars) & F.exists(values(t), lambda v: F.length(v) - 2 > limits.attribute_chars)), "attribute_length")
+            .when(F.exists(r["tokens"], lambda t: ~F.startswith(t, F.lit("<")) & (F.length(t) > limits.text_chars)), "text_length")
+        )
+        if limits.names is not None:
+            names = "|".join(re.escape(n) for n in limits.names if ":" not in n) or "(?!)"
+            inner = inner.when(F.exists(r["starts"], lambda t: ~F.rlike(t, F.lit(rf"^<(?:[^\s/>]*:)?(?:{names})(?=[\s/>])"))), "name")
+        parsed = F.from_xml(x, F.lit("_bad string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        malformed = F.when((r["nodes"] == 0) | parsed["_bad"].isNotNull(), "malformed")
+        return F.struct(r["nodes"].alias("nodes"), r["max_depth"].alias("max_depth"), F.coalesce(inner, malformed).alias("rejected"))
+
+    def counted(tokens: Column) -> Column:
+        return _once(F.filter(tokens, begins), lambda starts: _once(F.struct(
+            tokens.alias("tokens"), starts.alias("starts"), F.size(starts).alias("nodes"), F.aggregate(tokens, zero, nest)["most"].alias("max_depth"),
+        ), judged))
+
+    unread = lambda o: F.struct(F.lit(None).cast("int").alias("nodes"), F.lit(None).cast("int").alias("max_depth"), o.alias("rejected"))
+    read = _once(F.regexp_extract_all(x, F.lit(TOKEN), F.lit(0)), counted)
+    return records.select("*", F.inline(F.array(_once(outer, lambda o: F.when(o.isNotNull(), unread(o)).otherwise(read)))))
 
 
 def objects(records: DataFrame, keys: list[str], xml: str) -> DataFrame:

@@ -49,3 +49,11 @@ def test_versions(spark):
         "exact": ("V18", "high"), "text": ("V17", "low"), "name": ("V16", "low"), "none": (None, "unknown"), "two": ("V19", "low"), "both": ("V20", "medium"),
         "null": (None, "unknown"),
     }
+
+
+def test_filters_stay_above_what_is_checked(spark):
+    """Else a filter on what was found runs the check once more for each mention."""
+    df = spark.createDataFrame([("<a><ns:b x='1'/></a>",), ("<a><c/></a>",)], "x string")
+    out = checked(df, "x", Limits(names=("a", "b"))).where("rejected is null")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(x") == 1
+    assert [r.x for r in out.collect()] == ["<a><ns:b x='1'/></a>"]
