@@ -361,3 +361,11 @@ def test_grams_are_weighed_where_a_row_stands(spark):
     assert rows(capped) == rows(out)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [k" not in plan and plan.count("regexp_replace") <= 12
+
+
+def test_short_rows_are_dealt_out_before_markdown(spark, sf):
+    from skein.plans import registry
+
+    assert "REPARTITION_BY_NUM" in registry.QUERIES["markdown_nested"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    registry.QUERIES["markdown_text"](spark, sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
