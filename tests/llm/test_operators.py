@@ -740,3 +740,62 @@ def test_crowded_buckets_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(lines, "remaining_pairs", lambda *a: remaining(*a, block=30))
     got = {r.id: r.component for r in lines.line_links(scratch, met, df, 0.8).collect()}
     assert got == {i: i % 60 for i in [*range(50), *range(60, 110)]}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def variants(rng, n):
+    """Lines of 20 to 900 characters, each with up to a third of its characters changed, taken out or put in, also all at one end."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    out = []
+    for k in range(n):
+        a = " ".join(word() for _ in range(rng.choice((5, 30, 105, 120, 150))))
+        b, many = list(a), rng.randint(0, len(a) // 3)
+        for _ in range(many):
+            at = rng.randrange(len(b)) if k % 3 == 0 else rng.randrange(max(1, len(b) // 3)) if k % 3 == 1 else rng.randrange(len(b) * 2 // 3, len(b))
+            b[at : at + rng.choice((0, 1, 1))] = [rng.choice(("", "x", "y"))]
+            b = [c for c in b if c]
+        out.append((a, " ".join("".join(b).split())))
+    return out
+
+
+def near_by_hand(a, b):
+    by_characters = edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    if min(len(a), len(b)) <= 600:
+        return by_characters
+    v, w = a.split(" "), b.split(" ")
+    return by_characters or edits(v, w) <= int(max(len(v), len(w)) * 0.2 + 1e-9)
+
+
+def test_lines_verified_in_parts(spark):
+    """Pairs in some ten parts, so that a part's text is bounded, give what edit distances by hand give."""
+    both = variants(random.Random(3), 60)
+    norm = [x for ab in both for x in ab]
+    scratch = lines.Scratch(spark)
+    df = scratch.keep(spark.createDataFrame(list(enumerate(norm)), "id long, norm string").withColumn("h", F.xxhash64("id")))
+    pairs = [(2 * i, 2 * i + 1, len(a)) for i, (a, _) in enumerate(both)] + [(2 * i, 2 * j, len(norm[2 * i])) for i in range(9) for j in range(i + 1, 9)]
+    want = {(u, v) for u, v, _ in pairs if near_by_hand(norm[u], norm[v])}
+    assert 15 < len(want) < 55
+    got = lines.verified(scratch, scratch.keep(spark.createDataFrame(pairs, "u long, v long, chars int")), df, 0.8, share=0.05)
+    assert {(r.u, r.v) for r in got.collect()} == want
+
+
+def test_lengths_are_told_before_texts_are_read(spark):
+    """Rows of a bucket make no pair of a long and a short line, and lose no pair that is near."""
+    both = variants(random.Random(4), 60)
+    df = spark.createDataFrame([(k, *ab) for k, ab in enumerate(both)], "key long, a string, b string")
+    df = df.select("key", F.posexplode(F.array("a", "b")).alias("side", "norm")).select("key", (F.col("key") * 2 + F.col("side")).alias("id"), "norm")
+    met = lines.described(df).join(df.select("id", "key"), "id").withColumn("sim", F.lit(0).cast("long")).select("key", *lines.ABOUT)
+    got = {r.u // 2 for r in lines.first_pairs(met, 0.8).collect()}
+    assert {k for k, ab in enumerate(both) if near_by_hand(*ab)} <= got
+    long = spark.createDataFrame([(0, " ".join(["word"] * 130)), (1, " ".join(["word"] * 30))], "id long, norm string")
+    met = lines.described(long).select(F.lit(1).cast("long").alias("key"), *lines.ABOUT)
+    assert lines.first_pairs(met, 0.8).isEmpty()
