@@ -64,8 +64,29 @@ class _Table:
             slot[left] = (slot[left] + 1) & int(self.mask)
 
 
+def put(old: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``old`` with new values behind its first ``n``; a full array is doubled, so that all is not copied each time."""
+    if n + len(new) > len(old):
+        grown = np.zeros(2 * (n + len(new)), old.dtype)
+        grown[:n] = old[:n]
+        old = grown
+    old[n : n + len(new)] = new
+    return old
+
+
+def texts_of(w: Words, some: np.ndarray) -> list[str]:
+    """The words at certain places, in lower case (A-Z), read from one text with a space behind each."""
+    size = w.stop[some] - w.start[some]
+    ends = np.cumsum(size + 1)
+    out = np.full(int(ends[-1]), 32, np.uint8)
+    at = np.arange(int(size.sum()))
+    first = np.cumsum(size) - size
+    out[np.repeat(ends - size - 1 - first, size) + at] = w.data[np.repeat(w.start[some] - first, size) + at]
+    return out[:-1].tobytes().lower().decode().split(" ")
+
+
 class WordEncoder:
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.plain, self.most = Tokenizer.from_file(path), most
@@ -76,6 +97,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.at = _Table()
+        self.words, self.held = 0, 0  # used of the arrays below
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _places(self, w: Words) -> np.ndarray:
@@ -85,32 +107,33 @@ class WordEncoder:
         missing = np.flatnonzero(out < 0)
         if len(missing):
             new, one = np.unique(h[missing], return_index=True)
-            data = w.data.tobytes()
-            self._learn(new, [data[w.start[k] : w.stop[k]].lower() for k in missing[one]])
+            self._learn(new, texts_of(w, missing[one]))
             out[missing] = self.at.find(h[missing])
         return out
 
-    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, new: list[str]) -> None:
         """Words of letters are encoded many at a time, each ending with its end-of-word id; a word and the stop
         behind it come from their parts; others are encoded one by one."""
         simple, other, parts = [], [], []
         for k, w in enumerate(new):
-            if w[-1:] in (b".", b",") and w[:-1].isalpha():
+            if w.isalpha():
+                simple.append(k)
+            elif w[-1] in ".," and w.isascii() and w[:-1].isalpha():
                 parts.append(k)
             else:
-                (simple if w.decode().isalpha() else other).append(k)
+                other.append(k)
         if parts:
-            text = b" ".join([new[k][:-1] + b" " + new[k][-1:] for k in parts])
-            both = self._places(split(pa.array([text.decode()])))
+            text = " ".join([new[k][:-1] + " " + new[k][-1] for k in parts])
+            both = self._places(split(pa.array([text])))
             known = self.at.find(hashes)
             if (known >= 0).any():  # a stem that is itself among the new words
                 rest = np.flatnonzero(known < 0)
                 return self._learn(hashes[rest], [new[k] for k in rest])
-        first, length, found = len(self.start), np.zeros(len(new), np.int64), []
+        first, length, found = self.words, np.zeros(len(new), np.int64), []
         order: list[int] = []
         for i in range(0, len(simple), 2000):
             part = simple[i : i + 2000]
-            ids = np.array(self.plain.encode(b" ".join([new[k] for k in part]).decode(), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.plain.encode_batch_fast([" ".join([new[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 length[part] = np.diff(np.r_[0, stops])
@@ -120,7 +143,7 @@ class WordEncoder:
                 other += part
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
-            got = [e.ids for e in self.plain.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False)]
+            got = [e.ids for e in self.plain.encode_batch_fast([new[k] for k in part], add_special_tokens=False)]
             length[part] = [len(g) for g in got]
             found.append(np.array([x for g in got for x in g], np.uint32))
             order += part
@@ -130,9 +153,11 @@ class WordEncoder:
             found.append(ids)
             order += parts
         start = np.zeros(len(new), np.int64)
-        start[order] = len(self.ids) + np.cumsum(length[order]) - length[order]
-        self.ids = np.concatenate([self.ids, *found])
-        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        start[order] = self.held + np.cumsum(length[order]) - length[order]
+        ids = np.concatenate([*found, np.zeros(0, np.uint32)])
+        self.ids = put(self.ids, self.held, ids)
+        self.start, self.length = put(self.start, first, start), put(self.length, first, length)
+        self.words, self.held = first + len(new), self.held + len(ids)
         self.at.add(hashes, first + np.arange(len(new)))
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +169,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text; null: none."""
-        if len(self.start) > self.most:
+        if self.words > self.most:
             self.clear()
         # A text with a special token keeps its letters' case.
         special = {i: t for i, t in enumerate(texts.to_pylist()) if t and "<|" in t}

@@ -799,3 +799,26 @@ def test_lengths_are_told_before_texts_are_read(spark):
     long = spark.createDataFrame([(0, " ".join(["word"] * 130)), (1, " ".join(["word"] * 30))], "id long, norm string")
     met = lines.described(long).select(F.lit(1).cast("long").alias("key"), *lines.ABOUT)
     assert lines.first_pairs(met, 0.8).isEmpty()
+
+
+def test_words_are_learnt_once_and_arrays_not_copied_each_time():
+    """400,000 words fit in a worker's memory; text by text gives the ids that ``tokenizers`` gives."""
+    import pyarrow as pa
+
+    enc, learnt = tokens.WordEncoder(TOKENIZER), []
+    learn = enc._learn
+    enc._learn = lambda hashes, new: (learnt.append(len(new)), learn(hashes, new))[1]
+    letters = "abcdefghijklmnopqrst"
+    many = [a + b + c + d for a in letters for b in letters for c in letters for d in letters]
+    texts = [" ".join(w + x for w in many[i : i + 8000]) for x in ("", "qz", "zu") for i in range(0, 160_000, 8000)][:50]
+    arrays = set()
+    for text in texts:
+        list(enc.encode(pa.array([text])))
+        arrays.add(id(enc.start))
+    assert len(arrays) < 12
+    first = sum(learnt)
+    odd = ["Ünïcödé ßtraße 数据 U.S. a. b, 7. .. x", None, "", "ABC abc.", "a\tb\nc  d"]
+    got = [list(x) for x in enc.encode(pa.array([texts[0], *odd]))]
+    assert sum(learnt) - first < 40
+    plain = enc.plain
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in [texts[0], *odd]]
