@@ -742,6 +742,25 @@ def test_crowded_buckets_find_every_link(spark, monkeypatch):
     assert got == {i: i % 60 for i in [*range(50), *range(60, 110)]}
 
 
+def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
+    """Two keys for 30 unlike lines: every pair is compared, each in one of the rounds only."""
+    rng = random.Random(12)
+    norm = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(30)]
+    scratch = lines.Scratch(spark)
+    df = scratch.keep(spark.createDataFrame(list(enumerate(norm)), "id long, norm string").withColumn("h", F.xxhash64("id")))
+    keys = F.explode(F.array(F.lit(7), F.lit(8)).cast("array<long>")).alias("key")
+    met = scratch.keep(lines.described(df).select(keys, *lines.ABOUT))
+    seen = []
+
+    def verified(scratch, pairs, *rest):
+        seen.extend((r.u, r.v) for r in pairs.collect())
+        return pairs.select("u", "v").where("false")
+
+    monkeypatch.setattr(lines, "verified", verified)
+    lines.line_links(scratch, met, df, 0.8)
+    assert sorted(seen) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
