@@ -754,7 +754,7 @@ def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
 
     def verified(scratch, pairs, *rest):
         seen.extend((r.u, r.v) for r in pairs.collect())
-        return pairs.select("u", "v").where("false")
+        return spark.createDataFrame([], "u long, v long")
 
     monkeypatch.setattr(lines, "verified", verified)
     lines.line_links(scratch, met, df, 0.8)
