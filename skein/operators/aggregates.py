@@ -46,14 +46,23 @@ def total(value: Column) -> Column:
     return F.when(rest.isNull(), exact.cast("double")).otherwise(rest + F.coalesce(exact.cast("double"), F.lit(0.0)))
 
 
-def summary(df: DataFrame, key: list[str], name: str, value: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row a key with named fields: each is the number or the whole sum of the points of one name."""
-    aggs = []
-    for field, (metric, what) in fields.items():
-        mine = F.col(name) == metric
-        got = F.count(F.when(mine, 1)) if what == "count" else whole(total(F.when(mine, F.col(value).cast("double"))))
-        aggs.append(got.alias(field))
-    return df.groupBy(*key).agg(*aggs)
+def summary(df: DataFrame, key: list[str], name: str, value: str, fields: dict[str, tuple[str, str]], order: list[str] | None = None) -> DataFrame:
+    """One row a key with named fields: each is the number or the whole sum of the points of one name.
+
+    Sums are exact without ``order``. With it they are added up as doubles in the order of these columns, which tell a key's points apart, so
+    that a sum near a half is rounded as where points are added as they come. A key's points then pass one task, in files if they are many.
+    """
+    points = {f: F.when(F.col(name) == metric, F.col(value).cast("double")) for f, (metric, what) in fields.items() if what == "sum"}
+    sums = {f: total(x) for f, x in points.items()}
+    if order and points:
+        into = "_run"
+        while into in df.columns:
+            into += "_"
+        so_far = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(into, F.struct(F.struct(*order).alias("at"), *[F.sum(x).over(so_far).alias(f) for f, x in points.items()]))
+        sums = {f: F.max_by(F.col(into)[f], F.col(into)["at"]) for f in points}
+    counts = {f: F.count(F.when(F.col(name) == metric, 1)) for f, (metric, what) in fields.items() if what == "count"}
+    return df.groupBy(*key).agg(*[(whole(sums[f]) if f in sums else counts[f]).alias(f) for f in fields])
 
 
 def merge_summaries(df: DataFrame, key: list[str], seq: str, totals: list[str], gauges: list[str]) -> DataFrame:

@@ -62,7 +62,7 @@ count(*) filter (where event_type = 'view') as api_calls, coalesce(round(sum(val
 count(*) filter (where event_type = 'error') as error_calls from events group by user_id""")
 def runtime_summary(t: Tables) -> DataFrame:
     fields = {"tool_calls": ("click", "count"), "tool_ms": ("click", "sum"), "api_calls": ("view", "count"), "api_ms": ("view", "sum"), "error_calls": ("error", "count")}
-    return op.summary(t.events, ["user_id"], "event_type", "value", fields)
+    return op.summary(t.events.select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_type", "value", fields, order=["event_id"])
 
 
 @query("""select user_id, sum(event_id % 7)::bigint as calls, coalesce(arg_max(gauge, event_id) filter (where gauge > 0), 0) as gauge

@@ -3,12 +3,14 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein.functions import text as fn
 from skein.operators import aggregates, dml, filters, graph, joins, ordered, paging, ranking, reducers, search
+from skein.plans import registry
 from skein.sources import files
 
 
@@ -369,3 +371,23 @@ def test_short_rows_are_dealt_out_before_markdown(spark, sf):
     assert "REPARTITION_BY_NUM" in registry.QUERIES["markdown_nested"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     registry.QUERIES["markdown_text"](spark, sf)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_sums_in_the_order_of_points_round_as_doubles_do(spark):
+    # 0.6 + 0.7 + 0.2 is 1.4999999999999998 in doubles, 0.2 + 0.7 + 0.6 is 1.5.
+    points = [(1, 3, 0.2), (1, 1, 0.6), (1, 2, 0.7), (2, 2, 0.7), (2, 3, 0.6), (2, 1, 0.2), (3, 1, None), (4, 1, 2.0), (4, 2, 1e300), (4, 3, -1e300)]
+    df = spark.createDataFrame([(k, at, "m", v) for k, at, v in points], "k int, at int, name string, v double").repartition(3)
+    got = aggregates.summary(df, ["k"], "name", "v", {"ms": ("m", "sum"), "n": ("m", "count"), "no": ("x", "sum")}, order=["at"])
+    assert sorted(rows(got)) == [(1, 1, 3, 0), (2, 2, 3, 0), (3, 0, 1, 0), (4, 0, 3, 0)]
+
+
+def test_runtime_summary_rounds_as_its_sql(spark, tmp_path):
+    points = [0.6, 0.7, 0.2, 0.2, 0.7, 0.6, 2.3, 4.1, 1.1]
+    events = [(i, i // 3, ("click", "view")[i // 3 % 2], v) for i, v in enumerate(points)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(registry.QUERIES["runtime_summary"](spark, str(tmp_path)).select("user_id", "tool_ms", "api_ms"))
+    table = duckdb.connect()
+    table.execute("create table events (event_id bigint, user_id bigint, event_type varchar, value double)")
+    table.executemany("insert into events values (?, ?, ?, ?)", events)
+    want = table.sql(f"select user_id, tool_ms, api_ms from ({registry.ORACLES['runtime_summary']})").fetchall()
+    assert sorted(got) == sorted(want) and (0, 1, 0) in want
