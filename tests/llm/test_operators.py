@@ -761,6 +761,41 @@ def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
     assert sorted(seen) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
 
 
+def test_keys_of_lines_are_shuffled_once(spark):
+    """Buckets are the keys that two different lines have; copies of a line make none. One table a part of the keys, and three more."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    norm = [" ".join(word() for _ in range(n)) for n in (1, 2, 5, 9, 12, 30) for _ in range(6)]
+    norm += [x[:-1] + "z" for x in norm[::2]] + norm[::3] * 2
+    scratch = lines.Scratch(spark)
+    each = spark.createDataFrame(list(enumerate(norm)), "id long, norm string")
+    each = scratch.keep(each.select("id", "norm", F.xxhash64("norm").alias("a"), F.xxhash64("norm", F.lit(1)).alias("b"), F.xxhash64("id").alias("h")))
+    distinct = scratch.keep(each.groupBy("a", "b").agg(F.min("id").alias("id")))
+    keys = {r.id: r.k for r in each.join(distinct.select("id"), "id").select("id", lines.shared_keys(F.col("norm")).alias("k")).collect()}
+    of = {}
+    for i, ks in keys.items():
+        for k in ks:
+            of.setdefault(k, set()).add(i)
+    before = scratch.n
+    got = [(r.key, r.id) for r in lines.candidates(scratch, each, distinct).collect()]
+    assert sorted(got) == sorted((k, i) for k, ids in of.items() if len(ids) > 1 for i in ids) and len(got) > 50
+    assert scratch.n - before <= 6
+
+
+def test_simhashes_of_rows_of_words_are_those_of_arrays(spark):
+    """Also of lines of more words than a lane counts."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdeü語") for _ in range(rng.randint(1, 8)))
+    norm = [" ".join(word() for _ in range(n)) for n in (1, 2, 5, 19, 20, 21, 60, 500, 3000, 9000, 20000) for _ in range(3)] + ["a " * 8191 + "a", "a " * 8192 + "a"]
+    df = spark.createDataFrame(list(enumerate(norm)), "id long, norm string")
+    ws = F.split("norm", " ")
+    rare = F.filter(ws, lambda w: F.length(w) > 3)
+    used = F.when((F.size(ws) >= 20) & (F.size(rare) >= 10), rare).otherwise(ws)
+    ends = F.concat(F.transform(used, lambda w: lines.halves(w)[0]), F.transform(used, lambda w: lines.halves(w)[1]))
+    want = df.select("id", F.length("norm"), F.size(ws), lines.simhash(ends)).collect()
+    assert sorted(map(tuple, lines.described(df).select(*lines.ABOUT).collect())) == sorted(map(tuple, want))
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
